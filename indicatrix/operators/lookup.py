@@ -1,0 +1,15 @@
+"""Constant lookups as column expressions."""
+
+from __future__ import annotations
+
+from itertools import chain
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def lookup(key: Column, table: dict, default=None) -> Column:
+    """Value of ``table`` for ``key``, else ``default``; no join for a small table."""
+    entries = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in table.items()))
+    found = F.try_element_at(entries, key)
+    return found if default is None else F.coalesce(found, F.lit(default))
