@@ -46,18 +46,17 @@ def strict_url_matches(text: Column) -> Column:
 
 
 def url_host(url: Column) -> Column:
-    """Lower-cased host of a URL, or null where it has none.
+    """Lower-cased host of a URL; empty where it has none.
 
     ``parse_url`` is no help here: it raises on the malformed URLs that threat
     reports are full of, and its lenient form gives null for hosts with an
     underscore or a letter outside ASCII.
     """
-    netloc = F.regexp_extract(url, P.NETLOC, 1)
-    host = F.substring_index(F.substring_index(netloc, "@", -1), ":", 1)
+    host = F.regexp_extract(url, P.HOST, 1)
     name = F.substring_index(host, "%", 1)
-    zone = F.substr(host, F.length(name) + 1)
-    usable = (host != "") & ~F.rlike(netloc, F.lit(P.BAD_NETLOC))
-    return F.when(usable, F.concat(F.lower(name), zone))
+    # The part behind a percent sign keeps its case.
+    zoned = F.concat(F.lower(name), F.substr(host, F.length(name) + 1))
+    return F.when(F.contains(url, F.lit("%")), zoned).otherwise(F.lower(host))
 
 
 def email_matches(text: Column) -> Column:

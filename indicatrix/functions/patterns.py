@@ -67,8 +67,13 @@ URL_STRICT = (
 URL_STRICT_SCHEME = r"\A(?:https?|hxxps?|ftp)://"
 
 # --- URL parts ---------------------------------------------------------------
-NETLOC = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)"
-BAD_NETLOC = rf"[\[\]{AMBIGUOUS_HOST_CHARS}]"
+# Group 1 is the host: behind the last "@", before a port.  A host in brackets
+# or with an ambiguous character does not match.
+_AUTHORITY = rf"[^/?#\[\]{AMBIGUOUS_HOST_CHARS}]"
+HOST = (
+    rf"^[a-zA-Z][a-zA-Z0-9+.\-]*+://(?:{_AUTHORITY}*@)?"
+    rf"([^/?#@:\[\]{AMBIGUOUS_HOST_CHARS}]*+)(?::{_AUTHORITY}*+)?(?:[/?#]|\z)"
+)
 
 # --- refang ------------------------------------------------------------------
 # One test that any of the refang rules can apply.

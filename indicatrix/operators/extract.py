@@ -34,6 +34,10 @@ def hash_type_of(value: Column) -> Column:
     return out
 
 
+def _of_hash_type(hashes: Column, name: str) -> Column:
+    return F.filter(hashes, lambda h: hash_type_of(h) == name)
+
+
 def _hits(matches: Column, type_: str | None, derived: bool = False) -> Column:
     """Matches as structs; ``type_`` None means a digest, typed by its length."""
 
@@ -132,10 +136,8 @@ def extract_wide(
         "cve": X.cve_matches(raw),
         "mitre": X.mitre_matches(raw),
     }
-    for size, name in HASH_LENGTHS.items():
-        lists[name] = F.transform(
-            F.filter(F.col("_hashes"), lambda h, size=size: F.length(h) == size), F.lower
-        )
+    for name in _HASH_TYPES:
+        lists[name] = F.transform(_of_hash_type(F.col("_hashes"), name), F.lower)
     cols = []
     for name in ALL_TYPES:
         values = lists[name] if name in types else F.array().cast("array<string>")

@@ -133,37 +133,42 @@ def _fields(provider: str, kind: str, json: Column) -> dict[str, Column]:
     return out
 
 
-def project_reputation(rep_raw: DataFrame, provider: str, kind: str) -> DataFrame:
-    """Successful answers of one provider and kind as typed columns, by ``key``."""
-    json = F.col("_json")
-    rows = rep_raw.where((F.col("provider") == provider) & (F.col("kind") == kind))
-    rows = rows.select("key", F.try_parse_json("body").alias("_json"))
+def _succeeded(provider: str, kind: str, json: Column) -> Column:
+    """Whether an answer is an object whose nested parts are objects, too."""
     ok = json.isNotNull() & F.startswith(F.schema_of_variant(json), F.lit("OBJECT"))
     for path in PROJECTIONS[(provider, kind)][0]:
         ok = ok & _is(F.try_variant_get(json, path, "variant"), "OBJECT")
     if (provider, kind) == ("virustotal", "hash"):
         ok = ok & _is(F.try_variant_get(json, f"{_ATTRS}.names", "variant"), "ARRAY")
+    return ok
+
+
+def project_reputation(rep_raw: DataFrame, provider: str, kind: str) -> DataFrame:
+    """Successful answers of one provider and kind as typed columns, by ``key``."""
+    json = F.col("_json")
+    rows = rep_raw.where((F.col("provider") == provider) & (F.col("kind") == kind))
+    rows = rows.select("key", F.try_parse_json("body").alias("_json"))
     fields = _fields(provider, kind, json)
-    return rows.where(ok).select("key", *[c.alias(name) for name, c in fields.items()])
-
-
-def payloads(rep_raw: DataFrame, provider: str) -> DataFrame:
-    """All answers of a provider as ``(provider, kind, key, payload json)``."""
-    parts = []
-    for (name, kind), (_, fields) in PROJECTIONS.items():
-        if name != provider:
-            continue
-        rows = project_reputation(rep_raw, provider, kind)
-        body = F.struct(F.col("key").alias(kind), *[F.col(f[0]) for f in fields])
-        parts.append(
-            rows.select(
-                F.lit(provider).alias("provider"),
-                F.lit(kind).alias("kind"),
-                "key",
-                F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    return rows.where(_succeeded(provider, kind, json)).select(
+        "key", *[c.alias(name) for name, c in fields.items()]
+    )
+
+
+def with_payload(answers: DataFrame) -> DataFrame:
+    """Replace ``body`` by ``payload``, the projected fields as JSON; failed lookups drop out.
+
+    One pass over all providers: a row runs the projection of its own provider
+    and kind.
+    """
+    json = F.col("_json")
+    payload = F.lit(None).cast("string")
+    for provider, kind in PROJECTIONS:
+        mine = (F.col("provider") == provider) & (F.col("kind") == kind) & _succeeded(provider, kind, json)
+        fields = [c.alias(name) for name, c in _fields(provider, kind, json).items()]
+        body = F.struct(F.col("key").alias(kind), *fields)
+        payload = F.when(mine, F.to_json(body, {"ignoreNullFields": "false"})).otherwise(payload)
+    parsed = answers.withColumn("_json", F.try_parse_json("body")).drop("body")
+    return parsed.withColumn("payload", payload).where("payload IS NOT NULL").drop("_json")
 
 
 def lookup_budget(listed: DataFrame, provider: str, max_lookups: int = DEFAULT_MAX_LOOKUPS) -> DataFrame:
@@ -187,21 +192,8 @@ def lookup_budget(listed: DataFrame, provider: str, max_lookups: int = DEFAULT_M
     )
 
 
-def _join_budget(budget: DataFrame, answers: DataFrame, max_lookups: int) -> DataFrame:
-    keys = (budget["kind"] == answers["kind"]) & (budget["value"] == answers["key"])
-    # The limit bounds this side; past the bound Spark chooses the join itself.
-    side = F.broadcast(budget) if max_lookups <= 100_000 else budget
-    return answers.join(side, keys, "inner").select(
-        answers["provider"], budget["type"], budget["value"], answers["payload"]
-    )
-
-
-def enrich_provider(
-    listed: DataFrame, rep_raw: DataFrame, provider: str, max_lookups: int = DEFAULT_MAX_LOOKUPS
-) -> DataFrame:
-    """Answers of one provider for its budget; failed lookups cost budget and give no row."""
-    budget = lookup_budget(listed, provider, max_lookups)
-    return _join_budget(budget, payloads(rep_raw, provider), max_lookups)
+# A budget of up to this many lookups is sent to every executor.
+BROADCAST_LOOKUPS = 100_000
 
 
 def enrich(
@@ -210,12 +202,29 @@ def enrich(
     enabled: Iterable[str] = PROVIDERS,
     max_lookups: int = DEFAULT_MAX_LOOKUPS,
 ) -> DataFrame:
-    """Answers of all enabled providers, one row per provider and value."""
+    """Answers of the enabled providers for their budgets: ``provider, type, value, payload``.
+
+    A failed lookup costs budget and gives no row.  ``listed`` is read once per
+    provider, so store it first.  The snapshot is read once, cut to the budgets,
+    and only what is left is parsed.
+    """
     enabled = set(enabled)
-    parts = [enrich_provider(listed, rep_raw, p, max_lookups) for p in PROVIDERS if p in enabled]
-    if not parts:
-        return enrich_provider(listed, rep_raw, PROVIDERS[0], 0)
-    return reduce(DataFrame.unionByName, parts)
+    asked = [lookup_budget(listed, p, max_lookups) for p in PROVIDERS if p in enabled]
+    if not asked:
+        asked = [lookup_budget(listed, PROVIDERS[0], 0)]
+    budget = reduce(DataFrame.unionByName, asked).withColumnRenamed("value", "key").drop("lookup_no")
+    # The limits bound this side; past the bound Spark chooses the join itself.
+    if len(asked) * max_lookups <= BROADCAST_LOOKUPS:
+        budget = F.broadcast(budget)
+    answers = rep_raw.join(budget, ["provider", "kind", "key"])
+    return with_payload(answers).select("provider", "type", F.col("key").alias("value"), "payload")
+
+
+def enrich_provider(
+    listed: DataFrame, rep_raw: DataFrame, provider: str, max_lookups: int = DEFAULT_MAX_LOOKUPS
+) -> DataFrame:
+    """Answers of one provider for its budget."""
+    return enrich(listed, rep_raw, [provider], max_lookups)
 
 
 def merge_last(enriched: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from indicatrix.operators import dedup, report
 from indicatrix.operators import reputation as rep
 from indicatrix.operators.extract import extract_custom, extract_indicators, extract_wide, indicator_set, resolve_types
 from indicatrix.plans import derived as D
-from indicatrix.plans.tables import scratch, table
+from indicatrix.plans.tables import scratch, stored, table
 from indicatrix.sinks import csvfile, jsonfile, reports, stix
 from indicatrix.sources import cert, documents, feeds, registry
 from indicatrix.sources.corpus import combine, spread
@@ -50,6 +50,11 @@ def listed(spark: SparkSession, sf_dir: str, types: list[str] | None = None) ->
     return dedup.first_seen(indicators(spark, sf_dir, types))
 
 
+def stored_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deduplicated indicators, stored: for queries that pass over them repeatedly."""
+    return stored(listed(spark, sf_dir), "indicators")
+
+
 def feed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.for_spark(spark, sf_dir, D.feed_payloads(D.SPARK))
 
@@ -501,7 +506,7 @@ def hash_family_counts(spark, sf_dir):
 
 @query
 def report_top50(spark, sf_dir):
-    rows = listed(spark, sf_dir)
+    rows = stored_list(spark, sf_dir)
     top = report.top_per_type(rows).select("type", "rank", "value")
     more = report.overflow_per_type(rows).select("type", "n", "more")
     # One row per type.
@@ -544,29 +549,28 @@ def sink_csv(spark, sf_dir):
 
 @query
 def sink_json(spark, sf_dir):
-    return ordered(jsonfile.json_document(listed(spark, sf_dir), SOURCE, RUN_TS))
+    return ordered(jsonfile.json_document(stored_list(spark, sf_dir), SOURCE, RUN_TS))
 
 
-def _enriched(spark, sf_dir) -> DataFrame:
-    return rep.enrich(listed(spark, sf_dir), rep_raw(spark, sf_dir), PROVIDERS, LOOKUPS)
+def _enriched(spark, sf_dir, rows: DataFrame) -> DataFrame:
+    return rep.enrich(rows, rep_raw(spark, sf_dir), PROVIDERS, LOOKUPS)
 
 
 @query
 def sink_json_full(spark, sf_dir):
-    merged = rep.merge_last(_enriched(spark, sf_dir))
-    return ordered(
-        jsonfile.json_document(listed(spark, sf_dir), SOURCE, RUN_TS, tlp="TLP:AMBER", enrichment=merged)
-    )
+    rows = stored_list(spark, sf_dir)
+    merged = stored(rep.merge_last(_enriched(spark, sf_dir, rows)), "answers")
+    return ordered(jsonfile.json_document(rows, SOURCE, RUN_TS, tlp="TLP:AMBER", enrichment=merged))
 
 
 @query
 def report_markdown_lines(spark, sf_dir):
-    return ordered(reports.markdown_report(listed(spark, sf_dir), SOURCE, RUN_TS))
+    return ordered(reports.markdown_report(stored_list(spark, sf_dir), SOURCE, RUN_TS))
 
 
 @query
 def report_text_lines(spark, sf_dir):
-    return ordered(reports.text_report(listed(spark, sf_dir), SOURCE, RUN_TS))
+    return ordered(reports.text_report(stored_list(spark, sf_dir), SOURCE, RUN_TS))
 
 
 @query
@@ -588,7 +592,7 @@ def tlp_marking(spark, sf_dir):
 
 @query
 def stix_bundle(spark, sf_dir):
-    objects = stix.stix_objects(listed(spark, sf_dir), "High", "TLP:CLEAR", STIX_TS)
+    objects = stix.stix_objects(stored_list(spark, sf_dir), "High", "TLP:CLEAR", STIX_TS)
     return ordered(stix.stix_bundle(objects, BUNDLE_ID))
 
 
@@ -629,12 +633,12 @@ def enrich_provider(spark, sf_dir):
 
 @query
 def enrich_merge_last(spark, sf_dir):
-    return rep.merge_last(_enriched(spark, sf_dir))
+    return rep.merge_last(_enriched(spark, sf_dir, stored_list(spark, sf_dir)))
 
 
 @query
 def enrich_merge_all(spark, sf_dir):
-    merged = rep.merge_all(_enriched(spark, sf_dir))
+    merged = rep.merge_all(_enriched(spark, sf_dir, stored_list(spark, sf_dir)))
     return merged.select(
         "value", *[F.try_element_at("answers", F.lit(p)).alias(p) for p in PROVIDERS]
     )
@@ -658,7 +662,7 @@ def udf_surface(spark, sf_dir):
     docs = corpus(spark, sf_dir)
     return spark.sql(
         "SELECT d.source, d.doc_id, m.pos, m.value, defang(m.value) AS defanged, is_ipv4(m.value) AS valid "
-        "FROM {docs} d, LATERAL ipv4_in(refang(d.text)) m",
+        "FROM (SELECT source, doc_id, refang(text) AS raw FROM {docs}) d, LATERAL ipv4_in(d.raw) m",
         docs=docs,
     )
 

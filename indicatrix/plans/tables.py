@@ -29,3 +29,15 @@ def scratch(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="indicatrix-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/indicatrix/{label}-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, label: str) -> DataFrame:
+    """Write ``rows`` once to the shared folder and read them back.
+
+    For a result that several passes use, such as the deduplicated indicators
+    behind a report: the extraction then runs once, and a lost executor costs a
+    read, not a recomputation.
+    """
+    path = scratch(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)

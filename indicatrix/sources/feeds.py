@@ -52,7 +52,7 @@ def csv_fields(line: Column) -> Column:
         inner = F.regexp_extract(field, _QUOTED, 1)
         rest = F.regexp_replace(field, _QUOTED, "")
         text = F.concat(F.replace(inner, F.lit('""'), F.lit('"')), rest)
-        return F.when(F.rlike(field, F.lit(_QUOTED)), text).otherwise(field)
+        return F.when(F.startswith(field, F.lit('"')), text).otherwise(field)
 
     return F.transform(fields, resolve)
 
@@ -96,13 +96,25 @@ def _bambenek(body: Column) -> Column:
     return F.array_remove(names, "")
 
 
+def _url_index(body: Column) -> Column:
+    """Place of the ``url`` column in the header line, the second one by default."""
+    header = csv_fields(F.get(F.split(body, P.LINE_BREAK, 2), F.lit(0)))
+    place = F.array_position(F.transform(header, lambda name: F.lower(strip(name))), "url")
+    return F.when(place > 0, place - 1).otherwise(F.lit(1)).cast("int")
+
+
 def _phishtank(body: Column) -> Column:
-    rows = F.transform(split_lines(body), csv_fields)
-    header = F.transform(F.get(rows, F.lit(0)), lambda name: F.lower(strip(name)))
-    place = F.array_position(header, "url").cast("int")
-    index = F.when(place > 0, place - 1).otherwise(F.lit(1))
-    body_rows = F.filter(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda row: F.size(row) > index)
-    return F.array_remove(F.transform(body_rows, lambda row: strip(F.get(row, index))), "")
+    """Reads ``_url_index``, which :func:`_staged` finds once per payload."""
+    index = F.col("_url_index")
+    records = F.transform(F.filter(split_lines(body), lambda line, i: i > 0), csv_fields)
+    wide = F.filter(records, lambda row: F.size(row) > index)
+    return F.array_remove(F.transform(wide, lambda row: strip(F.get(row, index))), "")
+
+
+def _staged(payloads: DataFrame) -> DataFrame:
+    """Non-empty payloads with what a parser needs once per payload, not once per line."""
+    found = F.when(F.col("feed") == "phishtank", _url_index(F.col("body")))
+    return payloads.where(F.col("body") != "").withColumn("_url_index", found)
 
 
 # feed -> (family, parser, whether the raw text is used when nothing parses)
@@ -126,7 +138,7 @@ FEEDS: dict[str, tuple[str, Callable[[Column], Column], bool]] = {
 
 def explode_values(payloads: DataFrame, values: Column, fallback: bool) -> DataFrame:
     """``feed, snapshot, ord, value, fallback`` from an array of values per payload."""
-    staged = payloads.where(F.col("body") != "").select("feed", "snapshot", "body", values.alias("_values"))
+    staged = _staged(payloads).select("feed", "snapshot", "body", values.alias("_values"))
     if fallback:
         unparsed = F.coalesce(F.size("_values") <= 0, F.lit(True))
         staged = staged.select(
@@ -160,8 +172,8 @@ def parse_all(payloads: DataFrame, family: str | None = None) -> DataFrame:
         names = [name for name, spec in chosen.items() if spec[1] is parser]
         values = F.when(feed.isin(names), parser(body).cast(_STRINGS)).otherwise(values)
     with_raw = [name for name, spec in chosen.items() if spec[2]]
-    mine = payloads.where(feed.isin(list(chosen)) & (body != ""))
-    staged = mine.select("feed", "snapshot", "body", values.alias("_values"))
+    mine = payloads.where(feed.isin(list(chosen)))
+    staged = _staged(mine).select("feed", "snapshot", "body", values.alias("_values"))
     unparsed = feed.isin(with_raw) & (F.size("_values") <= 0)
     staged = staged.select(
         "feed",

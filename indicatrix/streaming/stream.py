@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -32,7 +33,8 @@ def stream_dedup(indicators: DataFrame, event_time: str = "ts", within: str = "1
     State is partitioned by value and holds one entry per value seen within
     the watermark, however often the value is reported.
     """
-    return indicators.withWatermark(event_time, within).dropDuplicatesWithinWatermark(["type", "value"])
+    timed = indicators.withColumn(event_time, F.col(event_time).cast("timestamp"))
+    return timed.withWatermark(event_time, within).dropDuplicatesWithinWatermark(["type", "value"])
 
 
 def write_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
