@@ -1,78 +1,75 @@
-"""Text -> array of matches, one column expression per indicator type."""
+"""Text -> array of matches, one SQL expression per indicator type."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from indicatrix.functions import patterns as P
+from indicatrix.functions.normalize import literal
+
+NO_STRINGS = "CAST(array() AS ARRAY<STRING>)"
 
 
-def _all(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+def find_all(text: str, pattern: str, group: int = 0) -> str:
+    return f"regexp_extract_all({text}, {literal(pattern)}, {group})"
 
 
-def _guarded(test: Column, matches: Column) -> Column:
+def _guarded(test: str, matches: str) -> str:
     """Run the expression only on texts that can hold a match."""
-    return F.when(test, matches).otherwise(F.array().cast("array<string>"))
+    return f"CASE WHEN {test} THEN {matches} ELSE {NO_STRINGS} END"
 
 
-def ipv4_matches(text: Column) -> Column:
+def ipv4_matches(text: str) -> str:
     """Dotted quads as written; octets are checked later."""
-    return _all(text, P.IPV4)
+    return find_all(text, P.IPV4)
 
 
-def ipv6_matches(text: Column) -> Column:
-    return _guarded(F.contains(text, F.lit("::")) | F.rlike(text, F.lit(":[0-9a-fA-F]+:")), _all(text, P.IPV6))
+def ipv6_matches(text: str) -> str:
+    return _guarded(f"contains({text}, '::') OR rlike({text}, ':[0-9a-fA-F]+:')", find_all(text, P.IPV6))
 
 
-def domain_matches(text: Column, any_case: bool = False) -> Column:
+def domain_matches(text: str, any_case: bool = False) -> str:
     """Dotted names ending on an alphabetic label; endings are checked later."""
-    chains = _all(text, P.DOMAIN_CHAIN_ANY_CASE if any_case else P.DOMAIN_CHAIN)
-    inner = P.DOMAIN_IN_CHAIN_ANY_CASE if any_case else P.DOMAIN_IN_CHAIN
-    names = F.transform(
-        chains,
-        lambda c: F.when(F.endswith(c, F.lit(".")), F.regexp_extract(c, inner, 1)).otherwise(c),
-    )
-    return F.array_remove(names, "")
+    chains = find_all(text, P.DOMAIN_CHAIN_ANY_CASE if any_case else P.DOMAIN_CHAIN)
+    inner = literal(P.DOMAIN_IN_CHAIN_ANY_CASE if any_case else P.DOMAIN_IN_CHAIN)
+    name = f"CASE WHEN endswith(c, '.') THEN regexp_extract(c, {inner}, 1) ELSE c END"
+    return f"array_remove(transform({chains}, c -> {name}), '')"
 
 
-def url_matches(text: Column) -> Column:
-    return _guarded(F.contains(text, F.lit("://")), _all(text, P.URL))
+def url_matches(text: str) -> str:
+    return _guarded(f"contains({text}, '://')", find_all(text, P.URL))
 
 
-def strict_url_matches(text: Column) -> Column:
-    return _guarded(F.contains(text, F.lit("://")), _all(text, P.URL_STRICT))
+def strict_url_matches(text: str) -> str:
+    return _guarded(f"contains({text}, '://')", find_all(text, P.URL_STRICT))
 
 
-def url_host(url: Column) -> Column:
+def url_host(url: str) -> str:
     """Lower-cased host of a URL; empty where it has none.
 
     ``parse_url`` is no help here: it raises on the malformed URLs that threat
     reports are full of, and its lenient form gives null for hosts with an
     underscore or a letter outside ASCII.
     """
-    host = F.regexp_extract(url, P.HOST, 1)
-    name = F.substring_index(host, "%", 1)
+    host = f"regexp_extract({url}, {literal(P.HOST)}, 1)"
+    name = f"substring_index({host}, '%', 1)"
     # The part behind a percent sign keeps its case.
-    zoned = F.concat(F.lower(name), F.substr(host, F.length(name) + 1))
-    return F.when(F.contains(url, F.lit("%")), zoned).otherwise(F.lower(host))
+    zoned = f"concat(lower({name}), substr({host}, length({name}) + 1))"
+    return f"CASE WHEN contains({url}, '%') THEN {zoned} ELSE lower({host}) END"
 
 
-def email_matches(text: Column) -> Column:
+def email_matches(text: str) -> str:
     """Mail addresses, plain or defanged, on text that was *not* refanged."""
-    test = F.contains(text, F.lit("@")) | F.rlike(text, F.lit(r"(?i)\[at\]"))
-    return _guarded(test, _all(text, P.EMAIL, 1))
+    test = f"contains({text}, '@') OR rlike({text}, {literal(P.WORD_AT)})"
+    return _guarded(test, find_all(text, P.EMAIL, 1))
 
 
-def cve_matches(text: Column) -> Column:
-    return _all(text, P.CVE)
+def cve_matches(text: str) -> str:
+    return find_all(text, P.CVE)
 
 
-def mitre_matches(text: Column) -> Column:
-    return _all(text, P.MITRE)
+def mitre_matches(text: str) -> str:
+    return find_all(text, P.MITRE)
 
 
-def hash_matches(text: Column) -> Column:
+def hash_matches(text: str) -> str:
     """Hex runs with the length of a known digest, in text order."""
-    return _all(text, P.HASH)
+    return find_all(text, P.HASH)

@@ -1,9 +1,12 @@
-"""Refang, defang and trimming as column expressions."""
+"""Refang, defang and trimming as SQL expressions.
 
-from __future__ import annotations
+The functions in this package take the SQL text of an argument, usually a
+column name, and return the SQL text of the result, for ``selectExpr``,
+``F.expr`` and SQL functions alike.  One expression is one call into the JVM, so
+building a plan stays fast however many rules it holds.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 from indicatrix.functions import patterns as P
 from indicatrix.functions.constants import WHITESPACE
@@ -28,43 +31,65 @@ REFANG_RULES = [
 DEFANG_SCHEMES = [("https://", "hxxps://"), ("http://", "hxxp://"), ("ftp://", "fxp://")]
 
 
-def strip(col: Column) -> Column:
+def literal(value: str | int | bool | None) -> str:
+    """A SQL literal."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, int):
+        return str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def in_list(values: list[str]) -> str:
+    return "(" + ", ".join(literal(v) for v in values) + ")"
+
+
+def lookup(key: str, table: dict, default: str | int | None = None) -> str:
+    """Value of a small constant table, else ``default``."""
+    entries = ", ".join(f"{literal(k)}, {literal(v)}" for k, v in table.items())
+    found = f"try_element_at(map({entries}), {key})"
+    return found if default is None else f"coalesce({found}, {literal(default)})"
+
+
+def strip(x: str) -> str:
     """Remove surrounding whitespace, Unicode spaces included."""
-    return F.btrim(col, F.lit(WHITESPACE))
+    return f"btrim({x}, {literal(WHITESPACE)})"
 
 
-def refang(col: Column) -> Column:
+def refang(x: str) -> str:
     """Turn defanged notation back into live indicators.
 
     One regular expression decides whether any rule can apply at all, so plain
     text pays for a single pass and not for eleven.
     """
-    out = col
+    out = x
     for mark, live, letters in REFANG_RULES:
         if letters:
-            quoted = "".join("\\" + ch if ch in "[]()" else ch for ch in mark)
-            out = F.regexp_replace(out, "(?iu)" + quoted, live)
+            regex = "(?iu)" + "".join("\\" + ch if ch in "[]()" else ch for ch in mark)
+            out = f"regexp_replace({out}, {literal(regex)}, {literal(live)})"
         else:
-            out = F.replace(out, F.lit(mark), F.lit(live))
-    return F.when(F.rlike(col, F.lit(P.FANGED)), out).otherwise(col)
+            out = f"replace({out}, {literal(mark)}, {literal(live)})"
+    return f"CASE WHEN rlike({x}, {literal(P.FANGED)}) THEN {out} ELSE {x} END"
 
 
-def defang(col: Column) -> Column:
+def defang(x: str) -> str:
     """Disarm one indicator value for sharing.
 
     Dots and at-signs are bracketed everywhere behind the first ``://``, or in
     the whole value where there is none.
     """
-    armed = col
+    armed = x
     for live, safe in DEFANG_SCHEMES:
-        armed = F.replace(armed, F.lit(live), F.lit(safe))
+        armed = f"replace({armed}, {literal(live)}, {literal(safe)})"
 
-    def bracket(part: Column) -> Column:
-        part = F.replace(part, F.lit("."), F.lit("[.]"))
-        return F.replace(part, F.lit("@"), F.lit("[@]"))
+    def bracket(part: str) -> str:
+        return f"replace(replace({part}, '.', '[.]'), '@', '[@]')"
 
-    scheme = F.substring_index(armed, "://", 1)
-    rest = F.substr(armed, F.length(scheme) + 4)
-    return F.when(F.contains(col, F.lit("://")), F.concat(scheme, F.lit("://"), bracket(rest))).otherwise(
-        bracket(armed)
+    scheme = f"substring_index({armed}, '://', 1)"
+    rest = f"substr({armed}, length({scheme}) + 4)"
+    return (
+        f"CASE WHEN contains({x}, '://') THEN concat({scheme}, '://', {bracket(rest)}) "
+        f"ELSE {bracket(armed)} END"
     )

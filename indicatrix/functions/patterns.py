@@ -55,6 +55,7 @@ EMAIL = (
     rf"({_BOX}++(?:@|\[@\]|\[at\])[a-zA-Z0-9.\-]+"
     rf"(?:\.|\[\.\]|\[dot\])[a-zA-Z]{{2,}}{_END})"
 )
+WORD_AT = r"(?i)\[at\]"
 CVE = rf"(?iu){_START}CVE-{_DIGIT}{{4}}-{_DIGIT}{{4,7}}{_END}"
 MITRE = rf"{_START}[TS]{_DIGIT}{{4}}(?:\.{_DIGIT}{{3}})?{_END}"
 # 32, 40, 64 or 128 hexadecimal digits that no further digit touches.
@@ -90,6 +91,7 @@ IS_IPV6_FULL = rf"\A(?:{_HEXTET}:){{7}}{_HEXTET}\z"
 IS_IPV6_COMPRESSED = (
     rf"\A(?:{_HEXTET}(?::{_HEXTET}){{0,6}})?::(?:{_HEXTET}(?::{_HEXTET}){{0,6}})?\z"
 )
+IS_SCOPE = r"\A[^%/]+\z"
 IS_HEX = r"\A[a-f0-9]+\z"
 IS_CVE = rf"(?iu)\ACVE-{_DIGIT}{{4}}-{_DIGIT}{{4,7}}\n?\z"
 IS_CVE_PARTS = rf"\ACVE-{_DIGIT}+-{_DIGIT}+\z"

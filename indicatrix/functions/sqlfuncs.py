@@ -1,62 +1,40 @@
 """The operators as SQL functions, for users who work in SQL.
 
 Catalyst inlines these bodies, so a query with them has the same plan as one
-written with the column functions.
+written with the DataFrame operators.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from indicatrix.functions import patterns as P
-from indicatrix.functions.normalize import DEFANG_SCHEMES, REFANG_RULES
-
-
-def _quote(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _refang_sql(arg: str) -> str:
-    out = arg
-    for mark, live, letters in REFANG_RULES:
-        if letters:
-            regex = "(?iu)" + "".join("\\" + ch if ch in "[]()" else ch for ch in mark)
-            out = f"regexp_replace({out}, {_quote(regex)}, {_quote(live)})"
-        else:
-            out = f"replace({out}, {_quote(mark)}, {_quote(live)})"
-    return f"CASE WHEN rlike({arg}, {_quote(P.FANGED)}) THEN {out} ELSE {arg} END"
-
-
-def _defang_sql(arg: str) -> str:
-    armed = arg
-    for live, safe in DEFANG_SCHEMES:
-        armed = f"replace({armed}, {_quote(live)}, {_quote(safe)})"
-
-    def bracket(part: str) -> str:
-        return f"replace(replace({part}, '.', '[.]'), '@', '[@]')"
-
-    scheme = f"substring_index({armed}, '://', 1)"
-    rest = f"substr({armed}, length({scheme}) + 4)"
-    return (
-        f"CASE WHEN contains({arg}, '://') THEN concat({scheme}, '://', {bracket(rest)}) "
-        f"ELSE {bracket(armed)} END"
-    )
-
+from indicatrix.functions import extract as X
+from indicatrix.functions import validate as V
+from indicatrix.functions.normalize import defang, refang
 
 SCALAR_FUNCTIONS = {
-    "refang": ("STRING", _refang_sql("s")),
-    "defang": ("STRING", _defang_sql("s")),
-    "is_ipv4": ("BOOLEAN", f"rlike(s, {_quote(P.IS_IPV4)})"),
-    "is_cve": ("BOOLEAN", f"rlike(s, {_quote(P.IS_CVE)})"),
-    "is_email": ("BOOLEAN", f"rlike(s, {_quote(P.IS_EMAIL)})"),
-    "is_url": ("BOOLEAN", f"rlike(s, {_quote(P.IS_URL)})"),
+    "refang": ("STRING", refang("s")),
+    "defang": ("STRING", defang("s")),
+    "url_host": ("STRING", X.url_host("s")),
+    "hash_type": ("STRING", V.hash_type("s")),
+    "is_ipv4": ("BOOLEAN", V.is_ipv4("s")),
+    "is_ipv6": ("BOOLEAN", V.is_ipv6("s")),
+    "is_indicator_domain": ("BOOLEAN", V.is_indicator_domain("s")),
+    "is_domain_name": ("BOOLEAN", V.is_domain_name("s")),
+    "is_cve": ("BOOLEAN", V.is_cve("s")),
+    "is_email": ("BOOLEAN", V.is_email("s")),
+    "is_url": ("BOOLEAN", V.is_url("s")),
 }
+# name -> matches in s, check on value, result value
 TABLE_FUNCTIONS = {
-    "ipv4_in": (P.IPV4, f"rlike(value, {_quote(P.IS_IPV4)})", "value"),
-    "url_in": (P.URL, "true", "value"),
-    "cve_in": (P.CVE, "true", "value"),
-    "mitre_in": (P.MITRE, "true", "value"),
-    "hash_in": (P.HASH, "true", "lower(value)"),
+    "ipv4_in": (X.ipv4_matches("s"), V.is_ipv4("value"), "value"),
+    "ipv6_in": (X.ipv6_matches("s"), "true", "value"),
+    "domain_in": (X.domain_matches("s"), V.is_indicator_domain("value"), "value"),
+    "url_in": (X.url_matches("s"), "true", "value"),
+    "email_in": (X.email_matches("s"), "true", "value"),
+    "cve_in": (X.cve_matches("s"), "true", "value"),
+    "mitre_in": (X.mitre_matches("s"), "true", "value"),
+    "hash_in": (X.hash_matches("s"), "true", "lower(value)"),
 }
 
 
@@ -68,8 +46,7 @@ def register(spark: SparkSession) -> list[str]:
     """
     for name, (type_, body) in SCALAR_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(s STRING) RETURNS {type_} RETURN {body}")
-    for name, (pattern, valid, value) in TABLE_FUNCTIONS.items():
-        matches = f"regexp_extract_all(s, {_quote(pattern)}, 0)"
+    for name, (matches, valid, value) in TABLE_FUNCTIONS.items():
         spark.sql(
             f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(s STRING) RETURNS TABLE(pos INT, value STRING) "
             f"RETURN SELECT pos, {value} AS value FROM (SELECT posexplode({matches}) AS (pos, value)) WHERE {valid}"

@@ -1,12 +1,7 @@
-"""Indicator checks as boolean column expressions."""
+"""Indicator checks as boolean SQL expressions."""
 
 from __future__ import annotations
 
-from itertools import chain
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from indicatrix.functions import patterns as P
 from indicatrix.functions.constants import (
     HASH_LENGTHS,
@@ -15,90 +10,77 @@ from indicatrix.functions.constants import (
     TLDS,
     TWO_PART_TLDS,
 )
-from indicatrix.functions.normalize import strip
+from indicatrix.functions.normalize import in_list, literal, lookup, strip
 
 
-def _matches(col: Column, pattern: str) -> Column:
-    return F.rlike(col, F.lit(pattern))
+def matches(x: str, pattern: str) -> str:
+    return f"rlike({x}, {literal(pattern)})"
 
 
-def is_ipv4(col: Column) -> Column:
+def is_ipv4(x: str) -> str:
     """Four decimal octets of at most 255 without leading zeros."""
-    return _matches(col, P.IS_IPV4)
+    return matches(x, P.IS_IPV4)
 
 
-def is_ipv6(col: Column) -> Column:
+def is_ipv6(x: str) -> str:
     """The full IPv6 text form: compressed, with an IPv4 tail, with a scope id."""
-    address = F.substring_index(col, "%", 1)
-    scope = F.substr(col, F.length(address) + 2)
-    scope_ok = ~F.contains(col, F.lit("%")) | (
-        (F.length(scope) > 0) & ~F.contains(scope, F.lit("%")) & ~F.contains(scope, F.lit("/"))
-    )
+    address = f"substring_index({x}, '%', 1)"
+    scope = f"substr({x}, length({address}) + 2)"
+    scope_ok = f"(NOT contains({x}, '%') OR {matches(scope, P.IS_SCOPE)})"
     # An IPv4 tail stands for two groups.
-    groups = F.regexp_replace(address, P.IPV4_TAIL, "0:0")
-    group_count = F.size(F.array_remove(F.split(groups, ":"), ""))
-    body_ok = _matches(groups, P.IS_IPV6_FULL) | (
-        _matches(groups, P.IS_IPV6_COMPRESSED) & (group_count <= 7)
+    groups = f"regexp_replace({address}, {literal(P.IPV4_TAIL)}, '0:0')"
+    count = f"size(array_remove(split({groups}, ':'), ''))"
+    body_ok = (
+        f"({matches(groups, P.IS_IPV6_FULL)} OR ({matches(groups, P.IS_IPV6_COMPRESSED)} AND {count} <= 7))"
     )
-    return scope_ok & body_ok
+    return f"({scope_ok} AND {body_ok})"
 
 
-def hash_type(col: Column) -> Column:
+def hash_type(x: str) -> str:
     """``md5``, ``sha1``, ``sha256``, ``sha512``, or null for anything else."""
-    value = F.lower(strip(col))
-    names = F.create_map(
-        *chain.from_iterable(
-            (F.lit(length), F.lit(name.removeprefix("hash_"))) for length, name in HASH_LENGTHS.items()
-        )
-    )
-    return F.when(_matches(value, P.IS_HEX), F.try_element_at(names, F.length(value)))
+    value = f"lower({strip(x)})"
+    names = {length: name.removeprefix("hash_") for length, name in HASH_LENGTHS.items()}
+    return f"CASE WHEN {matches(value, P.IS_HEX)} THEN {lookup(f'length({value})', names)} END"
 
 
-def is_cve(col: Column) -> Column:
-    return _matches(col, P.IS_CVE)
+def is_cve(x: str) -> str:
+    return matches(x, P.IS_CVE)
 
 
-def is_domain_name(col: Column) -> Column:
+def is_domain_name(x: str) -> str:
     """The basic check: a dot, then a purely alphabetic last label."""
-    return _matches(col, P.IS_DOTTED_NAME)
+    return matches(x, P.IS_DOTTED_NAME)
 
 
-def is_email(col: Column) -> Column:
-    return _matches(col, P.IS_EMAIL)
+def is_email(x: str) -> str:
+    return matches(x, P.IS_EMAIL)
 
 
-def is_url(col: Column) -> Column:
-    return _matches(col, P.IS_URL)
+def is_url(x: str) -> str:
+    return matches(x, P.IS_URL)
 
 
-def is_indicator_domain(col: Column) -> Column:
+def is_indicator_domain(x: str) -> str:
     """Accept a domain as an indicator.
 
     File names, reserved names and unknown endings are out; so is a name whose
     part before the ending is a mere number, such as a version.
     """
-    name = F.lower(strip(col))
-    labels = F.split(name, r"\.")
-    ending = F.substring_index(name, ".", -1)
-    front = F.substr(name, F.lit(1), F.length(name) - F.length(ending) - 1)
-    numeric = _matches(F.translate(front, ".-", ""), P.ALL_DIGITS)
-    known = F.when(
-        (F.size(labels) >= 3) & F.substring_index(name, ".", -2).isin(TWO_PART_TLDS), F.lit(True)
-    ).otherwise(ending.isin(TLDS) & ~numeric)
+    name = f"lower({strip(x)})"
+    ending = f"substring_index({name}, '.', -1)"
+    front = f"substr({name}, 1, length({name}) - length({ending}) - 1)"
+    numeric = matches(f"translate({front}, '.-', '')", P.ALL_DIGITS)
+    two_part = f"size(split({name}, '[.]')) >= 3 AND substring_index({name}, '.', -2) IN {in_list(TWO_PART_TLDS)}"
     return (
-        F.contains(name, F.lit("."))
-        & ~_matches(name, P.HAS_FILE_SUFFIX)
-        & ~name.isin(RESERVED_DOMAINS)
-        & known
+        f"(contains({name}, '.') AND ({two_part} OR ({ending} IN {in_list(TLDS)} AND NOT {numeric})) "
+        f"AND {name} NOT IN {in_list(RESERVED_DOMAINS)} AND NOT {matches(name, P.HAS_FILE_SUFFIX)})"
     )
 
 
-def is_lite_domain(col: Column) -> Column:
+def is_lite_domain(x: str) -> str:
     """The acceptance rule of the single-type domain set."""
-    name = F.lower(strip(col))
+    name = f"lower({strip(x)})"
     return (
-        F.contains(name, F.lit("."))
-        & ~_matches(name, P.HAS_LITE_FILE_SUFFIX)
-        & ~name.isin(RESERVED_DOMAINS)
-        & F.substring_index(name, ".", -1).isin(LITE_TLDS)
+        f"(contains({name}, '.') AND substring_index({name}, '.', -1) IN {in_list(LITE_TLDS)} "
+        f"AND {name} NOT IN {in_list(RESERVED_DOMAINS)} AND NOT {matches(name, P.HAS_LITE_FILE_SUFFIX)})"
     )

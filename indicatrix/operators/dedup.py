@@ -7,11 +7,10 @@ a hot value are combined before the only shuffle, and nothing is sorted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from indicatrix.functions.constants import TYPE_ORD
-from indicatrix.operators.lookup import lookup
+from indicatrix.functions.normalize import lookup
 
 # Digits, from the left: derived 1 | source_ord 4 | doc_id 20 | pos 10.
 _DERIVED = "10000000000000000000000000000000000BD"
@@ -19,41 +18,36 @@ _SOURCE = "1000000000000000000000000000000BD"
 _DOC = "10000000000BD"
 _SHIFT = "9223372036854775808BD"  # makes any bigint doc_id non-negative
 
-
-def position() -> Column:
-    """Corpus position of an occurrence: direct matches, then derived ones."""
-    return F.expr(
-        f"CAST(CAST(derived AS INT) * {_DERIVED} + source_ord * {_SOURCE}"
-        f" + (CAST(doc_id AS DECIMAL(20, 0)) + {_SHIFT}) * {_DOC} + pos AS DECIMAL(38, 0))"
-    )
+# Corpus position of an occurrence: direct matches come before derived ones.
+POSITION = (
+    f"CAST(CAST(derived AS INT) * {_DERIVED} + source_ord * {_SOURCE}"
+    f" + (CAST(doc_id AS DECIMAL(20, 0)) + {_SHIFT}) * {_DOC} + pos AS DECIMAL(38, 0))"
+)
+_TYPE_ORD = f"{lookup('type', TYPE_ORD)} AS type_ord"
 
 
 def with_position(indicators: DataFrame) -> DataFrame:
     """Every occurrence with its ``ord``; the form to list when duplicates stay."""
-    type_ord = lookup(F.col("type"), TYPE_ORD)
-    return indicators.withColumn("ord", position()).withColumn("type_ord", type_ord)
+    return indicators.selectExpr("*", f"{POSITION} AS ord", _TYPE_ORD)
 
 
 def first_seen(indicators: DataFrame) -> DataFrame:
-    """One row per ``(type, value)``: ``type_ord, type, value, ord`` of the first one."""
-    out = indicators.groupBy("type", "value").agg(F.min(position()).alias("ord"))
-    return out.withColumn("type_ord", lookup(F.col("type"), TYPE_ORD))
+    """One row per ``(type, value)``: ``type, value, ord, type_ord`` of the first one."""
+    placed = indicators.selectExpr("type", "value", f"{POSITION} AS ord")
+    firsts = placed.groupBy("type", "value").min("ord")
+    return firsts.selectExpr("type", "value", "`min(ord)` AS ord", _TYPE_ORD)
 
 
 def unpack_position(rows: DataFrame) -> DataFrame:
     """Replace ``ord`` by ``derived, source_ord, doc_id, pos``."""
-    digits = F.lpad(F.col("ord").cast("string"), 35, "0")
-
-    def part(start: int, length: int) -> Column:
-        return F.substring(digits, start, length)
-
-    doc_id = part(6, 20).cast("decimal(20,0)") - F.expr(_SHIFT)
-    return rows.select(
+    digits = "lpad(CAST(ord AS STRING), 35, '0')"
+    doc_id = f"CAST(substr({digits}, 6, 20) AS DECIMAL(20, 0)) - {_SHIFT}"
+    return rows.selectExpr(
         *[c for c in rows.columns if c != "ord"],
-        (part(1, 1) == "1").alias("derived"),
-        part(2, 4).cast("int").alias("source_ord"),
-        doc_id.cast("bigint").alias("doc_id"),
-        part(26, 10).cast("int").alias("pos"),
+        f"substr({digits}, 1, 1) = '1' AS derived",
+        f"CAST(substr({digits}, 2, 4) AS INT) AS source_ord",
+        f"CAST({doc_id} AS BIGINT) AS doc_id",
+        f"CAST(substr({digits}, 26, 10) AS INT) AS pos",
     )
 
 

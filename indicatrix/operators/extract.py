@@ -9,15 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from indicatrix.functions import extract as X
 from indicatrix.functions import validate as V
 from indicatrix.functions.constants import ALL_TYPES, HASH_LENGTHS, LIST_KEY, TYPE_ALIASES
-from indicatrix.functions.normalize import refang
+from indicatrix.functions.normalize import literal, lookup, refang
+from indicatrix.functions.patterns import URL_STRICT_SCHEME
 
 _HASH_TYPES = list(HASH_LENGTHS.values())
+_NO_HITS = "CAST(array() AS ARRAY<STRUCT<type:STRING,derived:BOOLEAN,pos:INT,value:STRING>>)"
 
 
 def resolve_types(names: str) -> list[str]:
@@ -26,40 +28,30 @@ def resolve_types(names: str) -> list[str]:
     return [t for t in ALL_TYPES if t in wanted]
 
 
-def hash_type_of(value: Column) -> Column:
-    length = F.length(value)
-    out = F.lit(None).cast("string")
-    for size, name in HASH_LENGTHS.items():
-        out = F.when(length == size, F.lit(name)).otherwise(out)
-    return out
+def _hits(matches: str, type_: str, derived: bool = False, value: str = "v") -> str:
+    """Matches ``v`` as structs."""
+    return _structs(matches, literal(type_), derived, value)
 
 
-def _of_hash_type(hashes: Column, name: str) -> Column:
-    return F.filter(hashes, lambda h: hash_type_of(h) == name)
+def _hash_hits(matches: str) -> str:
+    """Digests, typed by their length."""
+    return _structs(matches, lookup("length(v)", HASH_LENGTHS), False, "lower(v)")
 
 
-def _hits(matches: Column, type_: str | None, derived: bool = False) -> Column:
-    """Matches as structs; ``type_`` None means a digest, typed by its length."""
+def _structs(matches: str, type_: str, derived: bool, value: str) -> str:
+    fields = f"'type', {type_}, 'derived', {literal(derived)}, 'pos', i, 'value', {value}"
+    return f"transform({matches}, (v, i) -> named_struct({fields}))"
 
-    def entry(value: Column, pos: Column) -> Column:
-        kind = hash_type_of(value) if type_ is None else F.lit(type_)
-        return F.struct(
-            kind.alias("type"),
-            F.lit(derived).alias("derived"),
-            pos.alias("pos"),
-            (F.lower(value) if type_ is None else value).alias("value"),
-        )
 
-    return F.transform(matches, entry)
+# The check a match must pass to count as an indicator of its type.
+_IS_VALID = (
+    f"CASE WHEN type = 'ipv4' THEN {V.is_ipv4('value')} "
+    f"WHEN type = 'domain' THEN {V.is_indicator_domain('value')} ELSE true END"
+)
 
 
-def is_valid(type_: Column, value: Column) -> Column:
-    """The check a match must pass to count as an indicator of its type."""
-    return (
-        F.when(type_ == "ipv4", V.is_ipv4(value))
-        .when(type_ == "domain", V.is_indicator_domain(value))
-        .otherwise(F.lit(True))
-    )
+def _raw_text(docs: DataFrame, do_refang: bool) -> DataFrame:
+    return docs.withColumn("_raw", F.expr(refang("text")) if do_refang else F.col("text"))
 
 
 def extract_indicators(
@@ -73,42 +65,36 @@ def extract_indicators(
     """
     types = set(ALL_TYPES if types is None else types)
     keep = [c for c in docs.columns if c != "text"]
-    text = F.col("text")
-    raw = F.col("_raw")
     parts = []
     if "ipv4" in types:
-        parts.append(_hits(X.ipv4_matches(raw), "ipv4"))
+        parts.append(_hits(X.ipv4_matches("_raw"), "ipv4"))
     if "ipv6" in types:
-        parts.append(_hits(X.ipv6_matches(raw), "ipv6"))
+        parts.append(_hits(X.ipv6_matches("_raw"), "ipv6"))
     if "domain" in types:
-        hosts = F.transform(F.col("_urls"), X.url_host)
-        parts.append(_hits(X.domain_matches(raw), "domain"))
-        parts.append(_hits(hosts, "domain", derived=True))
+        parts.append(_hits(X.domain_matches("_raw"), "domain"))
+        parts.append(_hits("_urls", "domain", derived=True, value=X.url_host("v")))
     if "url" in types:
-        parts.append(_hits(F.col("_urls"), "url"))
+        parts.append(_hits("_urls", "url"))
     if "email" in types:
-        parts.append(_hits(X.email_matches(text), "email"))
+        parts.append(_hits(X.email_matches("text"), "email"))
     if "cve" in types:
-        parts.append(_hits(X.cve_matches(raw), "cve"))
+        parts.append(_hits(X.cve_matches("_raw"), "cve"))
     if "mitre" in types:
-        parts.append(_hits(X.mitre_matches(raw), "mitre"))
+        parts.append(_hits(X.mitre_matches("_raw"), "mitre"))
     wanted_hashes = [t for t in _HASH_TYPES if t in types]
     if wanted_hashes:
-        parts.append(_hits(X.hash_matches(raw), None))
+        parts.append(_hash_hits(X.hash_matches("_raw")))
 
-    staged = docs.withColumn("_raw", refang(text) if do_refang else text)
+    staged = _raw_text(docs, do_refang)
     if types & {"url", "domain"}:
-        staged = staged.withColumn("_urls", X.url_matches(raw))
-    if not parts:
-        hit = "array<struct<type:string,derived:boolean,pos:int,value:string>>"
-        parts = [F.array().cast(hit)]
-    rows = staged.select(*keep, F.explode(F.concat(*parts)).alias("_hit")).select(*keep, "_hit.*")
-    rows = rows.where(is_valid(F.col("type"), F.col("value")))
+        staged = staged.withColumn("_urls", F.expr(X.url_matches("_raw")))
+    hits = f"explode(concat({', '.join(parts or [_NO_HITS])})) AS _hit"
+    rows = staged.selectExpr(*keep, hits).selectExpr(*keep, "_hit.*").where(_IS_VALID)
     if 0 < len(wanted_hashes) < len(_HASH_TYPES):
         rows = rows.where(F.col("type").isin(sorted(types)))
     if do_refang and "email" in types:
-        value = F.col("value")
-        rows = rows.withColumn("value", F.when(F.col("type") == "email", refang(value)).otherwise(value))
+        live = f"CASE WHEN type = 'email' THEN {refang('value')} ELSE value END"
+        rows = rows.withColumn("value", F.expr(live))
     return rows
 
 
@@ -122,52 +108,45 @@ def extract_wide(
     """One row per document with an array per type; arrays of unwanted types are empty."""
     types = set(ALL_TYPES if types is None else types)
     keep = [c for c in docs.columns if c != "text"]
-    raw, text = F.col("_raw"), F.col("text")
-    staged = docs.withColumn("_raw", refang(text) if do_refang else text)
-    staged = staged.withColumn("_urls", X.url_matches(raw)).withColumn("_hashes", X.hash_matches(raw))
-    emails = X.email_matches(text)
-    hosts = F.transform(F.col("_urls"), X.url_host)
+    staged = _raw_text(docs, do_refang)
+    staged = staged.withColumns(
+        {"_urls": F.expr(X.url_matches("_raw")), "_hashes": F.expr(X.hash_matches("_raw"))}
+    )
+    emails = X.email_matches("text")
+    hosts = f"transform(_urls, u -> {X.url_host('u')})"
     lists = {
-        "ipv4": F.filter(X.ipv4_matches(raw), V.is_ipv4),
-        "ipv6": X.ipv6_matches(raw),
-        "domain": F.filter(F.concat(X.domain_matches(raw), hosts), V.is_indicator_domain),
-        "url": F.col("_urls"),
-        "email": F.transform(emails, refang) if do_refang else emails,
-        "cve": X.cve_matches(raw),
-        "mitre": X.mitre_matches(raw),
+        "ipv4": f"filter({X.ipv4_matches('_raw')}, v -> {V.is_ipv4('v')})",
+        "ipv6": X.ipv6_matches("_raw"),
+        "domain": f"filter(concat({X.domain_matches('_raw')}, {hosts}), v -> {V.is_indicator_domain('v')})",
+        "url": "_urls",
+        "email": f"transform({emails}, e -> {refang('e')})" if do_refang else emails,
+        "cve": X.cve_matches("_raw"),
+        "mitre": X.mitre_matches("_raw"),
     }
-    for name in _HASH_TYPES:
-        lists[name] = F.transform(_of_hash_type(F.col("_hashes"), name), F.lower)
+    for length, name in HASH_LENGTHS.items():
+        lists[name] = f"transform(filter(_hashes, h -> length(h) = {length}), h -> lower(h))"
     cols = []
     for name in ALL_TYPES:
-        values = lists[name] if name in types else F.array().cast("array<string>")
-        cols.append((F.array_distinct(values) if unique else values).alias(LIST_KEY[name]))
-    stamp = F.current_timestamp().cast("string") if run_ts is None else F.lit(run_ts)
-    return staged.select(*keep, *cols, stamp.alias("extracted_at"))
+        values = lists[name] if name in types else X.NO_STRINGS
+        cols.append(f"{f'array_distinct({values})' if unique else values} AS {LIST_KEY[name]}")
+    stamp = "CAST(current_timestamp() AS STRING)" if run_ts is None else literal(run_ts)
+    return staged.selectExpr(*keep, *cols, f"{stamp} AS extracted_at")
 
 
 # --- single-type sets ---------------------------------------------------------
-def _set_expressions(kind: str) -> Column:
-    text = F.col("text")
-    if kind == "ip":
-        return F.concat(
-            _hits(F.filter(X.ipv4_matches(text), V.is_ipv4), "ipv4"), _hits(X.ipv6_matches(text), "ipv6")
-        )
-    if kind == "domain":
-        names = F.filter(X.domain_matches(text, any_case=True), V.is_lite_domain)
-        return _hits(F.transform(names, F.lower), "domain")
-    if kind == "url":
-        from indicatrix.functions.patterns import URL_STRICT_SCHEME
-
-        urls = F.filter(X.strict_url_matches(text), lambda u: F.rlike(u, F.lit(URL_STRICT_SCHEME)))
-        return _hits(urls, "url")
-    if kind == "email":
-        return _hits(X.email_matches(text), "email")
-    if kind == "hash":
-        return _hits(X.hash_matches(text), None)
-    if kind == "cve":
-        return _hits(F.transform(X.cve_matches(text), F.upper), "cve")
-    raise ValueError(f"unknown kind {kind!r}")
+_STRICT = f"filter({X.strict_url_matches('text')}, u -> {V.matches('u', URL_STRICT_SCHEME)})"
+_LITE = f"filter({X.domain_matches('text', any_case=True)}, d -> {V.is_lite_domain('d')})"
+_SETS = {
+    "ip": (
+        f"concat({_hits(f'filter({X.ipv4_matches("text")}, a -> {V.is_ipv4("a")})', 'ipv4')}, "
+        f"{_hits(X.ipv6_matches('text'), 'ipv6')})"
+    ),
+    "domain": _hits(_LITE, "domain", value="lower(v)"),
+    "url": _hits(_STRICT, "url"),
+    "email": _hits(X.email_matches("text"), "email"),
+    "hash": _hash_hits(X.hash_matches("text")),
+    "cve": _hits(X.cve_matches("text"), "cve", value="upper(v)"),
+}
 
 
 def indicator_set(docs: DataFrame, kind: str) -> DataFrame:
@@ -176,7 +155,7 @@ def indicator_set(docs: DataFrame, kind: str) -> DataFrame:
     ``kind`` is one of ip, domain, url, email, hash, cve.  The text is not
     refanged; domains use the shorter acceptance lists, CVE ids are upper-cased.
     """
-    hits = docs.select(F.explode(_set_expressions(kind)).alias("_hit"))
+    hits = docs.selectExpr(f"explode({_SETS[kind]}) AS _hit")
     return hits.select("_hit.type", "_hit.value").distinct()
 
 
@@ -189,17 +168,12 @@ def extract_custom(docs: DataFrame, specs: Iterable[dict], do_refang: bool = Tru
     """
     specs = list(specs)
     keep = [c for c in docs.columns if c != "text"]
-    staged = docs.withColumn("_raw", refang(F.col("text")) if do_refang else F.col("text"))
-    parts = [
-        _hits(F.regexp_extract_all(F.col("_raw"), F.lit(spec["pattern"]), F.lit(0)), spec["type"])
-        for spec in specs
-    ]
-    rows = staged.select(*keep, F.explode(F.concat(*parts)).alias("_hit")).select(*keep, "_hit.*")
-    valid, value = F.lit(True), F.col("value")
+    parts = [_hits(X.find_all("_raw", spec["pattern"]), spec["type"]) for spec in specs]
+    hits = f"explode(concat({', '.join(parts)})) AS _hit"
+    rows = _raw_text(docs, do_refang).selectExpr(*keep, hits).selectExpr(*keep, "_hit.*")
+    valid = normal = ""
     for spec in specs:
-        mine = F.col("type") == spec["type"]
-        if spec.get("validator"):
-            valid = F.when(mine, F.expr(spec["validator"])).otherwise(valid)
-        if spec.get("normaliser"):
-            value = F.when(mine, F.expr(spec["normaliser"])).otherwise(value)
-    return rows.where(valid).withColumn("value", value)
+        mine = f" WHEN type = {literal(spec['type'])} THEN "
+        valid += mine + (spec.get("validator") or "true")
+        normal += mine + (spec.get("normaliser") or "value")
+    return rows.where(f"CASE{valid} END").withColumn("value", F.expr(f"CASE{normal} END"))

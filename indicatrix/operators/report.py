@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from indicatrix.functions.constants import (
@@ -11,12 +11,12 @@ from indicatrix.functions.constants import (
     TYPE_ORD,
     TYPES,
 )
-from indicatrix.functions.normalize import defang
+from indicatrix.functions.normalize import defang, in_list, literal, lookup
 from indicatrix.operators.extract import resolve_types
-from indicatrix.operators.lookup import lookup
 
 _CONFIDENCE = {t[1]: t[3] for t in TYPES}
 _NOTE = {t[1]: t[4] for t in TYPES}
+IS_HASH = f"type IN {in_list(list(HASH_LENGTHS.values()))}"
 
 
 def filter_types(indicators: DataFrame, names: str) -> DataFrame:
@@ -30,34 +30,29 @@ def filter_types(indicators: DataFrame, names: str) -> DataFrame:
 
 def defang_values(indicators: DataFrame) -> DataFrame:
     """Disarm every value for sharing."""
-    return indicators.withColumn("value", defang(F.col("value")))
+    return indicators.withColumn("value", F.expr(defang("value")))
 
 
 def count_by_type(indicators: DataFrame) -> DataFrame:
-    counts = indicators.groupBy("type").agg(F.count("*").alias("n"))
-    return counts.withColumn("type_ord", lookup(F.col("type"), TYPE_ORD))
+    counts = indicators.groupBy("type").count()
+    return counts.selectExpr("type", "count AS n", f"{lookup('type', TYPE_ORD)} AS type_ord")
 
 
 def count_total(indicators: DataFrame) -> DataFrame:
     """Counts per type with the grand total as type ``total``."""
-    rolled = indicators.rollup("type").agg(F.count("*").alias("n"), F.grouping("type").alias("_all"))
-    type_ = F.when(F.col("_all") == 1, F.lit("total")).otherwise(F.col("type"))
-    return rolled.select(type_.alias("type"), "n")
-
-
-def family(type_: Column) -> Column:
-    return F.when(type_.isin(list(HASH_LENGTHS.values())), F.lit("hash")).otherwise(type_)
+    rolled = indicators.rollup("type").agg(F.expr("count(*) AS n"), F.expr("grouping(type) AS _all"))
+    return rolled.selectExpr("CASE WHEN _all = 1 THEN 'total' ELSE type END AS type", "n")
 
 
 def hash_family_counts(indicators: DataFrame) -> DataFrame:
     """Digest counts per type beside the family total."""
-    hashes = indicators.where(F.col("type").isin(list(HASH_LENGTHS.values())))
-    rolled = hashes.withColumn("family", family(F.col("type"))).rollup("family", "type")
-    counts = rolled.agg(
-        F.count("*").alias("n"), F.grouping("family").alias("_f"), F.grouping("type").alias("_t")
-    ).where("_f = 0")
-    type_ = F.when(F.col("_t") == 1, F.lit("all")).otherwise(F.col("type"))
-    return counts.select("family", type_.alias("type"), "n", (F.col("n") > 0).alias("present"))
+    hashes = indicators.where(IS_HASH).selectExpr("'hash' AS family", "type")
+    counts = hashes.rollup("family", "type").agg(
+        F.expr("count(*) AS n"), F.expr("grouping(family) AS _f"), F.expr("grouping(type) AS _t")
+    )
+    return counts.where("_f = 0").selectExpr(
+        "family", "CASE WHEN _t = 1 THEN 'all' ELSE type END AS type", "n", "n > 0 AS present"
+    )
 
 
 def top_per_type(listed: DataFrame, k: int = REPORT_ROWS_PER_TYPE) -> DataFrame:
@@ -72,31 +67,28 @@ def top_per_type(listed: DataFrame, k: int = REPORT_ROWS_PER_TYPE) -> DataFrame:
 
 def overflow_per_type(listed: DataFrame, k: int = REPORT_ROWS_PER_TYPE) -> DataFrame:
     """How many rows of each type lie beyond its top list."""
-    return count_by_type(listed).withColumn("more", F.greatest(F.col("n") - k, F.lit(0).cast("bigint")))
+    return count_by_type(listed).selectExpr("*", f"greatest(n - {k}, 0) AS more")
 
 
-def flatten_export(listed: DataFrame, source_label: str | Column, default_confidence: str = "High") -> DataFrame:
+def flatten_export(listed: DataFrame, source_label: str, default_confidence: str = "High") -> DataFrame:
     """Export rows ``type, value, confidence, source, note``; sort columns stay."""
-    label = F.lit(source_label) if isinstance(source_label, str) else source_label
-    extra = [c for c in ("type_ord", "ord") if c in listed.columns]
-    return listed.select(
+    return listed.selectExpr(
         "type",
         "value",
-        lookup(F.col("type"), _CONFIDENCE, default_confidence).alias("confidence"),
-        label.alias("source"),
-        lookup(F.col("type"), _NOTE).alias("note"),
-        *extra,
+        f"{lookup('type', _CONFIDENCE, default_confidence)} AS confidence",
+        f"{literal(source_label)} AS source",
+        f"{lookup('type', _NOTE)} AS note",
+        *[c for c in ("type_ord", "ord") if c in listed.columns],
     )
 
 
-def source_label(files: Column, url: Column, cert: Column, label: Column) -> Column:
-    """Label of a run: its files, else its URL, else its CERT feed, else the user's text."""
-    by_files = F.when(F.size(files) <= 3, F.array_join(files, ", ")).otherwise(
-        F.concat(F.size(files).cast("string"), F.lit(" dosya"))
-    )
+def source_label(files: str, url: str, cert: str, label: str) -> str:
+    """Label of a run: its files, else its URL, else its CERT feed, else the user's text.
+
+    Takes and returns SQL expressions; ``files`` is an array.
+    """
+    by_files = f"CASE WHEN size({files}) <= 3 THEN array_join({files}, ', ') ELSE concat(size({files}), ' dosya') END"
     return (
-        F.when(F.size(files) > 0, by_files)
-        .when(url != "", url)
-        .when(cert != "", F.concat(F.lit("CERT-"), cert))
-        .otherwise(label)
+        f"CASE WHEN size({files}) > 0 THEN {by_files} WHEN {url} <> '' THEN {url} "
+        f"WHEN {cert} <> '' THEN concat('CERT-', {cert}) ELSE {label} END"
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from indicatrix.functions.constants import (
@@ -19,7 +19,7 @@ from indicatrix.functions.constants import (
     PROVIDER_TYPES,
     PROVIDERS,
 )
-from indicatrix.operators.lookup import lookup
+from indicatrix.functions.normalize import in_list, literal, lookup
 
 _STATS = "$.data.attributes.last_analysis_stats"
 _ATTRS = "$.data.attributes"
@@ -112,63 +112,65 @@ MAX_NAMES = 5
 MAX_WHOIS = 200
 
 
-def _is(node: Column, kind: str) -> Column:
+def _node(path: str, type_: str = "variant") -> str:
+    return f"try_variant_get(_json, '{path}', '{type_}')"
+
+
+def _is(path: str, kind: str) -> str:
     """Whether a JSON node is absent or of the given kind (OBJECT or ARRAY)."""
-    return node.isNull() | F.startswith(F.schema_of_variant(node), F.lit(kind))
+    return f"({_node(path)} IS NULL OR startswith(schema_of_variant({_node(path)}), '{kind}'))"
 
 
-def _fields(provider: str, kind: str, json: Column) -> dict[str, Column]:
+def _fields(provider: str, kind: str) -> dict[str, str]:
     out = {}
     for name, path, type_, default in PROJECTIONS[(provider, kind)][1]:
-        absent = F.try_variant_get(json, path, "variant").isNull()
-        value = F.try_variant_get(json, path, type_)
-        fallback = F.array().cast(type_) if default == [] else F.lit(default)
+        fallback = "array()" if default == [] else literal(default)
         # An explicit JSON null stays null; only an absent field has a default.
-        out[name] = F.when(absent, fallback.cast(type_)).otherwise(value)
+        out[name] = (
+            f"CASE WHEN {_node(path)} IS NULL THEN CAST({fallback} AS {type_}) ELSE {_node(path, type_)} END"
+        )
     if "names" in out:
-        out["names"] = F.slice(out["names"], 1, MAX_NAMES)
+        out["names"] = f"slice({out['names']}, 1, {MAX_NAMES})"
     if "whois" in out:
-        whois = F.try_variant_get(json, "$.whois", "string")
-        out["whois"] = F.coalesce(F.nullif(F.substring(whois, 1, MAX_WHOIS), F.lit("")), F.lit("N/A"))
+        whois = f"substr({_node('$.whois', 'string')}, 1, {MAX_WHOIS})"
+        out["whois"] = f"coalesce(nullif({whois}, ''), 'N/A')"
     return out
 
 
-def _succeeded(provider: str, kind: str, json: Column) -> Column:
+def _succeeded(provider: str, kind: str) -> str:
     """Whether an answer is an object whose nested parts are objects, too."""
-    ok = json.isNotNull() & F.startswith(F.schema_of_variant(json), F.lit("OBJECT"))
-    for path in PROJECTIONS[(provider, kind)][0]:
-        ok = ok & _is(F.try_variant_get(json, path, "variant"), "OBJECT")
+    tests = ["_json IS NOT NULL", "startswith(schema_of_variant(_json), 'OBJECT')"]
+    tests += [_is(path, "OBJECT") for path in PROJECTIONS[(provider, kind)][0]]
     if (provider, kind) == ("virustotal", "hash"):
-        ok = ok & _is(F.try_variant_get(json, f"{_ATTRS}.names", "variant"), "ARRAY")
-    return ok
+        tests.append(_is(f"{_ATTRS}.names", "ARRAY"))
+    return " AND ".join(tests)
 
 
 def project_reputation(rep_raw: DataFrame, provider: str, kind: str) -> DataFrame:
     """Successful answers of one provider and kind as typed columns, by ``key``."""
-    json = F.col("_json")
-    rows = rep_raw.where((F.col("provider") == provider) & (F.col("kind") == kind))
-    rows = rows.select("key", F.try_parse_json("body").alias("_json"))
-    fields = _fields(provider, kind, json)
-    return rows.where(_succeeded(provider, kind, json)).select(
-        "key", *[c.alias(name) for name, c in fields.items()]
-    )
+    rows = rep_raw.where(f"provider = '{provider}' AND kind = '{kind}'")
+    rows = rows.selectExpr("key", "try_parse_json(body) AS _json").where(_succeeded(provider, kind))
+    return rows.selectExpr("key", *[f"{sql} AS {name}" for name, sql in _fields(provider, kind).items()])
 
 
-def with_payload(answers: DataFrame) -> DataFrame:
+def with_payload(answers: DataFrame, providers: Iterable[str] = PROVIDERS) -> DataFrame:
     """Replace ``body`` by ``payload``, the projected fields as JSON; failed lookups drop out.
 
     One pass over all providers: a row runs the projection of its own provider
-    and kind.
+    and kind.  Failed rows go by way of an empty array, because a filter would be
+    pushed below a join and parse the whole snapshot.
     """
-    json = F.col("_json")
-    payload = F.lit(None).cast("string")
+    providers = set(providers)
+    branches = ""
     for provider, kind in PROJECTIONS:
-        mine = (F.col("provider") == provider) & (F.col("kind") == kind) & _succeeded(provider, kind, json)
-        fields = [c.alias(name) for name, c in _fields(provider, kind, json).items()]
-        body = F.struct(F.col("key").alias(kind), *fields)
-        payload = F.when(mine, F.to_json(body, {"ignoreNullFields": "false"})).otherwise(payload)
-    parsed = answers.withColumn("_json", F.try_parse_json("body")).drop("body")
-    return parsed.withColumn("payload", payload).where("payload IS NOT NULL").drop("_json")
+        if provider in providers:
+            members = ", ".join(f"'{name}', {sql}" for name, sql in _fields(provider, kind).items())
+            body = f"to_json(named_struct('{kind}', key, {members}), map('ignoreNullFields', 'false'))"
+            mine = f"provider = '{provider}' AND kind = '{kind}' AND {_succeeded(provider, kind)}"
+            branches += f" WHEN {mine} THEN {body}"
+    kept = f"explode(array_compact(array(CASE{branches} END))) AS payload"
+    rest = [c for c in answers.columns if c != "body"]
+    return answers.selectExpr(*rest, "try_parse_json(body) AS _json").selectExpr(*rest, kept)
 
 
 def lookup_budget(listed: DataFrame, provider: str, max_lookups: int = DEFAULT_MAX_LOOKUPS) -> DataFrame:
@@ -177,18 +179,20 @@ def lookup_budget(listed: DataFrame, provider: str, max_lookups: int = DEFAULT_M
     ``listed`` is duplicate-free with ``type, value, ord``.  A sort with a limit
     keeps ``max_lookups`` rows per input partition and merges those.
     """
-    eligible = PROVIDER_TYPES[provider]
-    priority = lookup(F.col("type"), {t: i for i, t in enumerate(LOOKUP_PRIORITY)})
+    priority = lookup("type", {t: i for i, t in enumerate(LOOKUP_PRIORITY)})
     picked = (
-        listed.where(F.col("type").isin(eligible))
-        .withColumn("priority", priority)
+        listed.where(f"type IN {in_list(PROVIDER_TYPES[provider])}")
+        .selectExpr("type", "value", "ord", f"{priority} AS priority")
         .orderBy("priority", "ord")
         .limit(max(max_lookups, 0))
     )
-    # At most max_lookups rows from here on.
-    numbered = picked.withColumn("lookup_no", F.row_number().over(Window.orderBy("priority", "ord")))
-    return numbered.select(
-        F.lit(provider).alias("provider"), "lookup_no", "type", "value", lookup(F.col("type"), LOOKUP_KIND).alias("kind")
+    # The window sees at most max_lookups rows.
+    return picked.selectExpr(
+        f"{literal(provider)} AS provider",
+        "row_number() OVER (ORDER BY priority, ord) AS lookup_no",
+        "type",
+        "value",
+        f"{lookup('type', LOOKUP_KIND)} AS kind",
     )
 
 
@@ -217,7 +221,7 @@ def enrich(
     if len(asked) * max_lookups <= BROADCAST_LOOKUPS:
         budget = F.broadcast(budget)
     answers = rep_raw.join(budget, ["provider", "kind", "key"])
-    return with_payload(answers).select("provider", "type", F.col("key").alias("value"), "payload")
+    return with_payload(answers, enabled).selectExpr("provider", "type", "key AS value", "payload")
 
 
 def enrich_provider(
@@ -229,15 +233,15 @@ def enrich_provider(
 
 def merge_last(enriched: DataFrame) -> DataFrame:
     """One answer per value: that of the last provider in merge order."""
-    order = lookup(F.col("provider"), {p: i for i, p in enumerate(PROVIDERS)})
-    last = F.max_by(F.struct("provider", "payload"), order)
-    return enriched.groupBy("value").agg(last.alias("_last")).select("value", "_last.provider", "_last.payload")
+    order = lookup("provider", {p: i for i, p in enumerate(PROVIDERS)})
+    last = enriched.groupBy("value").agg(F.expr(f"max_by(struct(provider, payload), {order}) AS _last"))
+    return last.select("value", "_last.provider", "_last.payload")
 
 
 def merge_all(enriched: DataFrame) -> DataFrame:
     """Every provider's answer per value as a map; a value has at most one per provider."""
-    entries = F.array_sort(F.collect_list(F.struct("provider", "payload")))
-    return enriched.groupBy("value").agg(F.map_from_entries(entries).alias("answers"))
+    entries = "map_from_entries(array_sort(collect_list(struct(provider, payload)))) AS answers"
+    return enriched.groupBy("value").agg(F.expr(entries))
 
 
 def enabled_only(rep_raw: DataFrame, providers: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from indicatrix.functions import sqlfuncs
@@ -81,14 +81,13 @@ def land_pages(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-def page_id() -> Column:
-    return F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint")
+PAGE_ID = "CAST(regexp_extract(path, 'page_id=([0-9]+)', 1) AS BIGINT)"
 
 
 @query
 def scan_docs(spark, sf_dir):
     files = documents.scan_files(spark, land_pages(spark, sf_dir))
-    return files.select(page_id().alias("page_id"), "length", F.md5("text").alias("text_md5"))
+    return files.selectExpr(f"{PAGE_ID} AS page_id", "length", "md5(text) AS text_md5")
 
 
 @query
@@ -103,7 +102,7 @@ def scan_many_docs(spark, sf_dir):
 @query
 def scan_size_guard(spark, sf_dir):
     files = documents.list_files(spark, land_pages(spark, sf_dir), SIZE_LIMIT)
-    return files.select(page_id().alias("page_id"), "length", "accepted")
+    return files.selectExpr(f"{PAGE_ID} AS page_id", "length", "accepted")
 
 
 @query
@@ -114,18 +113,14 @@ def decode_lenient(spark, sf_dir):
 
 
 # --- sources: list feeds ----------------------------------------------------------
-def _exploded(payloads: DataFrame, values) -> DataFrame:
-    return payloads.select("feed", "snapshot", F.posexplode(values).alias("ord", "value"))
-
-
 @query
 def feed_text_lines(spark, sf_dir):
-    return _exploded(feed_payloads(spark, sf_dir), feeds.data_lines(F.col("body")))
+    return feeds.explode_lines(feed_payloads(spark, sf_dir), feeds.data_lines("body"))
 
 
 @query
 def feed_ip_list(spark, sf_dir):
-    return _exploded(feed_payloads(spark, sf_dir), feeds.ip_lines(F.col("body")))
+    return feeds.explode_lines(feed_payloads(spark, sf_dir), feeds.ip_lines("body"))
 
 
 CSV_FEEDS = ["urlhaus", "malbazaar", "threatfox", "sslbl"]
@@ -138,11 +133,7 @@ def feed_csv_rows(spark, sf_dir):
 
 def _feed_query(name: str, *feed_names: str) -> None:
     def run(spark, sf_dir):
-        payloads = feed_payloads(spark, sf_dir)
-        out = feeds.parse_feed(payloads, feed_names[0])
-        for feed in feed_names[1:]:
-            out = out.unionByName(feeds.parse_feed(payloads, feed))
-        return out
+        return feeds.parse_feed(feed_payloads(spark, sf_dir), *feed_names)
 
     QUERIES[name] = run
 
@@ -180,7 +171,7 @@ def feed_rdf(spark, sf_dir):
 
 @query
 def feed_items_text(spark, sf_dir):
-    return _exploded(_cert(spark, sf_dir, "JP"), F.transform(cert.rss_items(F.col("body")), cert.item_text))
+    return cert.rss_lines(_cert(spark, sf_dir, "JP"))
 
 
 @query
@@ -276,8 +267,8 @@ def preset_list(spark, sf_dir):
 
 @query
 def feed_repo_url(spark, sf_dir):
-    url = registry.raw_url(F.col("repo"), F.col("branch"), F.col("path"))
-    requested = D.for_spark(spark, sf_dir, REPO_PATHS).select("o_orderkey", url.alias("url"))
+    url = registry.raw_url("repo", "branch", "path")
+    requested = D.for_spark(spark, sf_dir, REPO_PATHS).selectExpr("o_orderkey", f"{url} AS url")
     return registry.landed_contents(requested, D.for_spark(spark, sf_dir, LANDED_FILES))
 
 
@@ -296,7 +287,7 @@ def corpus_union(spark, sf_dir):
 
 # --- normalisation ----------------------------------------------------------------------
 def _refang(spark, sf_dir):
-    return corpus(spark, sf_dir).select("source", "doc_id", F.md5(refang(F.col("text"))).alias("refanged_md5"))
+    return corpus(spark, sf_dir).selectExpr("source", "doc_id", f"md5({refang('text')}) AS refanged_md5")
 
 
 QUERIES["refang"] = _refang
@@ -304,7 +295,7 @@ QUERIES["refang"] = _refang
 
 def _defang(spark, sf_dir):
     values = dedup.distinct_indicators(indicators(spark, sf_dir))
-    return values.withColumn("defanged", defang(F.col("value")))
+    return values.selectExpr("type", "value", f"{defang('value')} AS defanged")
 
 
 QUERIES["defang"] = _defang
@@ -356,8 +347,8 @@ WIDE_LISTS = [
 @query
 def extract_wide_rows(spark, sf_dir):
     wide = extract_wide(corpus(spark, sf_dir), RUN_TS)
-    lists = [F.array_join(name, " ").alias(name) for name in WIDE_LISTS]
-    return wide.select("source", "doc_id", *lists, "extracted_at")
+    lists = [f"array_join({name}, ' ') AS {name}" for name in WIDE_LISTS]
+    return wide.selectExpr("source", "doc_id", *lists, "extracted_at")
 
 
 QUERIES["extract_wide"] = QUERIES.pop("extract_wide_rows")
@@ -451,7 +442,7 @@ CHECKS = {
 def _check_query(name: str) -> None:
     def run(spark, sf_dir):
         rows = D.for_spark(spark, sf_dir, D.candidates(CANDIDATES[name]))
-        return rows.select("doc_id", "value", CHECKS[name](F.col("value")).alias("result"))
+        return rows.selectExpr("doc_id", "value", f"{CHECKS[name]('value')} AS result")
 
     QUERIES[name] = run
 
@@ -533,11 +524,9 @@ RUNS = (
 
 @query
 def source_label(spark, sf_dir):
-    runs = D.for_spark(spark, sf_dir, RUNS)
-    numbers = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("files")), lambda i: i > 0)
-    files = F.transform(numbers, lambda i: F.concat(F.lit("f"), i.cast("string")))
-    label = report.source_label(files, F.col("url"), F.col("cert"), F.col("label"))
-    return runs.select("o_orderkey", label.alias("source"))
+    files = "transform(filter(sequence(0L, files), i -> i > 0), i -> concat('f', i))"
+    label = report.source_label(files, "url", "cert", "label")
+    return D.for_spark(spark, sf_dir, RUNS).selectExpr("o_orderkey", f"{label} AS source")
 
 
 # --- sinks ------------------------------------------------------------------------------------
@@ -587,7 +576,7 @@ TLPS = (
 
 @query
 def tlp_marking(spark, sf_dir):
-    return D.for_spark(spark, sf_dir, TLPS).withColumn("marking", stix.tlp_marking(F.col("tlp")))
+    return D.for_spark(spark, sf_dir, TLPS).selectExpr("*", f"{stix.tlp_marking('tlp')} AS marking")
 
 
 @query
@@ -614,8 +603,8 @@ LIST_FIELDS = {"names", "ports", "vulns"}
 def _rep_query(name: str, provider: str, kind: str) -> None:
     def run(spark, sf_dir):
         rows = rep.project_reputation(rep_raw(spark, sf_dir), provider, kind)
-        return rows.select(
-            *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) if c in LIST_FIELDS else F.col(c) for c in rows.columns]
+        return rows.selectExpr(
+            *[f"array_join(CAST({c} AS ARRAY<STRING>), ',') AS {c}" if c in LIST_FIELDS else c for c in rows.columns]
         )
 
     QUERIES[name] = run
@@ -639,9 +628,7 @@ def enrich_merge_last(spark, sf_dir):
 @query
 def enrich_merge_all(spark, sf_dir):
     merged = rep.merge_all(_enriched(spark, sf_dir, stored_list(spark, sf_dir)))
-    return merged.select(
-        "value", *[F.try_element_at("answers", F.lit(p)).alias(p) for p in PROVIDERS]
-    )
+    return merged.selectExpr("value", *[f"try_element_at(answers, '{p}') AS {p}" for p in PROVIDERS])
 
 
 @query

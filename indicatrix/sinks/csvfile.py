@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 FIELDS = ["type", "value", "confidence", "source", "note"]
 
 
-def _cell(value: Column) -> Column:
-    quoted = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
-    return F.when(F.rlike(value, F.lit('[",\r\n]')), quoted).otherwise(value)
+def _cell(name: str) -> str:
+    quoted = f"concat('\"', replace({name}, '\"', '\"\"'), '\"')"
+    return f"CASE WHEN rlike({name}, '[\",\\r\\n]') THEN {quoted} ELSE {name} END"
 
 
 def csv_line(rows: DataFrame) -> DataFrame:
     """Each export row as its CSV line, beside the row's sort columns."""
-    line = F.concat_ws(",", *[_cell(F.col(name)) for name in FIELDS])
-    return rows.select(*[c for c in rows.columns if c not in FIELDS], line.alias("line"))
+    line = f"concat_ws(',', {', '.join(_cell(name) for name in FIELDS)}) AS line"
+    return rows.selectExpr(*[c for c in rows.columns if c not in FIELDS], line)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

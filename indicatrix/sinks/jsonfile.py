@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from indicatrix.functions.constants import ALL_TYPES, LIST_KEY, TYPE_ORD
-from indicatrix.operators.lookup import lookup
+from indicatrix.functions.normalize import literal, lookup
 from indicatrix.sinks import lines as L
 
 
-def json_string(value: Column) -> Column:
+def json_string(x: str) -> str:
     """A JSON string literal, non-ASCII characters as they are."""
-    wrapped = F.to_json(F.array(value))
-    return F.substr(wrapped, F.lit(2), F.length(wrapped) - 2)
+    wrapped = f"to_json(array({x}))"
+    return f"substr({wrapped}, 2, length({wrapped}) - 2)"
 
 
 def _extent(listed: DataFrame) -> DataFrame:
     """``type_ord, last``: the last position per type; at most one row per type."""
-    return listed.groupBy("type_ord").agg(F.max("ord").alias("last"))
+    return listed.groupBy("type_ord").agg(F.expr("max(ord) AS last"))
 
 
 def json_document(
@@ -30,63 +30,63 @@ def json_document(
 ) -> DataFrame:
     """The result document of a run, two-space indented.
 
-    ``listed`` has ``type, type_ord, value, ord``.  With ``tlp`` this is the
-    full result, to which ``enrichment`` (``value, payload``) adds its answers.
+    ``listed`` has ``type, type_ord, value, ord`` and is read several times, so
+    store it first.  With ``tlp`` this is the full result, to which
+    ``enrichment`` (``value, payload``) adds its answers.
     """
     listed = listed.select("type_ord", "value", "ord")
-    totals = listed.agg(F.count("*").alias("total"))
-    label = json_string(F.lit(source))
+    totals = listed.agg(F.expr("count(*) AS total"))
+    q = literal
     head = [
-        "{",
-        '  "metadata": {',
-        F.concat(F.lit('    "source": '), label, F.lit(",")),
-        F.concat(F.lit('    "total_iocs": '), F.col("total").cast("string"), F.lit("," if tlp else "")),
+        q("{"),
+        q('  "metadata": {'),
+        f"concat({q('    \"source\": ')}, {json_string(q(source))}, ',')",
+        f"concat({q('    \"total_iocs\": ')}, total, {q(',' if tlp else '')})",
     ]
     if tlp:
-        head.append(F.concat(F.lit('    "tlp": '), json_string(F.lit(tlp))))
-    head += ["  },", '  "iocs": {']
+        head.append(f"concat({q('    \"tlp\": ')}, {json_string(q(tlp))})")
+    head += [q("  },"), q('  "iocs": {')]
 
     # Every type has its list, so the extent starts from the type table.
     spark = listed.sparkSession
-    types = spark.createDataFrame([(TYPE_ORD[t],) for t in ALL_TYPES], "type_ord int")
+    types = spark.range(1, len(ALL_TYPES) + 1).selectExpr("CAST(id AS INT) AS type_ord")
     extent = types.join(F.broadcast(_extent(listed)), "type_ord", "left")
-    key = lookup(F.col("type_ord"), {TYPE_ORD[t]: LIST_KEY[t] for t in ALL_TYPES})
-    empty = F.col("last").isNull()
-    opening = F.concat(F.lit('    "'), key, F.when(empty, F.lit('": [],')).otherwise(F.lit('": [')))
-    closing = extent.where(~empty)
+    key = lookup("type_ord", {TYPE_ORD[t]: LIST_KEY[t] for t in ALL_TYPES})
+    opening = f"concat('    \"', {key}, CASE WHEN last IS NULL THEN '\": [],' ELSE '\": [' END)"
 
     items = listed.join(F.broadcast(_extent(listed)), "type_ord")
-    comma = F.when(F.col("ord") == F.col("last"), F.lit("")).otherwise(F.lit(","))
-    item = F.concat(F.lit("      "), json_string(F.col("value")), comma)
+    item = f"concat('      ', {json_string('value')}, CASE WHEN ord = last THEN '' ELSE ',' END)"
 
-    stamp = F.concat(F.lit('      "extracted_at": '), json_string(F.lit(run_ts)))
-    tail = ['    "metadata": {', stamp, "    }", "  }"]
+    stamp = f"concat({q('      \"extracted_at\": ')}, {json_string(q(run_ts))})"
+    tail = [q('    "metadata": {'), stamp, q("    }"), q("  }")]
     if enrichment is None:
-        tail.append("}")
+        tail.append(q("}"))
     parts = [
         L.fixed(totals, 0, head),
         L.block(extent, 1, 0, opening),
         L.block(items, 1, 1, item),
-        L.block(closing, 1, 2, F.lit("    ],")),
+        L.block(extent.where("last IS NOT NULL"), 1, 2, "'    ],'"),
         L.fixed(totals, 2, tail),
     ]
     if enrichment is not None:
         # A comma after the previous member is a line of its own: valid JSON,
         # and absent when no lookup succeeded.
         answers = enrichment.select("value", "payload")
-        end = answers.agg(F.max("value").alias("last"), F.count("*").alias("n"))
+        end = answers.agg(F.expr("max(value) AS last"), F.expr("count(*) AS n"))
         some = end.where("n > 0")
         rows = answers.join(F.broadcast(end.select("last")), F.col("value") == F.col("last"), "left")
-        last = F.when(F.col("last").isNotNull(), F.lit("")).otherwise(F.lit(","))
-        line = F.concat(F.lit("    "), json_string(F.col("value")), F.lit(": "), F.col("payload"), last)
+        comma = "CASE WHEN last IS NOT NULL THEN '' ELSE ',' END"
         parts += [
-            L.fixed(some, 3, ["  ,", '  "enrichment": {']),
-            L.block(rows, 4, 0, line, per_type=False),
-            L.fixed(some, 5, ["  }"]),
-            L.fixed(totals, 6, ["}"]),
+            L.fixed(some, 3, [q("  ,"), q('  "enrichment": {')]),
+            L.block(rows, 4, 0, f"concat('    ', {json_string('value')}, ': ', payload, {comma})", type_ord="0"),
+            L.fixed(some, 5, [q("  }")]),
+            L.fixed(totals, 6, [q("}")]),
         ]
     return L.stack(*parts)
 
 
 def write_json(document: DataFrame, path: str) -> None:
     L.write_document(document, path)
+
+
+assert [TYPE_ORD[t] for t in ALL_TYPES] == list(range(1, len(ALL_TYPES) + 1))

@@ -11,35 +11,26 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 SORT_KEYS = ["section", "type_ord", "part", "ord"]
-_ORD = "decimal(38,0)"
 
 
-def block(rows: DataFrame, section: int, part: int, line: Column, per_type: bool = True) -> DataFrame:
-    """One line per row of ``rows``."""
-    return rows.select(
-        F.lit(section).alias("section"),
-        (F.col("type_ord") if per_type else F.lit(0)).cast("int").alias("type_ord"),
-        F.lit(part).alias("part"),
-        (F.col("ord") if "ord" in rows.columns else F.lit(0)).cast(_ORD).alias("ord"),
-        line.alias("line"),
+def block(rows: DataFrame, section: int, part: int, line: str, type_ord: str = "type_ord") -> DataFrame:
+    """One line, a SQL expression, per row of ``rows``."""
+    return rows.selectExpr(
+        f"{section} AS section",
+        f"CAST({type_ord} AS INT) AS type_ord",
+        f"{part} AS part",
+        f"CAST({'ord' if 'ord' in rows.columns else 0} AS DECIMAL(38, 0)) AS ord",
+        f"{line} AS line",
     )
 
 
-def fixed(one_row: DataFrame, section: int, lines: Sequence[Column | str]) -> DataFrame:
-    """Several lines from a single-row DataFrame, e.g. one with the totals."""
-    texts = F.array(*[F.lit(line) if isinstance(line, str) else line for line in lines])
-    rows = one_row.select(F.posexplode(texts).alias("i", "line"))
-    return rows.select(
-        F.lit(section).alias("section"),
-        F.lit(0).alias("type_ord"),
-        F.lit(0).alias("part"),
-        F.col("i").cast(_ORD).alias("ord"),
-        "line",
-    )
+def fixed(one_row: DataFrame, section: int, lines: Sequence[str]) -> DataFrame:
+    """Several lines, SQL expressions over a single row such as one with the totals."""
+    rows = one_row.selectExpr(f"posexplode(array({', '.join(lines)})) AS (ord, line)")
+    return block(rows, section, 0, "line", type_ord="0")
 
 
 def stack(*parts: DataFrame) -> DataFrame:

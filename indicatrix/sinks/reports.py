@@ -1,4 +1,7 @@
-"""Markdown and plain-text reports as ordered lines."""
+"""Markdown and plain-text reports as ordered lines.
+
+The indicators are read several times, so store them first.
+"""
 
 from __future__ import annotations
 
@@ -7,18 +10,19 @@ from pyspark.sql import functions as F
 
 from indicatrix.functions.constants import (
     ALL_TYPES,
-    HASH_LENGTHS,
     MARKDOWN_LABELS,
     MARKDOWN_NOTES,
     MARKDOWN_TITLE,
     REPORT_ROWS_PER_TYPE,
     TEXT_LABELS,
 )
-from indicatrix.operators.lookup import lookup
-from indicatrix.operators.report import count_by_type, overflow_per_type, top_per_type
+from indicatrix.functions.normalize import literal, lookup
+from indicatrix.operators.report import IS_HASH, count_by_type, overflow_per_type, top_per_type
 from indicatrix.sinks import lines as L
 
-_HASHES = list(HASH_LENGTHS.values())
+
+def _texts(*lines: str) -> list[str]:
+    return [literal(line) for line in lines]
 
 
 def markdown_report(
@@ -27,64 +31,62 @@ def markdown_report(
     """Summary, distribution and the first ``top`` indicators of each type."""
     listed = listed.select("type", "type_ord", "value", "ord")
     counts = overflow_per_type(listed, top)
-    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    label = lookup(F.col("type"), MARKDOWN_LABELS)
-    n = F.col("n").cast("string")
+    totals = counts.agg(F.expr("coalesce(sum(n), 0) AS total"))
+    label = lookup("type", MARKDOWN_LABELS)
     head = [
-        MARKDOWN_TITLE,
-        "",
-        "---",
-        "",
-        "## Executive Summary",
-        f"- **Kaynak:** `{source}`",
-        f"- **Tarih:** {run_ts}",
-        F.concat(F.lit("- **Toplam IOC:** **"), F.col("total").cast("string"), F.lit("**")),
-        f"- **Confidence:** {confidence}",
-        "",
-        "## IOC Dağılımı",
-        "",
-        "| IOC Türü | Adet |",
-        "|----------|------|",
+        *_texts(
+            MARKDOWN_TITLE,
+            "",
+            "---",
+            "",
+            "## Executive Summary",
+            f"- **Kaynak:** `{source}`",
+            f"- **Tarih:** {run_ts}",
+        ),
+        "concat('- **Toplam IOC:** **', total, '**')",
+        *_texts(
+            f"- **Confidence:** {confidence}",
+            "",
+            "## IOC Dağılımı",
+            "",
+            "| IOC Türü | Adet |",
+            "|----------|------|",
+        ),
     ]
-    notes = ["---", "", "## Kullanım Notları", *MARKDOWN_NOTES]
     more = counts.where("more > 0")
     return L.stack(
         L.fixed(totals, 0, head),
-        L.block(counts, 1, 0, F.concat(F.lit("| "), label, F.lit(" | "), n, F.lit(" |"))),
-        L.fixed(totals, 2, ["", "## Detaylı IOC Listesi", ""]),
-        L.block(counts, 3, 0, F.concat(F.lit("### "), label, F.lit(" ("), n, F.lit(" adet)"))),
-        L.block(top_per_type(listed, top), 3, 1, F.concat(F.lit("- `"), F.col("value"), F.lit("`"))),
-        L.block(
-            more, 3, 2, F.concat(F.lit("- ... ve "), F.col("more").cast("string"), F.lit(" adet daha"))
-        ),
-        L.block(counts, 3, 3, F.lit("")),
-        L.fixed(totals, 4, notes),
+        L.block(counts, 1, 0, f"concat('| ', {label}, ' | ', n, ' |')"),
+        L.fixed(totals, 2, _texts("", "## Detaylı IOC Listesi", "")),
+        L.block(counts, 3, 0, f"concat('### ', {label}, ' (', n, ' adet)')"),
+        L.block(top_per_type(listed, top), 3, 1, "concat('- `', value, '`')"),
+        L.block(more, 3, 2, "concat('- ... ve ', more, ' adet daha')"),
+        L.block(counts, 3, 3, "''"),
+        L.fixed(totals, 4, _texts("---", "", "## Kullanım Notları", *MARKDOWN_NOTES)),
     )
 
 
 def text_report(listed: DataFrame, source: str, run_ts: str) -> DataFrame:
     """Every indicator under its heading; digests share one heading."""
     listed = listed.select("type", "type_ord", "value", "ord")
-    is_hash = F.col("type").isin(_HASHES)
     counts = count_by_type(listed)
     totals = counts.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
-        F.coalesce(F.max(is_hash), F.lit(False)).alias("hashes"),
+        F.expr("coalesce(sum(n), 0) AS total"), F.expr(f"coalesce(max({IS_HASH}), false) AS hashes")
     )
-    label = lookup(F.col("type"), TEXT_LABELS)
-    n = F.col("n").cast("string")
-    head = ["=" * 40, "  IOC Extraction Report", "=" * 40, f"Source: {source}", f"Date: {run_ts}", ""]
-    item = F.col("value")
+    label = lookup("type", TEXT_LABELS)
+    rule = "=" * 40
+    head = _texts(rule, "  IOC Extraction Report", rule, f"Source: {source}", f"Date: {run_ts}", "")
+    plain = f"NOT {IS_HASH}"
     return L.stack(
         L.fixed(totals, 0, head),
-        L.block(counts.where(~is_hash), 1, 0, F.concat(F.lit("["), label, F.lit("] ("), n, F.lit(" found)"))),
-        L.block(listed.where(~is_hash), 1, 1, F.concat(F.lit("  - "), item)),
-        L.block(counts.where(~is_hash), 1, 2, F.lit("")),
-        L.fixed(totals.where("hashes"), 2, ["[Hashes]"]),
-        L.block(counts.where(is_hash), 3, 0, F.concat(F.lit("  "), label, F.lit(" ("), n, F.lit(" found):"))),
-        L.block(listed.where(is_hash), 3, 1, F.concat(F.lit("    - "), item)),
-        L.fixed(totals.where("hashes"), 4, [""]),
-        L.fixed(totals, 5, [F.concat(F.lit("Total IOCs: "), F.col("total").cast("string"))]),
+        L.block(counts.where(plain), 1, 0, f"concat('[', {label}, '] (', n, ' found)')"),
+        L.block(listed.where(plain), 1, 1, "concat('  - ', value)"),
+        L.block(counts.where(plain), 1, 2, "''"),
+        L.fixed(totals.where("hashes"), 2, _texts("[Hashes]")),
+        L.block(counts.where(IS_HASH), 3, 0, f"concat('  ', {label}, ' (', n, ' found):')"),
+        L.block(listed.where(IS_HASH), 3, 1, "concat('    - ', value)"),
+        L.fixed(totals.where("hashes"), 4, _texts("")),
+        L.fixed(totals, 5, ["concat('Total IOCs: ', total)"]),
     )
 
 

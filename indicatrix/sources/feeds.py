@@ -11,114 +11,107 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from indicatrix.functions import patterns as P
-from indicatrix.functions.normalize import strip
+from indicatrix.functions.normalize import in_list, literal, strip
 
-_STRINGS = "array<string>"
-_FIELD = r',("(?:[^"]++|"")*+"[^,]*+|[^,]*+)'
-_QUOTED = r'^"((?:[^"]++|"")*+)"'
+_FIELD = literal(r',("(?:[^"]++|"")*+"[^,]*+|[^,]*+)')
+_QUOTED = literal(r'^"((?:[^"]++|"")*+)"')
 
 
-# --- line level ---------------------------------------------------------------
-def split_lines(body: Column) -> Column:
-    return F.split(body, P.LINE_BREAK)
+# --- line level: SQL expressions over a body or a line --------------------------
+def split_lines(body: str) -> str:
+    return f"split({body}, {literal(P.LINE_BREAK)})"
 
 
-def raw_lines(body: Column) -> Column:
+def raw_lines(body: str) -> str:
     """The lines of the text as they stand, blank ones left out."""
-    return F.filter(split_lines(body), lambda line: strip(line) != "")
+    return f"filter({split_lines(body)}, r -> {strip('r')} <> '')"
 
 
-def data_lines(body: Column) -> Column:
+def data_lines(body: str) -> str:
     """Trimmed lines without blank and ``#`` comment lines."""
-    lines = F.transform(split_lines(body), strip)
-    return F.filter(lines, lambda line: (line != "") & ~F.startswith(line, F.lit("#")))
+    return f"filter(transform({split_lines(body)}, l -> {strip('l')}), l -> l <> '' AND NOT startswith(l, '#'))"
 
 
-def ip_lines(body: Column) -> Column:
+def ip_lines(body: str) -> str:
     """Address lists: also without ``;`` comments, whole-line or trailing."""
-    lines = F.filter(data_lines(body), lambda line: ~F.startswith(line, F.lit(";")))
-    return F.array_remove(F.transform(lines, lambda line: strip(F.substring_index(line, ";", 1))), "")
+    lines = f"filter({data_lines(body)}, l -> NOT startswith(l, ';'))"
+    front = strip("substring_index(l, ';', 1)")
+    return f"array_remove(transform({lines}, l -> {front}), '')"
 
 
-def csv_fields(line: Column) -> Column:
+def csv_fields(line: str) -> str:
     """The fields of one CSV record, quotes resolved; its size is the row width."""
-    fields = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), F.lit(1))
+    inner = f"replace(regexp_extract(f, {_QUOTED}, 1), '\"\"', '\"')"
+    text = f"concat({inner}, regexp_replace(f, {_QUOTED}, ''))"
+    fields = f"regexp_extract_all(concat(',', {line}), {_FIELD}, 1)"
+    return f"transform({fields}, f -> CASE WHEN startswith(f, '\"') THEN {text} ELSE f END)"
 
-    def resolve(field: Column) -> Column:
-        inner = F.regexp_extract(field, _QUOTED, 1)
-        rest = F.regexp_replace(field, _QUOTED, "")
-        text = F.concat(F.replace(inner, F.lit('""'), F.lit('"')), rest)
-        return F.when(F.startswith(field, F.lit('"')), text).otherwise(field)
 
-    return F.transform(fields, resolve)
+def csv_rows(body: str) -> str:
+    return f"transform({data_lines(body)}, l -> {csv_fields('l')})"
 
 
-def csv_rows(body: Column) -> Column:
-    return F.transform(data_lines(body), csv_fields)
-
-
-def _unquoted(field: Column) -> Column:
-    return F.btrim(field, F.lit('"'))
+def _column(body: str, index: int) -> str:
+    """One column of the rows that have it, surrounding quotes removed."""
+    present = f"filter({csv_rows(body)}, row -> size(row) > {index})"
+    return f"transform({present}, row -> btrim(row[{index}], '\"'))"
 
 
-def _column(rows: Column, index: int) -> Column:
-    """One column of the rows that have it, surrounding quotes removed."""
-    present = F.filter(rows, lambda row: F.size(row) > index)
-    return F.transform(present, lambda row: _unquoted(row[index]))
+def _filled(values: str) -> str:
+    return f"array_remove(transform({values}, x -> {strip('x')}), '')"
 
 
 # --- one parser per feed shape --------------------------------------------------
-def _urlhaus(body: Column) -> Column:
-    return F.filter(_column(csv_rows(body), 2), lambda url: F.startswith(url, F.lit("http")))
+def _urlhaus(body: str) -> str:
+    return f"filter({_column(body, 2)}, u -> startswith(u, 'http'))"
 
 
-def _malbazaar(body: Column) -> Column:
-    wide = F.filter(csv_rows(body), lambda row: F.size(row) > 2)
-    cells = F.flatten(F.transform(wide, lambda row: F.slice(row, 1, 3)))
-    hashes = F.transform(cells, lambda cell: strip(_unquoted(cell)))
-    return F.filter(hashes, lambda h: F.length(h).isin(32, 40, 64))
+def _malbazaar(body: str) -> str:
+    wide = f"filter({csv_rows(body)}, row -> size(row) > 2)"
+    cells = f"flatten(transform({wide}, row -> slice(row, 1, 3)))"
+    cell = strip("btrim(c, '\"')")
+    return f"filter(transform({cells}, c -> {cell}), h -> length(h) IN (32, 40, 64))"
 
 
-def _third_column(body: Column) -> Column:
-    return F.array_remove(F.transform(_column(csv_rows(body), 2), strip), "")
+def _third_column(body: str) -> str:
+    return _filled(_column(body, 2))
 
 
-def _second_column(body: Column) -> Column:
-    return F.array_remove(F.transform(_column(csv_rows(body), 1), strip), "")
+def _second_column(body: str) -> str:
+    return _filled(_column(body, 1))
 
 
-def _bambenek(body: Column) -> Column:
-    names = F.transform(data_lines(body), lambda line: strip(F.substring_index(line, ",", 1)))
-    return F.array_remove(names, "")
+def _bambenek(body: str) -> str:
+    return _filled(f"transform({data_lines(body)}, l -> substring_index(l, ',', 1))")
 
 
-def _url_index(body: Column) -> Column:
+def _url_index(body: str) -> str:
     """Place of the ``url`` column in the header line, the second one by default."""
-    header = csv_fields(F.get(F.split(body, P.LINE_BREAK, 2), F.lit(0)))
-    place = F.array_position(F.transform(header, lambda name: F.lower(strip(name))), "url")
-    return F.when(place > 0, place - 1).otherwise(F.lit(1)).cast("int")
+    header = csv_fields(f"get(split({body}, {literal(P.LINE_BREAK)}, 2), 0)")
+    name = f"lower({strip('n')})"
+    place = f"array_position(transform({header}, n -> {name}), 'url')"
+    return f"CAST(coalesce(nullif({place}, 0), 2) - 1 AS INT)"
 
 
-def _phishtank(body: Column) -> Column:
+def _phishtank(body: str) -> str:
     """Reads ``_url_index``, which :func:`_staged` finds once per payload."""
-    index = F.col("_url_index")
-    records = F.transform(F.filter(split_lines(body), lambda line, i: i > 0), csv_fields)
-    wide = F.filter(records, lambda row: F.size(row) > index)
-    return F.array_remove(F.transform(wide, lambda row: strip(F.get(row, index))), "")
+    records = f"transform(filter({split_lines(body)}, (l, i) -> i > 0), l -> {csv_fields('l')})"
+    wide = f"filter({records}, row -> size(row) > _url_index)"
+    return _filled(f"transform({wide}, row -> get(row, _url_index))")
 
 
 def _staged(payloads: DataFrame) -> DataFrame:
     """Non-empty payloads with what a parser needs once per payload, not once per line."""
-    found = F.when(F.col("feed") == "phishtank", _url_index(F.col("body")))
-    return payloads.where(F.col("body") != "").withColumn("_url_index", found)
+    found = f"CASE WHEN feed = 'phishtank' THEN {_url_index('body')} END"
+    return payloads.where("body <> ''").withColumn("_url_index", F.expr(found))
 
 
 # feed -> (family, parser, whether the raw text is used when nothing parses)
-FEEDS: dict[str, tuple[str, Callable[[Column], Column], bool]] = {
+FEEDS: dict[str, tuple[str, Callable[[str], str], bool]] = {
     "urlhaus": ("abuse_ch", _urlhaus, True),
     "malbazaar": ("abuse_ch", _malbazaar, True),
     "threatfox": ("abuse_ch", _third_column, True),
@@ -136,67 +129,60 @@ FEEDS: dict[str, tuple[str, Callable[[Column], Column], bool]] = {
 }
 
 
-def explode_values(payloads: DataFrame, values: Column, fallback: bool) -> DataFrame:
-    """``feed, snapshot, ord, value, fallback`` from an array of values per payload."""
-    staged = _staged(payloads).select("feed", "snapshot", "body", values.alias("_values"))
-    if fallback:
-        unparsed = F.coalesce(F.size("_values") <= 0, F.lit(True))
-        staged = staged.select(
-            "feed",
-            "snapshot",
-            F.when(unparsed, raw_lines(F.col("body"))).otherwise(F.col("_values")).alias("_values"),
-            unparsed.alias("fallback"),
-        )
-    else:
-        staged = staged.select("feed", "snapshot", "_values", F.lit(False).alias("fallback"))
-    return staged.select("feed", "snapshot", "fallback", F.posexplode("_values").alias("ord", "value"))
+def explode_values(payloads: DataFrame, values: str, with_raw: str) -> DataFrame:
+    """``feed, snapshot, fallback, ord, value`` from an array of values per payload.
 
+    ``with_raw`` is the condition under which a payload without values counts
+    with its raw text.
+    """
+    parsed = payloads.where("body <> ''").selectExpr("feed", "snapshot", "body", f"{values} AS _values")
+    chosen = parsed.selectExpr("*", f"({with_raw}) AND coalesce(size(_values) <= 0, true) AS fallback").selectExpr(
+        "feed", "snapshot", "fallback", f"CASE WHEN fallback THEN {raw_lines('body')} ELSE _values END AS _values"
+    )
+    return chosen.selectExpr("feed", "snapshot", "fallback", "posexplode(_values) AS (ord, value)")
 
-def parse_feed(payloads: DataFrame, feed: str) -> DataFrame:
-    """The values of one feed."""
-    _, parser, fallback = FEEDS[feed]
-    mine = payloads.where(F.col("feed") == feed)
-    return explode_values(mine, parser(F.col("body")).cast(_STRINGS), fallback)
 
+def _parse(payloads: DataFrame, feeds: list[str]) -> DataFrame:
+    branches = ""
+    for parser in dict.fromkeys(FEEDS[name][1] for name in feeds):
+        names = [name for name in feeds if FEEDS[name][1] is parser]
+        branches += f" WHEN feed IN {in_list(names)} THEN {parser('body')}"
+    with_raw = [name for name in feeds if FEEDS[name][2]]
+    mine = _staged(payloads.where(F.col("feed").isin(feeds)))
+    return explode_values(mine, f"CASE{branches} END", f"feed IN {in_list(with_raw)}" if with_raw else "false")
 
-def parse_all(payloads: DataFrame, family: str | None = None) -> DataFrame:
-    """The values of all list feeds, or of one family, in a single pass.
+
+def parse_feed(payloads: DataFrame, *feeds: str) -> DataFrame:
+    """The values of some feeds in a single pass.
 
     Each payload runs the parser of its own feed only; provenance is the
     ``feed`` column, so no header text is mixed into what is scanned later.
     """
-    chosen = {name: spec for name, spec in FEEDS.items() if family in (None, spec[0])}
-    feed, body = F.col("feed"), F.col("body")
-    values = F.lit(None).cast(_STRINGS)
-    for parser in dict.fromkeys(spec[1] for spec in chosen.values()):
-        names = [name for name, spec in chosen.items() if spec[1] is parser]
-        values = F.when(feed.isin(names), parser(body).cast(_STRINGS)).otherwise(values)
-    with_raw = [name for name, spec in chosen.items() if spec[2]]
-    mine = payloads.where(feed.isin(list(chosen)))
-    staged = _staged(mine).select("feed", "snapshot", "body", values.alias("_values"))
-    unparsed = feed.isin(with_raw) & (F.size("_values") <= 0)
-    staged = staged.select(
-        "feed",
-        "snapshot",
-        unparsed.alias("fallback"),
-        F.when(unparsed, raw_lines(body)).otherwise(F.col("_values")).alias("_values"),
-    )
-    return staged.select("feed", "snapshot", "fallback", F.posexplode("_values").alias("ord", "value"))
+    return _parse(payloads, list(feeds))
+
+
+def parse_all(payloads: DataFrame, family: str | None = None) -> DataFrame:
+    """The values of all list feeds, or of one family."""
+    return _parse(payloads, [name for name, spec in FEEDS.items() if family in (None, spec[0])])
+
+
+def explode_lines(payloads: DataFrame, lines: str) -> DataFrame:
+    """``feed, snapshot, ord, value`` from an expression that gives lines."""
+    return payloads.selectExpr("feed", "snapshot", f"posexplode({lines}) AS (ord, value)")
 
 
 def csv_table(payloads: DataFrame) -> DataFrame:
     """CSV records of landed payloads: ``feed, snapshot, ord, width, c0, c1, c2``."""
-    rows = payloads.select("feed", "snapshot", F.posexplode(csv_rows(F.col("body"))).alias("ord", "_row"))
-    fields = [F.get("_row", F.lit(i)).alias(f"c{i}") for i in range(3)]
-    return rows.select("feed", "snapshot", "ord", F.size("_row").alias("width"), *fields)
+    rows = payloads.selectExpr("feed", "snapshot", f"posexplode({csv_rows('body')}) AS (ord, _row)")
+    fields = [f"get(_row, {i}) AS c{i}" for i in range(3)]
+    return rows.selectExpr("feed", "snapshot", "ord", "size(_row) AS width", *fields)
 
 
-def values_as_documents(values: DataFrame, source_ord: int, source: Column | None = None) -> DataFrame:
+def values_as_documents(values: DataFrame, source_ord: int) -> DataFrame:
     """Feed values in the document schema: one document per value."""
-    name = F.col("feed") if source is None else source
-    return values.select(
-        F.lit(source_ord).alias("source_ord"),
-        name.alias("source"),
-        (F.col("snapshot") * 1_000_000 + F.col("ord")).alias("doc_id"),
-        F.col("value").alias("text"),
+    return values.selectExpr(
+        f"{source_ord} AS source_ord",
+        "feed AS source",
+        "snapshot * 1000000 + ord AS doc_id",
+        "value AS text",
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FEED_SCHEMA = "key string, name string, url string, format string, type string"
@@ -122,35 +122,26 @@ def upsert(feeds: DataFrame, new: DataFrame) -> DataFrame:
 
 def custom_feeds(rows: DataFrame) -> DataFrame:
     """User feeds ``name, url`` in registry form: text format, custom family."""
-    return rows.select(
-        F.col("name").alias("key"),
-        "name",
-        "url",
-        F.lit("text").alias("format"),
-        F.lit("custom").alias("type"),
-    )
+    return rows.selectExpr("name AS key", "name", "url", "'text' AS format", "'custom' AS type")
 
 
 def summary(feeds: DataFrame) -> DataFrame:
-    return feeds.groupBy("type", "format").agg(F.count("*").alias("n"))
+    return feeds.groupBy("type", "format").agg(F.expr("count(*) AS n"))
 
 
-def raw_url(repo: Column, branch: Column, path: Column) -> Column:
-    """URL of one file of a repository; branch and path have defaults."""
-    return F.concat_ws(
-        "/",
-        F.lit(RAW_HOST),
-        repo,
-        F.coalesce(branch, F.lit(DEFAULT_BRANCH)),
-        F.coalesce(path, F.lit(DEFAULT_PATH)),
+def raw_url(repo: str, branch: str, path: str) -> str:
+    """URL of one file of a repository as SQL; branch and path have defaults."""
+    return (
+        f"concat_ws('/', '{RAW_HOST}', {repo}, coalesce({branch}, '{DEFAULT_BRANCH}'), "
+        f"coalesce({path}, '{DEFAULT_PATH}'))"
     )
 
 
 def find_presets(presets_: DataFrame, requested: DataFrame) -> DataFrame:
     """Requested presets with their file URL; unknown names give no row."""
-    url = raw_url(F.col("repo"), F.col("branch"), F.col("path"))
     # The preset table has a handful of rows, whatever is requested.
-    return requested.join(F.broadcast(presets_), "name").withColumn("url", url)
+    found = requested.join(F.broadcast(presets_), "name")
+    return found.withColumn("url", F.expr(raw_url("repo", "branch", "path")))
 
 
 def list_presets(presets_: DataFrame) -> DataFrame:
