@@ -137,9 +137,10 @@ def feed_bodies(engine: str) -> dict[str, str]:
     }
 
 
-def feed_payloads(engine: str) -> str:
-    """``feed, snapshot, body`` of all list feeds."""
-    return " UNION ALL ".join(_feed(name, body) for name, body in feed_bodies(engine).items())
+def feed_payloads(engine: str, names: tuple[str, ...] = ()) -> str:
+    """``feed, snapshot, body`` of the named list feeds, or of all."""
+    bodies = feed_bodies(engine)
+    return " UNION ALL ".join(_feed(name, bodies[name]) for name in names or bodies)
 
 
 def cert_bodies() -> dict[str, str]:
@@ -184,11 +185,13 @@ def cert_bodies() -> dict[str, str]:
     return {"TR": usom, "US": kev, "EU": eu, "NL": rss_or_raw, "FR": rss_or_raw, "JP": rdf}
 
 
-def cert_payloads() -> str:
-    return " UNION ALL ".join(_feed(name, body) for name, body in cert_bodies().items())
+def cert_payloads(names: tuple[str, ...] = ()) -> str:
+    """``feed, snapshot, body`` of the named CERT feeds, or of all."""
+    bodies = cert_bodies()
+    return " UNION ALL ".join(_feed(name, bodies[name]) for name in names or bodies)
 
 
-def rep_raw(engine: str) -> str:
+def rep_raw(engine: str, provider: str | None = None, kind: str | None = None) -> str:
     """Reputation snapshot keyed by the addresses, names and digests of the reports.
 
     Answers vary: full, with absent fields, with explicit nulls, unreadable, missing.
@@ -202,8 +205,8 @@ def rep_raw(engine: str) -> str:
             f"WHEN 2 THEN NULL WHEN 3 THEN '{{\"data\": null}}' ELSE {full} END"
         )
 
-    def select(provider: str, kind: str, source: str, body: str) -> str:
-        return f"SELECT '{provider}' AS provider, '{kind}' AS kind, key, {body} AS body FROM ({source}) s"
+    def select(provider: str, kind: str, source: str, body: str) -> tuple[str, str, str]:
+        return provider, kind, f"SELECT '{provider}' AS provider, '{kind}' AS kind, key, {body} AS body FROM ({source}) s"
 
     def keyed(key: str) -> str:
         return f"SELECT {key} AS key, CAST(count(*) AS STRING) AS n, max(o_orderkey) AS m FROM @orders@ GROUP BY 1"
@@ -223,7 +226,7 @@ def rep_raw(engine: str) -> str:
         select("shodan", "ip", ips, f"CASE m % 4 WHEN 0 THEN '{{}}' WHEN 1 THEN NULL ELSE '{{\"ports\": [22, ' || n || '], \"os\": null, \"org\": \"O' || {m} || '\", \"vulns\": [\"CVE-2020-1\", \"CVE-2021-2\"]}}' END"),
         select("greynoise", "ip", ips, "CASE m % 4 WHEN 0 THEN '{}' WHEN 1 THEN 'x' ELSE '{\"noise\": true, \"classification\": \"malicious\", \"name\": \"g' || n || '\", \"link\": \"https://g/' || n || '\"}' END"),
     ]
-    return " UNION ALL ".join(parts)
+    return " UNION ALL ".join(sql for p, k, sql in parts if provider in (None, p) and kind in (None, k))
 
 
 def candidates(shapes: list[str]) -> str:

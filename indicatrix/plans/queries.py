@@ -55,16 +55,16 @@ def stored_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(listed(spark, sf_dir), "indicators")
 
 
-def feed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.for_spark(spark, sf_dir, D.feed_payloads(D.SPARK))
+def feed_payloads(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    return D.for_spark(spark, sf_dir, D.feed_payloads(D.SPARK, names))
 
 
-def cert_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.for_spark(spark, sf_dir, D.cert_payloads())
+def cert_payloads(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    return D.for_spark(spark, sf_dir, D.cert_payloads(names))
 
 
-def rep_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.for_spark(spark, sf_dir, D.rep_raw(D.SPARK))
+def rep_raw(spark: SparkSession, sf_dir: str, provider: str | None = None, kind: str | None = None) -> DataFrame:
+    return D.for_spark(spark, sf_dir, D.rep_raw(D.SPARK, provider, kind))
 
 
 def ordered(rows: DataFrame) -> DataFrame:
@@ -128,12 +128,12 @@ CSV_FEEDS = ["urlhaus", "malbazaar", "threatfox", "sslbl"]
 
 @query
 def feed_csv_rows(spark, sf_dir):
-    return feeds.csv_table(feed_payloads(spark, sf_dir).where(F.col("feed").isin(CSV_FEEDS)))
+    return feeds.csv_table(feed_payloads(spark, sf_dir, *CSV_FEEDS))
 
 
 def _feed_query(name: str, *feed_names: str) -> None:
     def run(spark, sf_dir):
-        return feeds.parse_feed(feed_payloads(spark, sf_dir), *feed_names)
+        return feeds.parse_feed(feed_payloads(spark, sf_dir, *feed_names), *feed_names)
 
     QUERIES[name] = run
 
@@ -155,43 +155,39 @@ for _name, _feeds in FEED_QUERIES.items():
 
 
 # --- sources: CERT feeds -----------------------------------------------------------
-def _cert(spark, sf_dir, *names) -> DataFrame:
-    return cert_payloads(spark, sf_dir).where(F.col("feed").isin(*names))
-
-
 @query
 def feed_rss(spark, sf_dir):
-    return cert.rss_table(_cert(spark, sf_dir, "NL", "FR"))
+    return cert.rss_table(cert_payloads(spark, sf_dir, "NL", "FR"))
 
 
 @query
 def feed_rdf(spark, sf_dir):
-    return cert.rss_table(_cert(spark, sf_dir, "JP"))
+    return cert.rss_table(cert_payloads(spark, sf_dir, "JP"))
 
 
 @query
 def feed_items_text(spark, sf_dir):
-    return cert.rss_lines(_cert(spark, sf_dir, "JP"))
+    return cert.rss_lines(cert_payloads(spark, sf_dir, "JP"))
 
 
 @query
 def feed_cert_rss(spark, sf_dir):
-    return cert.rss_values(_cert(spark, sf_dir, "NL", "FR", "JP"))
+    return cert.rss_values(cert_payloads(spark, sf_dir, "NL", "FR", "JP"))
 
 
 @query
 def feed_cert_eu(spark, sf_dir):
-    return cert.cert_eu_values(_cert(spark, sf_dir, "EU"))
+    return cert.cert_eu_values(cert_payloads(spark, sf_dir, "EU"))
 
 
 @query
 def feed_usom(spark, sf_dir):
-    return cert.raw_values(_cert(spark, sf_dir, "TR"))
+    return cert.raw_values(cert_payloads(spark, sf_dir, "TR"))
 
 
 @query
 def feed_kev(spark, sf_dir):
-    return cert.kev_values(_cert(spark, sf_dir, "US"))
+    return cert.kev_values(cert_payloads(spark, sf_dir, "US"))
 
 
 @query
@@ -602,7 +598,7 @@ LIST_FIELDS = {"names", "ports", "vulns"}
 
 def _rep_query(name: str, provider: str, kind: str) -> None:
     def run(spark, sf_dir):
-        rows = rep.project_reputation(rep_raw(spark, sf_dir), provider, kind)
+        rows = rep.project_reputation(rep_raw(spark, sf_dir, provider, kind), provider, kind)
         return rows.selectExpr(
             *[f"array_join(CAST({c} AS ARRAY<STRING>), ',') AS {c}" if c in LIST_FIELDS else c for c in rows.columns]
         )
@@ -617,7 +613,7 @@ for _name, (_provider, _kind) in REP_QUERIES.items():
 @query
 def enrich_provider(spark, sf_dir):
     rows = listed(spark, sf_dir, resolve_types("domain,hash"))
-    return rep.enrich_provider(rows, rep_raw(spark, sf_dir), "virustotal", LOOKUPS)
+    return rep.enrich_provider(rows, rep_raw(spark, sf_dir, "virustotal"), "virustotal", LOOKUPS)
 
 
 @query

@@ -136,10 +136,11 @@ def explode_values(payloads: DataFrame, values: str, with_raw: str) -> DataFrame
     with its raw text.
     """
     parsed = payloads.where("body <> ''").selectExpr("feed", "snapshot", "body", f"{values} AS _values")
-    chosen = parsed.selectExpr("*", f"({with_raw}) AND coalesce(size(_values) <= 0, true) AS fallback").selectExpr(
-        "feed", "snapshot", "fallback", f"CASE WHEN fallback THEN {raw_lines('body')} ELSE _values END AS _values"
-    )
-    return chosen.selectExpr("feed", "snapshot", "fallback", "posexplode(_values) AS (ord, value)")
+    flagged = parsed.selectExpr("*", f"({with_raw}) AND coalesce(size(_values) <= 0, true) AS fallback")
+    # The generator gets an expression: for a plain column Spark would add a
+    # filter on its size and, pushing it down, parse every payload twice.
+    chosen = f"CASE WHEN fallback THEN {raw_lines('body')} ELSE _values END"
+    return flagged.selectExpr("feed", "snapshot", "fallback", f"posexplode({chosen}) AS (ord, value)")
 
 
 def _parse(payloads: DataFrame, feeds: list[str]) -> DataFrame:
