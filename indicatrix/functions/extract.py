@@ -59,7 +59,12 @@ def url_host(url: str) -> str:
 def email_matches(text: str) -> str:
     """Mail addresses, plain or defanged, on text that was *not* refanged."""
     test = f"contains({text}, '@') OR rlike({text}, {literal(P.WORD_AT)})"
-    return _guarded(test, find_all(text, P.EMAIL, 1))
+    folded = " OR ".join(f"contains({text}, {literal(letter)})" for letter in P.FOLDED)
+    found = (
+        f"CASE WHEN {folded} THEN {find_all(text, P.EMAIL_FOLDED, 1)} "
+        f"ELSE {find_all(text, P.EMAIL, 1)} END"
+    )
+    return _guarded(test, found)
 
 
 def cve_matches(text: str) -> str:

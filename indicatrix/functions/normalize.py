@@ -11,20 +11,20 @@ from __future__ import annotations
 from indicatrix.functions import patterns as P
 from indicatrix.functions.constants import WHITESPACE
 
-# The refang rules in the order in which they apply.  The flag
-# says whether letter case matters; rules without letters are plain text.
+# The refang rules in the order in which they apply.  Rules with
+# letters ignore case and are regular expressions; the others are plain text.
 REFANG_RULES = [
-    ("hxxps://", "https://", True),
-    ("hxxp://", "http://", True),
+    (r"[hH][xX][xX][pP][sS\x{17f}]://", "https://", True),
+    (r"[hH][xX][xX][pP]://", "http://", True),
     ("[://]", "://", False),
     ("[.]", ".", False),
     ("(.)", ".", False),
     ("{.}", ".", False),
     ("[@]", "@", False),
-    ("[at]", "@", True),
-    ("(at)", "@", True),
-    ("[dot]", ".", True),
-    ("(dot)", ".", True),
+    (r"\[[aA][tT]\]", "@", True),
+    (r"\([aA][tT]\)", "@", True),
+    (r"\[[dD][oO][tT]\]", ".", True),
+    (r"\([dD][oO][tT]\)", ".", True),
 ]
 
 # The schemes that defanging disarms, in order, case-sensitive.
@@ -65,10 +65,9 @@ def refang(x: str) -> str:
     text pays for a single pass and not for eleven.
     """
     out = x
-    for mark, live, letters in REFANG_RULES:
-        if letters:
-            regex = "(?iu)" + "".join("\\" + ch if ch in "[]()" else ch for ch in mark)
-            out = f"regexp_replace({out}, {literal(regex)}, {literal(live)})"
+    for mark, live, is_regex in REFANG_RULES:
+        if is_regex:
+            out = f"regexp_replace({out}, {literal(mark)}, {literal(live)})"
         else:
             out = f"replace({out}, {literal(mark)}, {literal(live)})"
     return f"CASE WHEN rlike({x}, {literal(P.FANGED)}) THEN {out} ELSE {x} END"

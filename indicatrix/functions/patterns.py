@@ -2,13 +2,15 @@
 
 Three properties are kept on purpose:
 
-* **Word boundaries are spelled out** over letters, numbers and underscore, so a
-  match does not depend on how a JDK release reads ``\\b`` outside ASCII.
+* **Word boundaries** count all letters, numbers and the underscore.  Java's own
+  ``\\b`` differs between releases outside ASCII; it only serves as the quick
+  test in front of the exact one.
 * **Whole texts are safe.**  A repeated group of variable length makes the Java
   matcher recurse once per repetition, and a long ``1.1.1.1...`` line then ends
   the task with a stack overflow.  Such groups are possessive, hence iterative.
 * **Time is linear.**  A run of label or mailbox characters is consumed once,
-  not once per position at which it could start.
+  not once per position at which it could start.  Tests that fail fast come
+  first, look-behinds run only where the rest already fits.
 """
 
 from __future__ import annotations
@@ -20,13 +22,14 @@ from indicatrix.functions.constants import (
 )
 
 WORD = r"[\p{L}\p{N}_]"
-_START = rf"(?<!{WORD})"  # boundary in front of a word character
-_END = rf"(?!{WORD})"  # boundary behind a word character
-_EDGE = rf"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
+_START = rf"\b(?<!{WORD})"  # in front of a word character
+_END = rf"(?!{WORD})"  # behind a word character
+_EDGE = rf"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"  # either
 _DIGIT = r"\p{Nd}"
 _HEX = r"[0-9a-fA-F]"
 _HEXTET = r"[0-9a-fA-F]{1,4}"
-_LABEL = r"[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?"
+# A label of at most 63 characters and its dot.
+_LABEL_DOT = r"(?=[a-zA-Z0-9\-]{1,63}\.)[a-zA-Z0-9]++(?:-++[a-zA-Z0-9]++)*+\."
 SPACES = (
     r"\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -34,35 +37,51 @@ SPACES = (
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 # --- extraction --------------------------------------------------------------
-IPV4 = rf"{_START}(?:{_DIGIT}{{1,3}}\.){{3}}{_DIGIT}{{1,3}}{_END}"
+IPV4 = rf"\b(?={_DIGIT}{{1,3}}\.)(?<!{WORD})(?:{_DIGIT}{{1,3}}\.){{3}}{_DIGIT}{{1,3}}{_END}"
 # Eight groups; or a compressed address up to its "::"; or "::" after a word.
 IPV6 = (
-    rf"{_START}(?:(?:{_HEXTET}:){{7}}{_HEXTET}{_END}|(?:{_HEXTET}:){{1,7}}:)"
-    rf"|(?<={WORD})::(?:{_HEXTET}:){{0,5}}{_HEXTET}{_END}"
+    rf"\b(?={_HEXTET}:)(?<!{WORD})(?:(?:{_HEXTET}:){{7}}{_HEXTET}{_END}|(?:{_HEXTET}:){{1,7}}:)"
+    rf"|::(?<={WORD}::)(?:{_HEXTET}:){{0,5}}{_HEXTET}{_END}"
 )
 # A maximal chain of dotted labels, with its top-level label where one follows.
-DOMAIN_CHAIN = rf"{_START}(?:{_LABEL}\.)++(?:[a-zA-Z]{{2,}}{_END})?+"
+DOMAIN_CHAIN = rf"{_START}(?:{_LABEL_DOT})++(?:[a-zA-Z]{{2,}}{_END})?+"
 DOMAIN_CHAIN_ANY_CASE = "(?iu)" + DOMAIN_CHAIN
 # In a chain that ends on a dot: up to the last label that can close a domain.
 DOMAIN_IN_CHAIN = r"^(.*\.[a-zA-Z]{2,})[.\-]"
 DOMAIN_IN_CHAIN_ANY_CASE = "(?iu)" + DOMAIN_IN_CHAIN
-URL = rf"(?iu){_START}(?:https?|hxxps?|ftp)://[^{SPACES}\"'<>]+"
-_BOX = r"[a-zA-Z0-9._%+\-]"
-# Begins at the first boundary of a run of mailbox characters (or right after
-# the previous match), and takes the run as a whole.
-EMAIL = (
-    rf"(?iu)(?:\G|(?<!{_BOX}))(?>{_BOX}*?{_EDGE})"
-    rf"({_BOX}++(?:@|\[@\]|\[at\])[a-zA-Z0-9.\-]+"
-    rf"(?:\.|\[\.\]|\[dot\])[a-zA-Z]{{2,}}{_END})"
-)
-WORD_AT = r"(?i)\[at\]"
-CVE = rf"(?iu){_START}CVE-{_DIGIT}{{4}}-{_DIGIT}{{4,7}}{_END}"
-MITRE = rf"{_START}[TS]{_DIGIT}{{4}}(?:\.{_DIGIT}{{3}})?{_END}"
+URL = rf"\b(?=[hHfF])(?<!{WORD})(?iu:https?|hxxps?|ftp)://[^{SPACES}\"'<>]+"
+
+
+def _email(extra: str) -> str:
+    """From the end of the previous match, skip what is no address; then group 1.
+
+    An address begins at the first boundary within a run of mailbox characters.
+    """
+    box = rf"[a-zA-Z0-9._%+\-{extra}]"
+    address = (
+        rf"{box}++(?:@|\[@\]|\[[aA][tT]\])[a-zA-Z0-9.\-{extra}]+"
+        rf"(?:\.|\[\.\]|\[[dD][oO][tT]\])[a-zA-Z{extra}]{{2,}}{_END}"
+    )
+    skip = rf"{box}*+[^a-zA-Z0-9._%+\-{extra}@\[]++|(?!(?>{box}*?{_EDGE}){address}){box}*+[@\[]"
+    return rf"\G(?:{skip})*+(?>{box}*?{_EDGE})({address})"
+
+
+# Four letters beyond ASCII equal ASCII letters when case is ignored.  Texts
+# that hold one of them need the wider classes, which are slower.
+FOLDED = ["\u0130", "\u0131", "\u017f", "\u212a"]
+EMAIL = _email("")
+EMAIL_FOLDED = _email(r"\x{130}\x{131}\x{17f}\x{212a}")
+WORD_AT = r"\[[aA][tT]\]"
+CVE = rf"(?iu)CVE(?<!{WORD}CVE)-{_DIGIT}{{4}}-{_DIGIT}{{4,7}}{_END}"
+MITRE = rf"[TS]{_DIGIT}{{4}}(?<!{WORD}[TS]{_DIGIT}{{4}})(?:\.{_DIGIT}{{3}})?{_END}"
 # 32, 40, 64 or 128 hexadecimal digits that no further digit touches.
-HASH = rf"(?<!{_HEX}){_HEX}{{32}}(?:{_HEX}{{8}}|{_HEX}{{32}}|{_HEX}{{96}})?(?!{_HEX})"
+HASH = (
+    rf"{_HEX}{{32}}(?<!{_HEX}{_HEX}{{32}})"
+    rf"(?:{_HEX}{{8}}|{_HEX}{{32}}|{_HEX}{{96}})?(?!{_HEX})"
+)
 # The stricter single-type URL form: dotted host, port, path.
 URL_STRICT = (
-    r"(?iu)(?:https?|hxxps?|ftp)://[\p{L}\p{N}_\-]++(?:\.[\p{L}\p{N}_\-]++)++"
+    r"(?=[hHfF])(?iu:https?|hxxps?|ftp)://[\p{L}\p{N}_\-]++(?:\.[\p{L}\p{N}_\-]++)++"
     rf"(?::{_DIGIT}+)?(?:/[^{SPACES}]*)?"
 )
 URL_STRICT_SCHEME = r"\A(?:https?|hxxps?|ftp)://"
@@ -79,7 +98,8 @@ HOST = (
 # --- refang ------------------------------------------------------------------
 # One test that any of the refang rules can apply.
 FANGED = (
-    r"(?iu)hxxps?://|\[(?:://|\.|@|at|dot)\]|\((?:\.|at|dot)\)|\{\.\}"
+    r"(?=[hH\[({])(?:[hH][xX][xX][pP][sS\x{17f}]?://|\[(?:://|\.|@|[aA][tT]|[dD][oO][tT])\]"
+    r"|\((?:\.|[aA][tT]|[dD][oO][tT])\)|\{\.\})"
 )
 
 # --- validation --------------------------------------------------------------
