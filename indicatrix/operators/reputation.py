@@ -161,7 +161,7 @@ def with_payload(answers: DataFrame, providers: Iterable[str] = PROVIDERS) -> Da
     pushed below a join and parse the whole snapshot.
     """
     providers = set(providers)
-    branches = ""
+    branches = " WHEN false THEN ''"
     for provider, kind in PROJECTIONS:
         if provider in providers:
             members = ", ".join(f"'{name}', {sql}" for name, sql in _fields(provider, kind).items())
