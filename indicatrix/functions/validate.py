@@ -61,16 +61,20 @@ def is_url(x: str) -> str:
 
 
 def is_indicator_domain(x: str) -> str:
-    """Accept a domain as an indicator.
+    """Accept a domain as an indicator; see :func:`is_indicator_name`."""
+    return is_indicator_name(f"lower({strip(x)})")
+
+
+def is_indicator_name(name: str) -> str:
+    """The same for a name that is lower-case and stripped.
 
     File names, reserved names and unknown endings are out; so is a name whose
     part before the ending is a mere number, such as a version.
     """
-    name = f"lower({strip(x)})"
     ending = f"substring_index({name}, '.', -1)"
     front = f"substr({name}, 1, length({name}) - length({ending}) - 1)"
     numeric = matches(f"translate({front}, '.-', '')", P.ALL_DIGITS)
-    two_part = f"size(split({name}, '[.]')) >= 3 AND substring_index({name}, '.', -2) IN {in_list(TWO_PART_TLDS)}"
+    two_part = f"substring_index({name}, '.', -2) IN {in_list(TWO_PART_TLDS)} AND substring_index({name}, '.', -3) <> substring_index({name}, '.', -2)"
     return (
         f"(contains({name}, '.') AND ({two_part} OR ({ending} IN {in_list(TLDS)} AND NOT {numeric})) "
         f"AND {name} NOT IN {in_list(RESERVED_DOMAINS)} AND NOT {matches(name, P.HAS_FILE_SUFFIX)})"

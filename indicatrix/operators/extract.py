@@ -46,7 +46,7 @@ def _structs(matches: str, type_: str, derived: bool, value: str) -> str:
 # The check a match must pass to count as an indicator of its type.
 _IS_VALID = (
     f"CASE WHEN type = 'ipv4' THEN {V.is_ipv4('value')} "
-    f"WHEN type = 'domain' THEN {V.is_indicator_domain('value')} ELSE true END"
+    f"WHEN type = 'domain' THEN {V.is_indicator_name('lower(value)')} ELSE true END"
 )
 
 
