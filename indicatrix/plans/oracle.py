@@ -391,8 +391,8 @@ ORACLE["corpus_union"] = on(
     ALL_VALUES,
     "SELECT 1 AS source_ord, 'documents' AS source, doc_id, md5(text) AS text_md5 FROM documents UNION ALL "
     "SELECT 2, 'pages', page_id, md5(html) FROM pages UNION ALL "
-    "SELECT 3, feed, snapshot * 1000000 + ord, md5(value) FROM cert_values UNION ALL "
-    f"SELECT {case('feed', _FAMILY)}, feed, snapshot * 1000000 + ord, md5(value) FROM feed_values",
+    "SELECT 3, feed, snapshot * 100000000 + ord, md5(value) FROM cert_values UNION ALL "
+    f"SELECT {case('feed', _FAMILY)}, feed, snapshot * 100000000 + ord, md5(value) FROM feed_values",
 )
 
 # --- normalisation and extraction ------------------------------------------------------------

@@ -179,11 +179,15 @@ def csv_table(payloads: DataFrame) -> DataFrame:
     return rows.selectExpr("feed", "snapshot", "ord", "size(_row) AS width", *fields)
 
 
+# More values than a snapshot of 50 MiB can hold.
+VALUES_PER_SNAPSHOT = 100_000_000
+
+
 def values_as_documents(values: DataFrame, source_ord: int) -> DataFrame:
     """Feed values in the document schema: one document per value."""
     return values.selectExpr(
         f"{source_ord} AS source_ord",
         "feed AS source",
-        "snapshot * 1000000 + ord AS doc_id",
+        f"snapshot * {VALUES_PER_SNAPSHOT} + ord AS doc_id",
         "value AS text",
     )
