@@ -147,10 +147,17 @@ def _succeeded(provider: str, kind: str) -> str:
 
 
 def project_reputation(rep_raw: DataFrame, provider: str, kind: str) -> DataFrame:
-    """Successful answers of one provider and kind as typed columns, by ``key``."""
+    """Successful answers of one provider and kind as typed columns, by ``key``.
+
+    A filter on success would be pushed below the parsing and parse each answer
+    once per test; a generator is not.
+    """
+    fields = _fields(provider, kind)
+    members = ", ".join(f"'{name}', {sql}" for name, sql in fields.items())
+    found = f"array_compact(array(CASE WHEN {_succeeded(provider, kind)} THEN named_struct({members}) END))"
     rows = rep_raw.where(f"provider = '{provider}' AND kind = '{kind}'")
-    rows = rows.selectExpr("key", "try_parse_json(body) AS _json").where(_succeeded(provider, kind))
-    return rows.selectExpr("key", *[f"{sql} AS {name}" for name, sql in _fields(provider, kind).items()])
+    parsed = rows.selectExpr("key", "try_parse_json(body) AS _json")
+    return parsed.selectExpr("key", f"inline({found}) AS ({', '.join(fields)})")
 
 
 def with_payload(answers: DataFrame, providers: Iterable[str] = PROVIDERS) -> DataFrame:

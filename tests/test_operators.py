@@ -212,6 +212,11 @@ def test_projections(rep_raw):
     assert (abuse.abuse_confidence_score, abuse.total_reports, abuse.is_public) == (85, 0, False)
 
 
+def test_answer_is_parsed_once(rep_raw):
+    plan = R.project_reputation(rep_raw, "virustotal", "hash")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+
+
 def test_budget(listed):
     rows = R.lookup_budget(listed, "virustotal", 4).orderBy("lookup_no").collect()
     assert [r.value for r in rows] == ["9.9.9.9", "8.8.8.8", "b.com", "a.com"]
