@@ -4,10 +4,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from indicatrix.plans.oracle import ORACLE
+from indicatrix.plans.queries import QUERIES
 from indicatrix.plans.tables import TABLES
 from tests.conftest import SMALL
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+
+def test_entry_lists_all():
+    assert QUERIES.items() <= entry.queries().items() and ORACLE.items() <= entry.oracle_sql().items()
 
 
 @pytest.fixture(scope="module")
