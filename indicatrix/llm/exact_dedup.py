@@ -34,7 +34,7 @@ def frequent_candidates(hashed: DataFrame) -> DataFrame:
         .groupBy("part")
         .agg(F.expr(f"approx_top_k_accumulate(text_sha256, {COUNTERS})").alias("sketch"))
     )
-    merged = sketches.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_combine(sketch, {COUNTERS})").alias("sketch"))
+    merged = sketches.groupBy((F.col("part") * 0).alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {COUNTERS})").alias("sketch"))
     top = merged.selectExpr(f"explode(approx_top_k_estimate(sketch, {MAX_WINNERS})) AS top")
     return top.where(F.col("top.count") >= 2).select(F.col("top.item").alias("text_sha256"))
 
