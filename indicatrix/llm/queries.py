@@ -7,12 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from indicatrix.llm import byte_bpe, exact_dedup
+from indicatrix.llm import byte_bpe, exact_dedup, token_counts
 from indicatrix.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -34,6 +35,11 @@ FROM d WINDOW same AS (PARTITION BY text_sha256)
 """
 
 
+@query
+def op8_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES).select("doc_id", "n_tokens")
+
+
 @query
 def op10_byte_bpe(spark, sf_dir):
     """The ids of every text, and the bytes they decode to, as digests."""
