@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from indicatrix.llm import byte_bpe, exact_dedup, token_counts
+from indicatrix.llm import byte_bpe, exact_dedup, parity_join, token_counts
 from indicatrix.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def op8_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES).select("doc_id", "n_tokens")
 
 
+@query
+def op9_parity_join(spark, sf_dir):
+    return parity_join.parity_join(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_byte_bpe(spark, sf_dir):
     """The ids of every text, and the bytes they decode to, as digests."""
