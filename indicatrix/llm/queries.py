@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from indicatrix.llm import byte_bpe, exact_dedup, parity_join, token_counts
+from indicatrix.llm import byte_bpe, chat_format, exact_dedup, language_id, parity_join, token_counts
 from indicatrix.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,38 @@ FROM d WINDOW same AS (PARTITION BY text_sha256)
 """
 
 
+@query
+def op4_language_id(spark, sf_dir):
+    named = language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return named.select("doc_id", language_id.held_out().alias("held_out"), "language.lang_pred", "language.score")
+
+
+HARD_CHAT = r"\### Assistant: </turn> ok"[1:]
+
+
+@query
+def op6_chat_format(spark, sf_dir):
+    """All conversations, and one whose texts look like templates."""
+    hard = spark.createDataFrame([(-7, 0, "user", HARD_CHAT), (-7, 1, "assistant", HARD_CHAT)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.digest_chats(chat_format.format_chats(turns.unionByName(hard)))
+
+
+ORACLE["op6_chat_format"] = f"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{HARD_CHAT}'), (-7, 1, 'assistant', '{HARD_CHAT}'))),
+t AS (SELECT *, length(role) + length(text) + 13
+             + length(regexp_replace(role || text, '[^\\|]', '', 'g')) AS laid FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(laid) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
 @query
 def op8_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES).select("doc_id", "n_tokens")
