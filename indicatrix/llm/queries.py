@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from indicatrix.llm import byte_bpe, chat_format, exact_dedup, language_id, parity_join, token_counts
+from indicatrix.llm import byte_bpe, chat_format, exact_dedup, language_id, parity_join, secret_scan, token_counts
 from indicatrix.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,11 @@ def op4_language_id(spark, sf_dir):
     return named.select("doc_id", language_id.held_out().alias("held_out"), "language.lang_pred", "language.score")
 
 
+@query
+def op5_secret_scan(spark, sf_dir):
+    return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+
+
 HARD_CHAT = r"\### Assistant: </turn> ok"[1:]
 
 
