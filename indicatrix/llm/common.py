@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import pathlib
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,24 +16,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """Compute ``rows`` once into the folder of ``spark.checkpoint.dir``, which all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    What follows reads those files, so a lost executor costs a read. Spark removes them with the
-    DataFrame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on. Only a local session
-    that names no folder gets one of its own.
+    Only a local session that names no folder gets one of its own.
     """
-    context = rows.sparkSession.sparkContext
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="indicatrix-checkpoint-")
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not (context.master == "local" or context.master.startswith("local[")):
-                raise ValueError("spark.checkpoint.dir must name a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="indicatrix-checkpoint-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """Compute ``rows`` once into the shared folder; for small tables and results.
+
+    What follows reads those files, so a lost executor costs a read. Spark removes them with the
+    DataFrame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    """
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()
 
 
+class Scratch:
+    """Tables in the shared folder that an operator needs while it runs; they are emptied at the end of the block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def keep(self, rows: DataFrame) -> DataFrame:
+        """Write ``rows`` once and read them from now on."""
+        path = f"{shared_folder(self.spark).rstrip('/')}/indicatrix-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def __exit__(self, *error) -> None:
+        for path in self.paths:
+            self.spark.range(0).coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def whole(text: str = "text"):
     """The text of a row; null counts as empty."""
     return F.coalesce(F.col(text), F.lit(""))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Spark send this package to its executors, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = pathlib.Path(__file__).parents[1]
+        folder = tempfile.TemporaryDirectory(prefix="indicatrix-package-")
+        atexit.register(folder.cleanup)  # the driver serves the file until it ends
+        archive = f"{folder.name}/{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
