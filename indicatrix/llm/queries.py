@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from indicatrix.llm import byte_bpe, chat_format, exact_dedup, language_id, parity_join, secret_scan, token_counts
+from indicatrix.llm import byte_bpe, chat_format, exact_dedup, language_id, parity_join, personal_data, secret_scan, token_counts
 from indicatrix.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,11 @@ def query(fn):
     return run
 
 
+@query
+def op1_personal_data(spark, sf_dir):
+    return personal_data.personal_data(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("row")
