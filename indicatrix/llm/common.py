@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,25 @@ def whole(text: str = "text"):
     return F.coalesce(F.col(text), F.lit(""))
 
 
+FILTER_BITS = 1 << 23  # of a filter that goes to every task: 1 MiB, whatever it stands for
+
+
+def bit_filter(places: DataFrame) -> bytes:
+    """A bit set for each ``place`` from 0 to ``FILTER_BITS`` - 1. At most ``FILTER_BITS / 64`` rows reach the driver."""
+    bits = places.selectExpr("place DIV 64 AS word", "shiftleft(1L, CAST(place % 64 AS INT)) AS bit")
+    rows = bits.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for batch in rows.toArrow().to_batches():
+        out[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
+    return out.tobytes()
+
+
+def bits_at(kept: bytes, places: np.ndarray) -> np.ndarray:
+    """Which places of a filter are set."""
+    words = np.frombuffer(kept, np.int64)
+    return ((words[places >> 6] >> (places & 63)) & 1) == 1
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from indicatrix.llm import byte_bpe, chat_format, exact_dedup, language_id, parity_join, personal_data, secret_scan, token_counts
+from indicatrix.llm import byte_bpe, chat_format, decontamination, exact_dedup, language_id, parity_join, personal_data, secret_scan, token_counts
 from indicatrix.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,12 @@ FROM t GROUP BY conv_id
 """
 
 
+@query
+def op7_decontamination(spark, sf_dir):
+    """Every document that holds an item of the benchmark, once for each item."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
 @query
 def op8_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES).select("doc_id", "n_tokens")
