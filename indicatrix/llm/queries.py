@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from indicatrix.llm import byte_bpe, chat_format, decontamination, exact_dedup, language_id, parity_join, personal_data, secret_scan, token_counts
+from indicatrix.llm import byte_bpe, chat_format, decontamination, exact_dedup, language_id, parity_join, personal_data, secret_scan, token_counts, toxicity
 from indicatrix.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,14 @@ FROM d WINDOW same AS (PARTITION BY text_sha256)
 """
 
 
+@query
+def op3_toxicity(spark, sf_dir):
+    """The expected severity of every document, by a model of the labelled ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.grade(docs, model).select("doc_id", "toxicity.severity", "toxicity.toxic", "toxicity.chances")
+
+
 @query
 def op4_language_id(spark, sf_dir):
     named = language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
