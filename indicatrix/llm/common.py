@@ -59,6 +59,10 @@ class Scratch:
         self.paths.append(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def hand_over(self) -> None:
+        """Leave the last table to the caller."""
+        self.paths.pop()
+
     def __exit__(self, *error) -> None:
         for path in self.paths:
             self.spark.range(0).coalesce(1).write.mode("overwrite").parquet(path)

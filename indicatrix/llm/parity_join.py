@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from indicatrix.llm import words
-from indicatrix.llm.common import cut
+from indicatrix.llm.common import FILTER_BITS, Scratch, bit_filter, bits_at, cut
 from indicatrix.llm.components import connected
 
 WIDTH = 5  # words of a shingle
 CROWD = 64  # different sets in a block's group from which the block says little
-SKETCH = 512  # bits of the dense sketch that rules candidates out
+LEAST_BITS, SPREAD = 512, 2  # bits of a dense sketch, at least and for each shingle; it rules candidates out
 TINY = 128  # in the low byte of a key: the row counts a block that says little; else that byte is the band
 
 
@@ -84,11 +84,22 @@ def class_ids(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def dense_sketches(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The parity of each set's shingles in each of ``SKETCH`` bits, as 64-bit words."""
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    bits = np.bincount(text * SKETCH + (hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=len(sizes) * SKETCH)
-    return np.packbits((bits & 1).astype(np.uint8)).view("<i8").reshape(len(sizes), SKETCH // 64)
+def dense_sketch(hashes: np.ndarray) -> bytes:
+    """The parity of a set's shingles in each of some bits: a power of two, at least ``SPREAD`` for a shingle."""
+    bits = LEAST_BITS
+    while bits < SPREAD * len(hashes):
+        bits *= 2
+    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def distance(left: bytes, right: bytes) -> int:
+    """The Hamming distance of two sketches; the longer one is folded, which keeps the parities right."""
+    x, y = np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def block_keys(hashes: np.ndarray, sizes: np.ndarray, classes: np.ndarray, ahead: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,15 +157,14 @@ def described(docs: DataFrame) -> DataFrame:
 
     def one(batch):
         for first, last, hashes, sizes in sets(batch.column("text")):
-            sketches = dense_sketches(hashes, sizes)
-            flat = pa.array(sketches.ravel(), pa.int64())
-            ends = pa.array(np.arange(last - first + 1) * (SKETCH // 64), pa.int32())
+            ends = np.cumsum(sizes)
+            sketches = [dense_sketch(hashes[low:high]) for low, high in zip(ends - sizes, ends)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id")[first:last], pa.array(sizes.astype(np.int64)), pa.array(class_ids(hashes, sizes)), pa.ListArray.from_arrays(ends, flat)],
+                [batch.column("doc_id")[first:last], pa.array(sizes.astype(np.int64)), pa.array(class_ids(hashes, sizes)), pa.array(sketches, pa.binary())],
                 ["doc_id", "n_shingles", "class", "sketch"],
             )
 
-    return _mapped(docs, one, "doc_id long, n_shingles long, class long, sketch array<long>")
+    return _mapped(docs, one, "doc_id long, n_shingles long, class long, sketch binary")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -252,31 +262,15 @@ def grouped(keys: DataFrame) -> DataFrame:
 
 
 # --- sets of some classes -------------------------------------------------------------
-FILTER_BITS = 1 << 23  # of the filter that goes to every task: 1 MiB, whatever the number of classes
-
-
-def class_filter(classes: DataFrame) -> bytes:
-    """A bit for the last digits of each class. At most ``FILTER_BITS / 64`` rows reach the driver."""
-    place = classes.selectExpr(f"class & {FILTER_BITS - 1} AS place")
-    bits = place.selectExpr("place DIV 64 AS word", "shiftleft(1L, CAST(place % 64 AS INT)) AS bit")
-    rows = bits.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits"))
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    for batch in rows.toArrow().to_batches():
-        out[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
-    return out.tobytes()
-
-
 def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``class, members`` for the wanted ``classes(class)``: each set's sorted 64-bit hashes, once."""
     wanted = classes.select("class").distinct()
-    kept = class_filter(wanted)
+    kept = bit_filter(wanted.selectExpr(f"class & {FILTER_BITS - 1} AS place"))
 
     def one(batch):
-        bits = np.frombuffer(kept, np.int64)
         for _, _, hashes, sizes in sets(batch.column("text")):
             owners = class_ids(hashes, sizes)
-            place = owners & (FILTER_BITS - 1)
-            hit = (((bits[place >> 6] >> (place & 63)) & 1) == 1) & (sizes > 0)
+            hit = bits_at(kept, owners & (FILTER_BITS - 1)) & (sizes > 0)
             ends = np.cumsum(sizes)
             seen = {}
             for i in np.flatnonzero(hit):
@@ -288,19 +282,25 @@ def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 # --- links --------------------------------------------------------------------------
-def alike(pairs: DataFrame, about: DataFrame, members: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def alike(pairs: DataFrame, about: DataFrame, members: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """The ``pairs(a, b)`` whose sets are alike: sizes and dense sketches rule out, then the sets decide."""
+
+    @F.arrow_udf("boolean")
+    def near(n_a: pa.Array, s_a: pa.Array, n_b: pa.Array, s_b: pa.Array) -> pa.Array:
+        sizes = n_a.to_numpy() + n_b.to_numpy()
+        return pa.array([9 * distance(x.as_buffer(), y.as_buffer()) <= n for n, x, y in zip(sizes, s_a, s_b)], pa.bool_())
+
     side = about.select("class", "n_shingles", "sketch")
     likely = (
         pairs.join(side.toDF("a", "n_a", "s_a"), "a")
         .join(side.toDF("b", "n_b", "s_b"), "b")
         .where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
-        .where("9 * aggregate(zip_with(s_a, s_b, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y) <= n_a + n_b")
+        .where(near("n_a", "s_a", "n_b", "s_b"))
         .select("a", "b")
     )
-    likely = cut(likely)
+    likely = scratch.keep(likely)
     nodes = likely.select(F.col("a").alias("class")).unionAll(likely.select(F.col("b").alias("class")))
-    held = cut(members(nodes))
+    held = members(nodes)
 
     @F.arrow_udf("boolean")
     def enough(lefts: pa.Array, rights: pa.Array) -> pa.Array:
@@ -348,27 +348,27 @@ def saturated(rows: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(spare), "band").where("count > spare").select("class").distinct()
 
 
-def class_links(docs: DataFrame, about: DataFrame) -> DataFrame:
+def class_links(docs: DataFrame, about: DataFrame, scratch: Scratch) -> DataFrame:
     """``a, b``: enough alike pairs of classes to connect all that alike pairs connect."""
-    found = cut(grouped(keyed(docs)))
+    found = scratch.keep(grouped(keyed(docs)))
     many = saturated(found)
-    groups = found.where("leader IS NOT NULL").unionAll(rare_groups(sets_of(docs, many)))
-    groups = cut(groups)
+    rare = scratch.keep(rare_groups(sets_of(docs, many)))
+    groups = found.where("leader IS NOT NULL").unionAll(rare)
 
     def wanted(classes):
         return sets_of(docs, classes)
 
     ordered = [F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")]
     first = groups.where("class <> leader").select(*ordered).distinct()
-    links = cut(alike(first, about, wanted))
+    links = scratch.keep(alike(first, about, wanted, scratch))
     label = connected(links).withColumnRenamed("node", "class")
     placed = groups.select("key", "class").join(label, "class", "left").select("key", "class", F.coalesce("component", "class").alias("label"))
     apart = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    placed = cut(placed.join(apart, "key", "left_semi"))
+    placed = scratch.keep(placed.join(apart, "key", "left_semi"))
     other = placed.toDF("key", "other", "other_label")
     rest = placed.join(other, "key").where("label < other_label")
     rest = rest.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
-    return links.unionAll(alike(rest.join(first, ["a", "b"], "left_anti"), about, wanted))
+    return links.unionAll(scratch.keep(alike(rest, about, wanted, scratch)))
 
 
 def parity_join(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -382,12 +382,12 @@ def parity_join(docs: DataFrame, text: str = "text") -> DataFrame:
     null ids only has a null id. Other columns are not looked at.
     """
     docs = docs.select("doc_id", F.col(text).alias("text"))
-    rows = cut(described(docs))
-    about = rows.where("n_shingles > 0").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    about = cut(about)
-    label = connected(cut(class_links(docs, about))).withColumnRenamed("node", "class")
-    placed = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "class")
-    placed = placed.join(label, "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "class").alias("label"))
-    least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return placed.join(least, "label").select("doc_id", "n_shingles", "component_id").unionAll(alone)
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.keep(described(docs))
+        about = rows.where("n_shingles > 0").dropDuplicates(["class"])
+        label = connected(class_links(docs, about, scratch)).withColumnRenamed("node", "class")
+        placed = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "class")
+        placed = placed.join(label, "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "class").alias("label"))
+        least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+        alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return cut(placed.join(least, "label").select("doc_id", "n_shingles", "component_id").unionAll(alone))

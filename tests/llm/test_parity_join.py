@@ -108,11 +108,13 @@ def test_bands_hold_all_partners():
 
 def test_sketch_distance_is_a_lower_bound():
     draw = np.random.default_rng(1)
-    for _ in range(50):
-        a = np.unique(draw.integers(0, 2**64, 300, np.uint64))
-        b = np.unique(np.concatenate([a[: draw.integers(1, 300)], draw.integers(0, 2**64, 40, np.uint64)]))
-        x, y = parity_join.dense_sketches(np.concatenate([a, b]), np.array([len(a), len(b)]))
-        assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(np.setxor1d(a, b))
+    for size in (3, 300, 300, 2000):
+        a = np.unique(draw.integers(0, 2**64, size, np.uint64))
+        for share in (1, 2, 3, 10):
+            b = np.unique(np.concatenate([a[: size // share], draw.integers(0, 2**64, 40, np.uint64)]))
+            x, y = parity_join.dense_sketch(a), parity_join.dense_sketch(b)
+            assert parity_join.distance(x, y) == parity_join.distance(y, x) <= len(np.setxor1d(a, b))
+            assert parity_join.distance(x, x) == 0
 
 
 @pytest.mark.parametrize("block", [8, 1 << 18])
