@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -116,3 +117,12 @@ def op10_byte_bpe(spark, sf_dir):
         "sha2(array_join(ids, ','), 256) AS ids_sha256",
         "sha2(decoded, 256) AS decoded_sha256",
     )
+
+
+@query
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
