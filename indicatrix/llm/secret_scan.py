@@ -66,7 +66,7 @@ def findings(docs: DataFrame, ledger: DataFrame, rules: list[Rule] = RULES, text
     """
     current = ledger.join(F.broadcast(ledger.sparkSession.createDataFrame([(r.kind, r.version) for r in rules], "rule string, version int")), ["rule", "version"])
     by_blob = current.where("size(spans) > 0").dropDuplicates(["blob", "rule"]).groupBy("blob")
-    by_blob = by_blob.agg(F.map_from_entries(F.collect_list(F.struct("rule", "spans"))).alias("findings"))
+    by_blob = cut(by_blob.agg(F.map_from_entries(F.collect_list(F.struct("rule", "spans"))).alias("findings")))
     key = "indicatrix_blob"
     rows = docs.drop("findings").withColumn(key, F.sha2(whole(text), 256)).join(by_blob.withColumnRenamed("blob", key), key, "left").drop(key)
     return rows.withColumn("findings", F.coalesce("findings", F.expr(f"CAST(map() AS map<string, array<{SPAN}>>)")))
@@ -78,7 +78,7 @@ def secret_spans(docs: DataFrame, ledger: DataFrame | None = None, text: str = "
     Null texts are empty; repeated rows each have their row; other columns are not looked at; an empty
     table gives an empty result. ``base_sha256`` and the counts are of the base rules alone.
     """
-    new = cut(scan(docs.select(F.col(text).alias("text")), ledger))
+    new = scan(docs.select(F.col(text).alias("text")), ledger)
     known = new if ledger is None else new.unionByName(ledger)
     rows = findings(docs.select("doc_id", F.col(text).alias("text")), known)
     kinds = [r.kind for r in RULES]

@@ -6,6 +6,7 @@ from typing import NamedTuple
 
 MARK = "\u0001"  # stands around matches while a text is split
 SPAN = "struct<start: int, end: int, value: string, before: string>"
+BLOCK = 256  # gaps and matches walked together; even, so each block begins with a gap
 CONTEXT = 80  # characters before a match that are kept with it
 
 
@@ -38,16 +39,23 @@ def found(rule: Rule, text: str) -> str:
     """
     clean = f"translate({text}, '{MARK}', '\u0002')"
     parts = f"split(regexp_replace({clean}, {raw(f'({rule.pattern})')}, '{MARK}$1{MARK}'), '{MARK}', -1)"
-    span = f"named_struct('start', s.at, 'end', s.at + length(p), 'value', p, 'before', s.before)"
+    # Gaps and matches take turns. They are walked in blocks, each from its own start, as appending to
+    # one array would copy it for every match.
+    block = f"slice(q, c * {BLOCK} + 1, {BLOCK})"
+    blocks = f"sequence(0, (size(q) - 1) DIV {BLOCK})"
+    sizes = f"transform({blocks}, c -> aggregate({block}, 0, (s, p) -> s + length(p)))"
+    starts = f"aggregate({sizes}, array(0), (a, x) -> concat(a, array(element_at(a, -1) + x)))"
+    span = "named_struct('start', s.at, 'end', s.at + length(p), 'value', p, 'before', s.before)"
     walk = (
-        f"aggregate({parts},"
-        f" named_struct('at', 0, 'inside', false, 'before', '', 'out', CAST(array() AS array<{SPAN}>)),"
+        f"aggregate({block},"
+        f" named_struct('at', b[c], 'inside', false, 'before', '', 'out', CAST(array() AS array<{SPAN}>)),"
         f" (s, p) -> named_struct('at', s.at + length(p), 'inside', NOT s.inside,"
         f" 'before', IF(s.inside, s.before, right(p, {CONTEXT})),"
         f" 'out', IF(s.inside AND ({rule.keep.format(m='p')}), concat(s.out, array({span})), s.out)),"
         f" s -> s.out)"
     )
-    return f"CASE WHEN {rule.guard.format(t=text)} THEN {walk} ELSE CAST(array() AS array<{SPAN}>) END"
+    spans = f"transform(array({parts}), q -> transform(array({starts}), b -> flatten(transform({blocks}, c -> {walk})))[0])[0]"
+    return f"CASE WHEN {rule.guard.format(t=text)} THEN {spans} ELSE CAST(array() AS array<{SPAN}>) END"
 
 
 def joined(spans: str, kinds: list[str]) -> str:
