@@ -110,9 +110,7 @@ AMBIGUOUS_HOST_CHARS = (
 )
 
 # --- fixed values: limits ----------------------------------------------------
-MAX_FILE_SIZE = 50 * 1024 * 1024
-REPORT_ROWS_PER_TYPE = 50
-DEFAULT_MAX_LOOKUPS = 10
+REPORT_ROWS_PER_TYPE = 50  # of a top list
 
 # --- fixed values: sharing markings and STIX ---------------------------------
 TLP_MARKINGS = {

@@ -12,15 +12,17 @@ from pyspark.sql import DataFrame
 from indicatrix.functions.constants import TYPE_ORD
 from indicatrix.functions.normalize import lookup
 
-# Digits, from the left: derived 1 | source_ord 4 | doc_id 20 | pos 10.
-_DERIVED = "10000000000000000000000000000000000BD"
+# Digits, from the left: derived 1 | source_ord 7 | doc_id 20 | pos 10; a decimal has no more.
+_DERIVED = "10000000000000000000000000000000000000BD"
 _SOURCE = "1000000000000000000000000000000BD"
+MAX_SOURCE = 9_999_999
 _DOC = "10000000000BD"
 _SHIFT = "9223372036854775808BD"  # makes any bigint doc_id non-negative
 
 # Corpus position of an occurrence: direct matches come before derived ones.
+_SOURCE_ORD = f"IF(source_ord BETWEEN 0 AND {MAX_SOURCE}, source_ord, raise_error('source_ord is out of range'))"
 POSITION = (
-    f"CAST(CAST(derived AS INT) * {_DERIVED} + source_ord * {_SOURCE}"
+    f"CAST(CAST(derived AS INT) * {_DERIVED} + {_SOURCE_ORD} * {_SOURCE}"
     f" + (CAST(doc_id AS DECIMAL(20, 0)) + {_SHIFT}) * {_DOC} + pos AS DECIMAL(38, 0))"
 )
 _TYPE_ORD = f"{lookup('type', TYPE_ORD)} AS type_ord"
@@ -40,14 +42,14 @@ def first_seen(indicators: DataFrame) -> DataFrame:
 
 def unpack_position(rows: DataFrame) -> DataFrame:
     """Replace ``ord`` by ``derived, source_ord, doc_id, pos``."""
-    digits = "lpad(CAST(ord AS STRING), 35, '0')"
-    doc_id = f"CAST(substr({digits}, 6, 20) AS DECIMAL(20, 0)) - {_SHIFT}"
+    digits = "lpad(CAST(ord AS STRING), 38, '0')"
+    doc_id = f"CAST(substr({digits}, 9, 20) AS DECIMAL(20, 0)) - {_SHIFT}"
     return rows.selectExpr(
         *[c for c in rows.columns if c != "ord"],
         f"substr({digits}, 1, 1) = '1' AS derived",
-        f"CAST(substr({digits}, 2, 4) AS INT) AS source_ord",
+        f"CAST(substr({digits}, 2, 7) AS INT) AS source_ord",
         f"CAST({doc_id} AS BIGINT) AS doc_id",
-        f"CAST(substr({digits}, 26, 10) AS INT) AS pos",
+        f"CAST(substr({digits}, 29, 10) AS INT) AS pos",
     )
 
 

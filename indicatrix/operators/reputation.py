@@ -1,7 +1,8 @@
 """Reputation snapshots and their join to indicators.
 
 A landed snapshot is ``rep_raw(provider, kind, key, body)`` with the provider's
-JSON answer in ``body``; a failed lookup has a null or unreadable body.
+JSON answer in ``body``; a failed lookup has a null or unreadable body.  Where
+answers land repeatedly, :func:`newest` leaves one per key.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from indicatrix.functions.constants import (
-    DEFAULT_MAX_LOOKUPS,
     LOOKUP_KIND,
     LOOKUP_PRIORITY,
     PROVIDER_TYPES,
@@ -108,9 +108,6 @@ PROJECTIONS = {
         ],
     ),
 }
-MAX_NAMES = 5
-MAX_WHOIS = 200
-
 
 def _node(path: str, type_: str = "variant") -> str:
     return f"try_variant_get(_json, '{path}', '{type_}')"
@@ -121,7 +118,13 @@ def _is(path: str, kind: str) -> str:
     return f"({_node(path)} IS NULL OR startswith(schema_of_variant({_node(path)}), '{kind}'))"
 
 
-def _fields(provider: str, kind: str) -> dict[str, str]:
+def newest(rep_raw: DataFrame, at: str = "landed") -> DataFrame:
+    """One answer per ``provider, kind, key``: that of the latest ``at``, whether it succeeded or not."""
+    latest = rep_raw.groupBy("provider", "kind", "key").agg(F.max_by(F.struct("body"), at).alias("_latest"))
+    return latest.select("provider", "kind", "key", "_latest.body")
+
+
+def _fields(provider: str, kind: str, max_names: int | None = None, max_whois: int | None = None) -> dict[str, str]:
     out = {}
     for name, path, type_, default in PROJECTIONS[(provider, kind)][1]:
         fallback = "array()" if default == [] else literal(default)
@@ -129,10 +132,11 @@ def _fields(provider: str, kind: str) -> dict[str, str]:
         out[name] = (
             f"CASE WHEN {_node(path)} IS NULL THEN CAST({fallback} AS {type_}) ELSE {_node(path, type_)} END"
         )
-    if "names" in out:
-        out["names"] = f"slice({out['names']}, 1, {MAX_NAMES})"
+    if "names" in out and max_names is not None:
+        out["names"] = f"slice({out['names']}, 1, {max_names})"
     if "whois" in out:
-        whois = f"substr({_node('$.whois', 'string')}, 1, {MAX_WHOIS})"
+        whois = _node("$.whois", "string")
+        whois = whois if max_whois is None else f"substr({whois}, 1, {max_whois})"
         out["whois"] = f"coalesce(nullif({whois}, ''), 'N/A')"
     return out
 
@@ -146,13 +150,16 @@ def _succeeded(provider: str, kind: str) -> str:
     return " AND ".join(tests)
 
 
-def project_reputation(rep_raw: DataFrame, provider: str, kind: str) -> DataFrame:
+def project_reputation(
+    rep_raw: DataFrame, provider: str, kind: str, max_names: int | None = None, max_whois: int | None = None
+) -> DataFrame:
     """Successful answers of one provider and kind as typed columns, by ``key``.
 
+    Values are whole unless the caller limits names or the length of whois texts.
     A filter on success would be pushed below the parsing and parse each answer
     once per test; a generator is not.
     """
-    fields = _fields(provider, kind)
+    fields = _fields(provider, kind, max_names, max_whois)
     members = ", ".join(f"'{name}', {sql}" for name, sql in fields.items())
     found = f"array_compact(array(CASE WHEN {_succeeded(provider, kind)} THEN named_struct({members}) END))"
     rows = rep_raw.where(f"provider = '{provider}' AND kind = '{kind}'")
@@ -180,7 +187,7 @@ def with_payload(answers: DataFrame, providers: Iterable[str] = PROVIDERS) -> Da
     return answers.selectExpr(*rest, "try_parse_json(body) AS _json").selectExpr(*rest, kept)
 
 
-def lookup_budget(listed: DataFrame, provider: str, max_lookups: int = DEFAULT_MAX_LOOKUPS) -> DataFrame:
+def lookup_budget(listed: DataFrame, provider: str, max_lookups: int) -> DataFrame:
     """The indicators a provider is asked about: the first ``max_lookups`` by type, then list order.
 
     ``listed`` is duplicate-free with ``type, value, ord``.  A sort with a limit
@@ -203,38 +210,41 @@ def lookup_budget(listed: DataFrame, provider: str, max_lookups: int = DEFAULT_M
     )
 
 
-# A budget of up to this many lookups is sent to every executor.
-BROADCAST_LOOKUPS = 100_000
+def eligible(listed: DataFrame, providers: Iterable[str]) -> DataFrame:
+    """``provider, kind, type, value``: every indicator beside each provider that answers for its type, in one pass."""
+    names = {t: [p for p in PROVIDERS if p in set(providers) and t in PROVIDER_TYPES[p]] for t in LOOKUP_KIND}
+    lists = " ".join(f"WHEN '{t}' THEN array({', '.join(map(literal, ps))})" for t, ps in names.items() if ps)
+    asked = f"explode(CASE type {lists or "WHEN '' THEN array('')"} END) AS provider"
+    return listed.selectExpr(asked, f"{lookup('type', LOOKUP_KIND)} AS kind", "type", "value")
 
 
 def enrich(
     listed: DataFrame,
     rep_raw: DataFrame,
     enabled: Iterable[str] = PROVIDERS,
-    max_lookups: int = DEFAULT_MAX_LOOKUPS,
+    max_lookups: int | None = None,
 ) -> DataFrame:
-    """Answers of the enabled providers for their budgets: ``provider, type, value, payload``.
+    """Answers of the enabled providers: ``provider, type, value, payload``.
 
-    A failed lookup costs budget and gives no row.  ``listed`` is read once per
-    provider, so store it first.  The snapshot is read once, cut to the budgets,
-    and only what is left is parsed.
+    All eligible indicators are looked up, in one pass over the list, unless the
+    caller gives each provider a budget; a failed lookup costs budget and gives
+    no row.  The snapshot is read once, cut to what is asked, and only what is
+    left is parsed.  ``rep_raw`` has one answer per ``provider, kind, key``.
     """
     enabled = set(enabled)
-    asked = [lookup_budget(listed, p, max_lookups) for p in PROVIDERS if p in enabled]
-    if not asked:
-        asked = [lookup_budget(listed, PROVIDERS[0], 0)]
-    budget = reduce(DataFrame.unionByName, asked).withColumnRenamed("value", "key").drop("lookup_no")
-    # The limits bound this side; past the bound Spark chooses the join itself.
-    if len(asked) * max_lookups <= BROADCAST_LOOKUPS:
-        budget = F.broadcast(budget)
-    answers = rep_raw.join(budget, ["provider", "kind", "key"])
+    if max_lookups is None:
+        asked = eligible(listed, enabled)
+    else:
+        budgets = [lookup_budget(listed, p, max_lookups) for p in PROVIDERS if p in enabled]
+        asked = reduce(DataFrame.unionByName, budgets or [lookup_budget(listed, PROVIDERS[0], 0)]).drop("lookup_no")
+    answers = rep_raw.join(asked.withColumnRenamed("value", "key"), ["provider", "kind", "key"])
     return with_payload(answers, enabled).selectExpr("provider", "type", "key AS value", "payload")
 
 
 def enrich_provider(
-    listed: DataFrame, rep_raw: DataFrame, provider: str, max_lookups: int = DEFAULT_MAX_LOOKUPS
+    listed: DataFrame, rep_raw: DataFrame, provider: str, max_lookups: int | None = None
 ) -> DataFrame:
-    """Answers of one provider for its budget."""
+    """Answers of one provider."""
     return enrich(listed, rep_raw, [provider], max_lookups)
 
 
@@ -251,6 +261,6 @@ def merge_all(enriched: DataFrame) -> DataFrame:
     return enriched.groupBy("value").agg(F.expr(entries))
 
 
-def enabled_only(rep_raw: DataFrame, providers: DataFrame) -> DataFrame:
-    """Snapshot rows of the providers that are configured (``provider, configured``)."""
-    return rep_raw.join(providers.where("configured"), "provider", "left_semi")
+def enabled_only(rep_raw: DataFrame, providers: Iterable[str]) -> DataFrame:
+    """Snapshot rows of the providers that are configured: a filter, pushed to the snapshot's scan."""
+    return rep_raw.where(F.col("provider").isin(sorted(set(providers))))

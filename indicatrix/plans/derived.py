@@ -61,7 +61,7 @@ def corpus(engine: str) -> str:
     return f"""
         SELECT 1 AS source_ord, 'documents' AS source, doc_id, text FROM @documents@
         UNION ALL SELECT 2, 'pages', page_id, url || {NL} || html FROM @pages@
-        UNION ALL SELECT 3, 'conversations', conv_id * 1000 + turn, text FROM @conversations@
+        UNION ALL SELECT 3, 'conversations', conv_id * 4294967296 + turn, text FROM @conversations@
         UNION ALL SELECT 4, 'reports', doc_id, text FROM ({reports(engine)}) r
     """
 
@@ -195,6 +195,7 @@ def rep_raw(engine: str, provider: str | None = None, kind: str | None = None) -
     """Reputation snapshot keyed by the addresses, names and digests of the reports.
 
     Answers vary: full, with absent fields, with explicit nulls, unreadable, missing.
+    For some keys an older answer is there as well.
     """
     stats = "'\"last_analysis_stats\": {\"malicious\": ' || n || ', \"suspicious\": ' || (m % 5) || ', \"harmless\": 60}'"
 
@@ -206,7 +207,9 @@ def rep_raw(engine: str, provider: str | None = None, kind: str | None = None) -
         )
 
     def select(provider: str, kind: str, source: str, body: str) -> tuple[str, str, str]:
-        return provider, kind, f"SELECT '{provider}' AS provider, '{kind}' AS kind, key, {body} AS body FROM ({source}) s"
+        asked = f"SELECT '{provider}' AS provider, '{kind}' AS kind, key"
+        older = f"{asked}, 1 AS landed, '{{}}' AS body FROM ({source}) s WHERE m % 3 = 0"
+        return provider, kind, f"{asked}, 2 AS landed, {body} AS body FROM ({source}) s UNION ALL {older}"
 
     def keyed(key: str) -> str:
         return f"SELECT {key} AS key, CAST(count(*) AS STRING) AS n, max(o_orderkey) AS m FROM @orders@ GROUP BY 1"

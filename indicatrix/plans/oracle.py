@@ -168,7 +168,7 @@ PER_TYPE = {
 }
 INDICATORS = f"{HITS}, indicators AS ({' UNION ALL '.join(PER_TYPE.values())})"
 _POSITION = (
-    "CAST(CAST(CAST(derived AS INT) AS HUGEINT) * 10000000000000000000000000000000000 "
+    "CAST(CAST(CAST(derived AS INT) AS HUGEINT) * 10000000000000000000000000000000000000 "
     "+ CAST(source_ord AS HUGEINT) * 1000000000000000000000000000000 "
     "+ (CAST(doc_id AS HUGEINT) + 9223372036854775808) * 10000000000 + pos AS HUGEINT)"
 )
@@ -336,16 +336,21 @@ ORACLE["feed_usom"] = on(CERT, _USOM)
 _KEV = (
     "SELECT feed, snapshot, ord, json_extract_string(v, '$.cveID') || ' ' || json_extract_string(v, '$.notes') AS value, "
     "false AS fallback FROM (SELECT feed, snapshot, unnest(vs) AS v, unnest(range(len(vs))) AS ord FROM "
-    "(SELECT feed, snapshot, CAST(json_extract(body, '$.vulnerabilities') AS JSON[]) AS vs FROM certs WHERE feed = 'US'))"
+    "(SELECT feed, snapshot, CAST(json_extract(body, '$.vulnerabilities') AS JSON[]) AS vs FROM certs WHERE feed = 'US')) "
+    "UNION ALL SELECT feed, snapshot, json_array_length(body, '$.vulnerabilities') AS ord, "
+    "json_extract_string(body, '$.title') || ' ' || json_extract_string(body, '$.count'), false FROM certs WHERE feed = 'US'"
 )
 ORACLE["feed_kev"] = on(CERT, _KEV)
 _FIELDS = "feed, snapshot, ord, value, fallback"
 ALL_VALUES = (
     f"{ALL_FEEDS}, {EU}, cert_values AS (SELECT {_FIELDS} FROM ({_USOM}) UNION ALL SELECT {_FIELDS} FROM ({_KEV}) "
-    f"UNION ALL SELECT {_FIELDS} FROM ({_CERT_EU}) UNION ALL SELECT {_FIELDS} FROM ({_CERT_RSS}))"
+    f"UNION ALL SELECT {_FIELDS} FROM ({_CERT_EU}) UNION ALL SELECT {_FIELDS} FROM ({_CERT_RSS})), "
+    "repository_values AS (SELECT 'repository' AS feed, CAST('0x' || substr(md5(url), 1, 15) AS BIGINT) AS snapshot, "
+    f"0 AS ord, body AS value, false AS fallback FROM ({D.for_duckdb(Q.LANDED_FILES)}))"
 )
 ORACLE["feed_union_all"] = on(
-    ALL_VALUES, f"SELECT {_FIELDS} FROM feed_values UNION ALL SELECT {_FIELDS} FROM cert_values"
+    ALL_VALUES,
+    f"SELECT {_FIELDS} FROM feed_values UNION ALL SELECT {_FIELDS} FROM cert_values UNION ALL SELECT {_FIELDS} FROM repository_values",
 )
 
 # --- registry -----------------------------------------------------------------------------
@@ -385,14 +390,13 @@ ORACLE["feed_repo_url"] = on(
     "coalesce(branch, 'master') || '/' || coalesce(path, 'trails/static/malware/malware.txt') AS url FROM wanted) "
     "JOIN landed USING (url)",
 )
-_FAMILY_ORD = {"abuse_ch": 4, "ip_blocklist": 5, "phishing": 6}
-_FAMILY = {row[0]: _FAMILY_ORD[row[4]] for row in registry.DEFAULT_FEEDS if row[4] in _FAMILY_ORD}
 ORACLE["corpus_union"] = on(
     ALL_VALUES,
     "SELECT 1 AS source_ord, 'documents' AS source, doc_id, md5(text) AS text_md5 FROM documents UNION ALL "
-    "SELECT 2, 'pages', page_id, md5(html) FROM pages UNION ALL "
-    "SELECT 3, feed, snapshot * 100000000 + ord, md5(value) FROM cert_values UNION ALL "
-    f"SELECT {case('feed', _FAMILY)}, feed, snapshot * 100000000 + ord, md5(value) FROM feed_values",
+    "SELECT 2, 'pages', page_id, md5(url || chr(10) || html) FROM pages UNION ALL "
+    f"SELECT {case('feed', Q.FEED_ORDS)}, feed, snapshot, md5(string_agg(value, chr(10) ORDER BY ord)) FROM "
+    f"(SELECT {_FIELDS} FROM cert_values UNION ALL SELECT {_FIELDS} FROM feed_values UNION ALL SELECT {_FIELDS} FROM repository_values) "
+    "GROUP BY feed, snapshot",
 )
 
 # --- normalisation and extraction ------------------------------------------------------------
@@ -513,16 +517,16 @@ _PRIORITY = case("type", {t: i for i, t in enumerate(K.LOOKUP_PRIORITY)})
 _KIND = case("type", K.LOOKUP_KIND)
 
 
-def _budget(provider: str, where: str = "true") -> str:
+def _budget(provider: str, where: str = "true", limit: str = "") -> str:
     return (
         f"SELECT {q(provider)} AS provider, row_number() OVER (ORDER BY {_PRIORITY}, ord) AS lookup_no, type, value, "
         f"{_KIND} AS kind FROM firsts WHERE type IN {in_list(K.PROVIDER_TYPES[provider])} AND {where} "
-        f"QUALIFY lookup_no <= {Q.LOOKUPS}"
+        f"{limit}"
     )
 
 
 _NOT_IP = "type <> 'ipv4'"
-ORACLE["lookup_budget"] = on(FIRST, _budget("virustotal", _NOT_IP))
+ORACLE["lookup_budget"] = on(FIRST, _budget("virustotal", _NOT_IP, f"QUALIFY lookup_no <= {Q.LOOKUPS}"))
 
 # --- export and sinks ------------------------------------------------------------------------
 ORACLE["source_label"] = (
@@ -538,8 +542,9 @@ def _csv_cell(x: str) -> str:
 
 ORACLE["sink_csv"] = on(
     FIRST,
-    f"SELECT type_ord, CAST(ord AS VARCHAR) AS ord, type || ',' || {_csv_cell('value')} || ',' || {_CONFIDENCE} || "
-    f"',\"say \"\"whole\"\", all\",' || {_NOTE} AS line FROM firsts",
+    f"SELECT 1 AS section, type_ord, 0 AS part, CAST(ord AS VARCHAR) AS ord, type || ',' || {_csv_cell('value')} || ',' || {_CONFIDENCE} || "
+    f"',\"say \"\"whole\"\", all\",' || {_NOTE} AS line FROM firsts "
+    "UNION ALL SELECT 0, 0, 0, '0', 'type,value,confidence,source,note'",
 )
 
 
@@ -606,8 +611,7 @@ ORACLE["report_markdown_lines"] = on(
         _block(1, 0, f"'| ' || {_MD_LABEL} || ' | ' || n || ' |'", _COUNTS),
         _fixed(2, ["''", "'## Detaylı IOC Listesi'", "''"]),
         _block(3, 0, f"'### ' || {_MD_LABEL} || ' (' || n || ' adet)'", _COUNTS),
-        _block(3, 1, "'- `' || value || '`'", "(SELECT * FROM ranked WHERE rank <= 50)", "ord"),
-        _block(3, 2, "'- ... ve ' || more || ' adet daha'", f"(SELECT * FROM {_COUNTS} WHERE more > 0)"),
+        _block(3, 1, "'- `' || value || '`'", "ranked", "ord"),
         _block(3, 3, "''", _COUNTS),
         _fixed(4, [q(line) for line in ["---", "", "## Kullanım Notları", *K.MARKDOWN_NOTES]]),
     ]),
@@ -668,7 +672,8 @@ ORACLE["stix_bundle"] = on(
 
 # --- reputation --------------------------------------------------------------------------------
 REP = (
-    f"rep_raw AS ({D.for_duckdb(D.rep_raw(D.DUCKDB))}), "
+    f"rep_raw AS (SELECT * FROM ({D.for_duckdb(D.rep_raw(D.DUCKDB))}) "
+    "QUALIFY row_number() OVER (PARTITION BY provider, kind, key ORDER BY landed DESC) = 1), "
     "rep_json AS (SELECT provider, kind, key, CASE WHEN json_valid(body) THEN body END AS js FROM rep_raw)"
 )
 
@@ -683,8 +688,8 @@ def _get(path: str, default: str, type_: str = "VARCHAR") -> str:
     return f"CASE WHEN json_exists(js, '{path}') THEN CAST(json_extract_string(js, '{path}') AS {type_}) ELSE {default} END"
 
 
-def _list(path: str, limit: int = 1000) -> str:
-    return f"list_slice(CASE WHEN json_exists(js, '{path}') THEN CAST(json_extract(js, '{path}') AS VARCHAR[]) ELSE [] END, 1, {limit})"
+def _list(path: str) -> str:
+    return f"CASE WHEN json_exists(js, '{path}') THEN CAST(json_extract(js, '{path}') AS VARCHAR[]) ELSE [] END"
 
 
 _AT = "$.data.attributes"
@@ -697,7 +702,7 @@ REP_FIELDS = {
     ("virustotal", "ip"): (_VT_OK, [*_VT, ("country", _get(f"{_AT}.country", _NA)), ("as_owner", _get(f"{_AT}.as_owner", _NA)), _VT_REP]),
     ("virustotal", "hash"): (
         _VT_OK,
-        [*_VT, ("type_description", _get(f"{_AT}.type_description", _NA)), _VT_REP, ("names", _list(f"{_AT}.names", 5))],
+        [*_VT, ("type_description", _get(f"{_AT}.type_description", _NA)), _VT_REP, ("names", _list(f"{_AT}.names"))],
     ),
     ("virustotal", "domain"): (_VT_OK, [*_VT, _VT_REP, ("registrar", _get(f"{_AT}.registrar", _NA))]),
     ("otx", "ip"): (
@@ -706,7 +711,7 @@ REP_FIELDS = {
     ),
     ("otx", "domain"): (
         _ok("$.pulse_info"),
-        [_PULSES, ("alexa", _get("$.alexa", _NA)), ("whois", "coalesce(nullif(left(json_extract_string(js, '$.whois'), 200), ''), 'N/A')")],
+        [_PULSES, ("alexa", _get("$.alexa", _NA)), ("whois", "coalesce(nullif(json_extract_string(js, '$.whois'), ''), 'N/A')")],
     ),
     ("otx", "hash"): (_ok("$.pulse_info"), [_PULSES]),
     ("abuseipdb", "ip"): (
@@ -789,7 +794,10 @@ ORACLE["sink_json_full"] = on(
     " UNION ALL ".join([
         *_json_document("TLP:AMBER", closed=False),
         _fixed(3, [q("  ,"), q('  "enrichment": {')]),
-        f"SELECT 4, 0, 0, '0', '    ' || {_JSON_VALUE} || ': ' || payload || CASE WHEN value = max(value) OVER () THEN '' ELSE ',' END FROM merged",
+        f"SELECT 4, type_ord, 0, CAST(ord AS VARCHAR), '    ' || {_JSON_VALUE} || ': ' || payload || "
+        "CASE WHEN row_number() OVER (ORDER BY type_ord DESC, ord DESC) = 1 THEN '' ELSE ',' END FROM merged JOIN "
+        "(SELECT value, type_ord, ord FROM firsts QUALIFY row_number() OVER (PARTITION BY value ORDER BY type_ord, ord) = 1) "
+        "USING (value)",
         _fixed(5, [q("  }")]),
         _fixed(6, [q("}")]),
     ]),

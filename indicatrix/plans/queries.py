@@ -18,7 +18,7 @@ from indicatrix.plans import derived as D
 from indicatrix.plans.tables import scratch, stored, table
 from indicatrix.sinks import csvfile, jsonfile, reports, stix
 from indicatrix.sources import cert, documents, feeds, registry
-from indicatrix.sources.corpus import combine, spread
+from indicatrix.sources.corpus import combine
 from indicatrix.streaming import stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,7 +39,12 @@ def query(fn: Query) -> Query:
 
 # --- shared inputs --------------------------------------------------------------
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(D.for_spark(spark, sf_dir, D.corpus(D.SPARK)))
+    """The documents, dealt out here: each test table is one row group, which one task would read.
+
+    The library itself never redistributes texts.
+    """
+    docs = D.for_spark(spark, sf_dir, D.corpus(D.SPARK))
+    return docs.repartition(2 * spark.sparkContext.defaultParallelism, "source_ord", "doc_id")
 
 
 def indicators(spark: SparkSession, sf_dir: str, types: list[str] | None = None) -> DataFrame:
@@ -64,7 +69,7 @@ def cert_payloads(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
 
 
 def rep_raw(spark: SparkSession, sf_dir: str, provider: str | None = None, kind: str | None = None) -> DataFrame:
-    return D.for_spark(spark, sf_dir, D.rep_raw(D.SPARK, provider, kind))
+    return rep.newest(D.for_spark(spark, sf_dir, D.rep_raw(D.SPARK, provider, kind)))
 
 
 def ordered(rows: DataFrame) -> DataFrame:
@@ -196,7 +201,13 @@ def feed_raw_fallback(spark, sf_dir):
 
 
 def feed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.parse_all(feed_payloads(spark, sf_dir)).unionByName(cert.cert_values(cert_payloads(spark, sf_dir)))
+    listed_feeds = feeds.parse_all(feed_payloads(spark, sf_dir))
+    landed = registry.repository_values(D.for_spark(spark, sf_dir, LANDED_FILES))
+    return listed_feeds.unionByName(cert.cert_values(cert_payloads(spark, sf_dir))).unionByName(landed)
+
+
+# Inputs of a run, in order: files, pages, CERT feeds, repositories, list feeds.
+FEED_ORDS = {name: i for i, name in enumerate(["TR", "US", "EU", "NL", "FR", "JP", "repository", *feeds.FEEDS], start=3)}
 
 
 @query
@@ -272,12 +283,10 @@ def feed_repo_url(spark, sf_dir):
 def corpus_union(spark, sf_dir):
     files = table(spark, sf_dir, "documents").select(F.lit("documents").alias("source"), "doc_id", "text")
     pages = table(spark, sf_dir, "pages").select(
-        F.lit("pages").alias("source"), F.col("page_id").alias("doc_id"), F.col("html").alias("text")
+        F.lit("pages").alias("source"), F.col("page_id").alias("doc_id"), F.concat("url", F.lit("\n"), "html").alias("text")
     )
-    parts = [feeds.values_as_documents(cert.cert_values(cert_payloads(spark, sf_dir)), 0)]
-    for family in ("abuse_ch", "ip_blocklist", "phishing"):
-        parts.append(feeds.values_as_documents(feeds.parse_all(feed_payloads(spark, sf_dir), family), 0))
-    whole = combine(files, pages, *parts)
+    landed = feeds.values_as_documents(feed_values(spark, sf_dir), FEED_ORDS)
+    whole = combine(files, pages).unionByName(landed)
     return whole.select("source_ord", "source", "doc_id", F.md5("text").alias("text_md5"))
 
 
@@ -529,7 +538,7 @@ def source_label(spark, sf_dir):
 @query
 def sink_csv(spark, sf_dir):
     rows = report.flatten_export(listed(spark, sf_dir), 'say "whole", all')
-    return ordered(csvfile.csv_line(rows))
+    return ordered(csvfile.csv_document(rows))
 
 
 @query
@@ -538,7 +547,7 @@ def sink_json(spark, sf_dir):
 
 
 def _enriched(spark, sf_dir, rows: DataFrame) -> DataFrame:
-    return rep.enrich(rows, rep_raw(spark, sf_dir), PROVIDERS, LOOKUPS)
+    return rep.enrich(rows, rep_raw(spark, sf_dir))
 
 
 @query
@@ -613,7 +622,7 @@ for _name, (_provider, _kind) in REP_QUERIES.items():
 @query
 def enrich_provider(spark, sf_dir):
     rows = listed(spark, sf_dir, resolve_types("domain,hash"))
-    return rep.enrich_provider(rows, rep_raw(spark, sf_dir, "virustotal"), "virustotal", LOOKUPS)
+    return rep.enrich_provider(rows, rep_raw(spark, sf_dir, "virustotal"), "virustotal")
 
 
 @query
@@ -634,8 +643,9 @@ def enrich_enabled_only(spark, sf_dir):
         F.element_at(F.array(*[F.lit(p) for p in PROVIDERS[:4]]), (F.col("c_custkey") % 4 + 1).cast("int")).alias("provider"),
         F.when(F.col("c_custkey") % 4 != 3, F.concat(F.lit("key-"), "c_name")).otherwise(F.lit("")).alias("api_key"),
     )
-    providers = keys.groupBy("provider").agg((F.max("api_key") != "").alias("configured"))
-    return rep.enabled_only(rep_raw(spark, sf_dir), providers).select("provider", "kind", "key")
+    # One row per provider, of which there are five.
+    on_file = [r.provider for r in keys.where("api_key <> ''").select("provider").distinct().collect()]
+    return rep.enabled_only(rep_raw(spark, sf_dir), on_file).select("provider", "kind", "key")
 
 
 # --- SQL functions, user types, streams ------------------------------------------------------

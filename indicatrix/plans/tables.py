@@ -32,12 +32,13 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def stored(rows: DataFrame, label: str) -> DataFrame:
-    """Write ``rows`` once to the shared folder and read them back.
+    """Compute ``rows`` once into the shared folder; Spark removes the files with the DataFrame where it is told to.
 
     For a result that several passes use, such as the deduplicated indicators
     behind a report: the extraction then runs once, and a lost executor costs a
     read, not a recomputation.
     """
-    path = scratch(rows.sparkSession, label)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch(rows.sparkSession, label))
+    return rows.checkpoint()

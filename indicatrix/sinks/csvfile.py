@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from indicatrix.sinks import lines as L
+
 FIELDS = ["type", "value", "confidence", "source", "note"]
 
 
@@ -12,20 +14,13 @@ def _cell(name: str) -> str:
     return f"CASE WHEN rlike({name}, '[\",\\r\\n]') THEN {quoted} ELSE {name} END"
 
 
-def csv_line(rows: DataFrame) -> DataFrame:
-    """Each export row as its CSV line, beside the row's sort columns."""
-    line = f"concat_ws(',', {', '.join(_cell(name) for name in FIELDS)}) AS line"
-    return rows.selectExpr(*[c for c in rows.columns if c not in FIELDS], line)
+def csv_document(rows: DataFrame) -> DataFrame:
+    """Export rows as the lines of a CSV document, its header first."""
+    one = rows.sparkSession.range(1)
+    line = f"concat_ws(',', {', '.join(_cell(name) for name in FIELDS)})"
+    return L.stack(L.fixed(one, 0, [f"'{','.join(FIELDS)}'"]), L.block(rows, 1, 0, line))
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """Part files in export order, each with the header."""
-    ordered = rows.orderBy("type_ord", "ord") if "ord" in rows.columns else rows
-    (
-        ordered.select(*FIELDS)
-        .write.option("header", True)
-        .option("escape", '"')
-        .option("emptyValue", "")
-        .option("lineSep", "\r\n")
-        .csv(path)
-    )
+    """Text files whose concatenation in name order is the CSV document, lines ending in CRLF."""
+    L.write_document(csv_document(rows), path, "\r\n")

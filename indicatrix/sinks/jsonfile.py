@@ -71,14 +71,17 @@ def json_document(
     if enrichment is not None:
         # A comma after the previous member is a line of its own: valid JSON,
         # and absent when no lookup succeeded.
-        answers = enrichment.select("value", "payload")
-        end = answers.agg(F.expr("max(value) AS last"), F.expr("count(*) AS n"))
+        # An answer stands where its value is listed first, so no two lines tie.
+        first = listed.groupBy("value").agg(F.expr("min(struct(type_ord, ord)) AS place"))
+        answers = enrichment.select("value", "payload").join(first, "value").select("value", "payload", "place.*")
+        end = answers.agg(F.expr("max(struct(type_ord, ord)) AS last"), F.expr("count(*) AS n"))
         some = end.where("n > 0")
-        rows = answers.join(F.broadcast(end.select("last")), F.col("value") == F.col("last"), "left")
-        comma = "CASE WHEN last IS NOT NULL THEN '' ELSE ',' END"
+        last = some.selectExpr("last.type_ord AS type_ord", "last.ord AS ord", "true AS is_last")
+        rows = answers.join(F.broadcast(last), ["type_ord", "ord"], "left")
+        comma = "CASE WHEN is_last THEN '' ELSE ',' END"
         parts += [
             L.fixed(some, 3, [q("  ,"), q('  "enrichment": {')]),
-            L.block(rows, 4, 0, f"concat('    ', {json_string('value')}, ': ', payload, {comma})", type_ord="0"),
+            L.block(rows, 4, 0, f"concat('    ', {json_string('value')}, ': ', payload, {comma})"),
             L.fixed(some, 5, [q("  }")]),
             L.fixed(totals, 6, [q("}")]),
         ]

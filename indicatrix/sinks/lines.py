@@ -42,5 +42,5 @@ def document_lines(lines: DataFrame) -> DataFrame:
     return lines.orderBy(*SORT_KEYS).select("line")
 
 
-def write_document(lines: DataFrame, path: str) -> None:
-    document_lines(lines).write.text(path)
+def write_document(lines: DataFrame, path: str, end: str = "\n") -> None:
+    document_lines(lines).write.option("lineSep", end).text(path)

@@ -13,7 +13,6 @@ from indicatrix.functions.constants import (
     MARKDOWN_LABELS,
     MARKDOWN_NOTES,
     MARKDOWN_TITLE,
-    REPORT_ROWS_PER_TYPE,
     TEXT_LABELS,
 )
 from indicatrix.functions.normalize import literal, lookup
@@ -26,11 +25,11 @@ def _texts(*lines: str) -> list[str]:
 
 
 def markdown_report(
-    listed: DataFrame, source: str, run_ts: str, confidence: str = "High", top: int = REPORT_ROWS_PER_TYPE
+    listed: DataFrame, source: str, run_ts: str, confidence: str = "High", top: int | None = None
 ) -> DataFrame:
-    """Summary, distribution and the first ``top`` indicators of each type."""
+    """Summary, distribution and the indicators of each type; with ``top``, the first ones and how many follow."""
     listed = listed.select("type", "type_ord", "value", "ord")
-    counts = overflow_per_type(listed, top)
+    counts = count_by_type(listed) if top is None else overflow_per_type(listed, top)
     totals = counts.agg(F.expr("coalesce(sum(n), 0) AS total"))
     label = lookup("type", MARKDOWN_LABELS)
     head = [
@@ -53,14 +52,15 @@ def markdown_report(
             "|----------|------|",
         ),
     ]
-    more = counts.where("more > 0")
+    rows = listed if top is None else top_per_type(listed, top)
+    more = [] if top is None else [L.block(counts.where("more > 0"), 3, 2, "concat('- ... ve ', more, ' adet daha')")]
     return L.stack(
         L.fixed(totals, 0, head),
         L.block(counts, 1, 0, f"concat('| ', {label}, ' | ', n, ' |')"),
         L.fixed(totals, 2, _texts("", "## Detaylı IOC Listesi", "")),
         L.block(counts, 3, 0, f"concat('### ', {label}, ' (', n, ' adet)')"),
-        L.block(top_per_type(listed, top), 3, 1, "concat('- `', value, '`')"),
-        L.block(more, 3, 2, "concat('- ... ve ', more, ' adet daha')"),
+        L.block(rows, 3, 1, "concat('- `', value, '`')"),
+        *more,
         L.block(counts, 3, 3, "''"),
         L.fixed(totals, 4, _texts("---", "", "## Kullanım Notları", *MARKDOWN_NOTES)),
     )

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from indicatrix.functions import patterns as P
-from indicatrix.functions.normalize import in_list, literal, strip
+from indicatrix.functions.normalize import in_list, literal, lookup, strip
 
 _FIELD = literal(r',("(?:[^"]++|"")*+"[^,]*+|[^,]*+)')
 _QUOTED = literal(r'^"((?:[^"]++|"")*+)"')
@@ -179,15 +179,11 @@ def csv_table(payloads: DataFrame) -> DataFrame:
     return rows.selectExpr("feed", "snapshot", "ord", "size(_row) AS width", *fields)
 
 
-# More values than a snapshot of 50 MiB can hold.
-VALUES_PER_SNAPSHOT = 100_000_000
+def values_as_documents(values: DataFrame, source_ords: dict[str, int]) -> DataFrame:
+    """Feed values in the document schema: one document per snapshot, its values in order on lines of their own.
 
-
-def values_as_documents(values: DataFrame, source_ord: int) -> DataFrame:
-    """Feed values in the document schema: one document per value."""
-    return values.selectExpr(
-        f"{source_ord} AS source_ord",
-        "feed AS source",
-        f"snapshot * {VALUES_PER_SNAPSHOT} + ord AS doc_id",
-        "value AS text",
-    )
+    Every feed has its own ``source_ord``, so a snapshot id is a position within its feed.
+    """
+    text = "array_join(transform(array_sort(collect_list(struct(ord, value))), v -> v.value), '\n') AS text"
+    docs = values.groupBy("feed", "snapshot").agg(F.expr(text))
+    return docs.selectExpr(f"{lookup('feed', source_ords)} AS source_ord", "feed AS source", "snapshot AS doc_id", "text")

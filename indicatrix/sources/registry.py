@@ -116,13 +116,20 @@ def get_feed(feeds: DataFrame, key: str) -> DataFrame:
 
 
 def upsert(feeds: DataFrame, new: DataFrame) -> DataFrame:
-    """Add feeds, replacing those with the same key."""
-    return feeds.join(new, "key", "left_anti").unionByName(new)
+    """Add feeds, replacing those with the same key; of new rows with one key the last counts."""
+    columns = [F.col(c) for c in feeds.columns if c != "key"]
+    rows = new.select("key", F.struct(*columns).alias("_row"), F.monotonically_increasing_id().alias("_place"))
+    last = rows.groupBy("key").agg(F.max_by("_row", "_place").alias("_row")).select("key", "_row.*")
+    return feeds.join(last, "key", "left_anti").unionByName(last)
 
 
 def custom_feeds(rows: DataFrame) -> DataFrame:
-    """User feeds ``name, url`` in registry form: text format, custom family."""
-    return rows.selectExpr("name AS key", "name", "url", "'text' AS format", "'custom' AS type")
+    """User feeds ``name, url`` in registry form: text format and custom family unless ``format`` or ``type`` say so."""
+
+    def given(column: str, default: str) -> str:
+        return f"coalesce({column}, '{default}') AS {column}" if column in rows.columns else f"'{default}' AS {column}"
+
+    return rows.selectExpr("name AS key", "name", "url", given("format", "text"), given("type", "custom"))
 
 
 def summary(feeds: DataFrame) -> DataFrame:
@@ -151,3 +158,12 @@ def list_presets(presets_: DataFrame) -> DataFrame:
 def landed_contents(requested: DataFrame, landed: DataFrame) -> DataFrame:
     """Landed files (``url, body``) for requested URLs; a file that did not land gives no row."""
     return requested.join(landed, "url")
+
+
+def repository_values(landed: DataFrame) -> DataFrame:
+    """Landed repository files (``url, body``) as feed values: a file is a snapshot, known by its URL's digest."""
+    lines = landed.selectExpr(
+        "'repository' AS feed", "CAST(conv(substr(md5(url), 1, 15), 16, 10) AS BIGINT) AS snapshot", "false AS fallback",
+        "posexplode(split(body, '\\r\\n|\\n|\\r')) AS (ord, value)",
+    )
+    return lines.where("trim(value) <> ''")

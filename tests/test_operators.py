@@ -110,15 +110,26 @@ def test_csv_file(spark, listed):
     path = scratch(spark, "csv")
     rows = report.flatten_export(listed, 'say "x", y')
     csvfile.write_csv(rows, path)
-    parts = [p for p in read_parts(path) if p]
-    assert all(p.startswith("type,value,confidence,source,note\r\n") for p in parts)
-    read = [r for p in parts for r in csv.DictReader(p.splitlines())]
+    text = "".join(read_parts(path))
+    assert text.startswith("type,value,confidence,source,note\r\n") and text.count("\r\n") == listed.count() + 1
+    read = list(csv.DictReader(text.splitlines()))
     assert [r["value"] for r in read if r["type"] == "domain"] == values(listed, "domain")
     assert {r["source"] for r in read} == {'say "x", y'}
-    line = csvfile.csv_line(rows).where("line LIKE 'url,%z%'").collect()[0].line
+    line = csvfile.csv_document(rows).where("line LIKE 'url,%z%'").collect()[0].line
     assert line == 'url,"http://z.com/,",Medium,"say ""x"", y",Extracted URL indicator'
 
 
+def test_json_with_many_unsorted_answers(spark):
+    """A thousand answers over several tasks, written, read back in name order and parsed."""
+    texts = spark.range(1000).selectExpr("1 AS source_ord", "'t' AS source", "id AS doc_id", "concat('x', hash(id) & 4095, 'y', id, '.com 10.0.', id DIV 250, '.', id % 250) AS text")
+    many = dedup.first_seen(extract_indicators(texts.repartition(7)))
+    answers = many.where("type = 'domain'").selectExpr("value", "concat('{\"d\":\"', value, '\"}') AS payload").repartition(5)
+    path = scratch(spark, "json")
+    jsonfile.write_json(jsonfile.json_document(many, "s", "now", tlp="TLP:RED", enrichment=answers), path)
+    data = json.loads("".join(read_parts(path)))
+    assert len(data["enrichment"]) == answers.count() == 1000 and len(data["iocs"]["domains"]) == 1000
+
+
 def test_json_document(spark, listed):
     answers = spark.createDataFrame([("9.9.9.9", '{"ip":"9.9.9.9"}'), ("a.com", '{"domain":"a.com"}')], "value string, payload string")
     for kwargs in ({}, {"tlp": "TLP:RED"}, {"tlp": "TLP:RED", "enrichment": answers}, {"enrichment": answers.limit(0)}):
@@ -201,9 +212,10 @@ def rep_raw(spark):
 def test_projections(rep_raw):
     vt = R.project_reputation(rep_raw, "virustotal", "ip").collect()
     assert [(r.key, r.malicious, r.harmless, r.country, r.as_owner) for r in vt] == [("9.9.9.9", 3, 0, None, "N/A")]
-    assert R.project_reputation(rep_raw, "virustotal", "hash").collect()[0].names == list("12345")
+    assert R.project_reputation(rep_raw, "virustotal", "hash").collect()[0].names == list("123456")
+    assert R.project_reputation(rep_raw, "virustotal", "hash", max_names=5).collect()[0].names == list("12345")
     assert [r.key for r in R.project_reputation(rep_raw, "virustotal", "domain").collect()] == ["b.com"]
-    assert len(R.project_reputation(rep_raw, "otx", "domain").collect()[0].whois) == 200
+    assert len(R.project_reputation(rep_raw, "otx", "domain", max_whois=200).collect()[0].whois) == 200
     shodan = R.project_reputation(rep_raw, "shodan", "ip").collect()[0]
     assert (shodan.ports, shodan.vulns, shodan.os, shodan.org) == ([22, 80], ["CVE-1"], None, "N/A")
     grey = R.project_reputation(rep_raw, "greynoise", "ip").collect()[0]
@@ -248,6 +260,20 @@ def test_snapshot_is_parsed_behind_the_join(listed, rep_raw):
     assert plan.count("parseJson") == 1 and plan.index("parseJson") < plan.index("Join Inner")
 
 
-def test_enabled_only(spark, rep_raw):
-    on = spark.createDataFrame([("otx", True), ("shodan", False)], "provider string, configured boolean")
-    assert {r.provider for r in R.enabled_only(rep_raw, on).collect()} == {"otx"}
+def test_enabled_only(rep_raw):
+    assert {r.provider for r in R.enabled_only(rep_raw, ["otx"]).collect()} == {"otx"}
+    assert R.enabled_only(rep_raw, []).count() == 0
+
+
+def test_newest_answer_counts(spark, listed):
+    answers = [("otx", "domain", "b.com", 1, '{"pulse_info": {"count": 1}}'), ("otx", "domain", "b.com", 3, '{"pulse_info": {"count": 3}}'), ("otx", "domain", "b.com", 2, None)]
+    rep = spark.createDataFrame(answers, "provider string, kind string, key string, landed int, body string")
+    found = R.merge_all(R.enrich(listed, R.newest(rep))).collect()
+    assert len(found) == 1 and json.loads(found[0].answers["otx"])["pulse_count"] == 3
+
+
+def test_long_values_stay_whole(spark):
+    body = json.dumps({"pulse_info": {}, "whois": "w" * 5000})
+    rep = spark.createDataFrame([("otx", "domain", "b.com", body)], "provider string, kind string, key string, body string")
+    assert len(R.project_reputation(rep, "otx", "domain").first().whois) == 5000
+    assert len(R.project_reputation(rep, "otx", "domain", max_whois=200).first().whois) == 200
