@@ -19,7 +19,7 @@ def _guarded(test: str, matches: str) -> str:
 
 def ipv4_matches(text: str) -> str:
     """Dotted quads as written; octets are checked later."""
-    return find_all(text, P.IPV4)
+    return _guarded(f"rlike({text}, {literal(P.IPV4_HINT)})", find_all(text, P.IPV4))
 
 
 def ipv6_matches(text: str) -> str:
@@ -31,7 +31,8 @@ def domain_matches(text: str, any_case: bool = False) -> str:
     chains = find_all(text, P.DOMAIN_CHAIN_ANY_CASE if any_case else P.DOMAIN_CHAIN)
     inner = literal(P.DOMAIN_IN_CHAIN_ANY_CASE if any_case else P.DOMAIN_IN_CHAIN)
     name = f"CASE WHEN endswith(c, '.') THEN regexp_extract(c, {inner}, 1) ELSE c END"
-    return f"array_remove(transform({chains}, c -> {name}), '')"
+    names = f"array_remove(transform({chains}, c -> {name}), '')"
+    return names if any_case else _guarded(f"rlike({text}, {literal(P.DOMAIN_HINT)})", names)
 
 
 def url_matches(text: str) -> str:

@@ -58,6 +58,9 @@ IPV6 = (
     rf"\b(?={_HEXTET}:)(?<!{WORD})(?:(?:{_HEXTET}:){{7}}{_HEXTET}{_END}|(?:{_HEXTET}:){{1,7}}:)"
     rf"|::(?<={WORD}::)(?:{_HEXTET}:){{0,5}}{_HEXTET}{_END}"
 )
+# What a text with a quad, or with a domain, holds; each is tested in one plain pass.
+IPV4_HINT = rf"{_DIGIT}\.{_DIGIT}"
+DOMAIN_HINT = r"\.[a-zA-Z]"
 # A maximal chain of dotted labels, with its top-level label where one follows.
 DOMAIN_CHAIN = rf"{_START}(?:{_LABEL_DOT})++(?:[a-zA-Z]{{2,}}{_END})?+"
 DOMAIN_CHAIN_ANY_CASE = "(?iu)" + DOMAIN_CHAIN
@@ -118,6 +121,9 @@ FANGED = (
     r"|\((?:\.|[aA][tT]|[dD][oO][tT])\)|\{\.\})"
 )
 
+# Every match of it holds one of these.
+FANGED_MARKS = ["[", "(", "{", "xx", "xX", "Xx", "XX"]
+
 # --- validation --------------------------------------------------------------
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _IPV4_BODY = rf"(?:{_OCTET}\.){{3}}{_OCTET}"

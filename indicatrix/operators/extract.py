@@ -55,23 +55,28 @@ def _raw_text(docs: DataFrame, do_refang: bool) -> DataFrame:
 
 
 def extract_indicators(
-    docs: DataFrame, types: Iterable[str] | None = None, do_refang: bool = True
+    docs: DataFrame, types: Iterable[str] | None = None, do_refang: bool = True, derived: bool | None = None
 ) -> DataFrame:
     """All indicators in long form, duplicates kept.
 
     Adds ``type, derived, pos, value``.  ``derived`` marks a domain taken from
     a URL; ``pos`` counts the matches of a type within a document.  Only the
-    expressions of the wanted ``types`` enter the plan.
+    expressions of the wanted ``types`` enter the plan, and with ``derived`` only
+    the direct or only the derived ones.
     """
     types = set(ALL_TYPES if types is None else types)
     keep = [c for c in docs.columns if c != "text"]
     parts = []
+    from_urls = "domain" in types and derived is not False
+    if derived:
+        types = set()
     if "ipv4" in types:
         parts.append(_hits(X.ipv4_matches("_raw"), "ipv4"))
     if "ipv6" in types:
         parts.append(_hits(X.ipv6_matches("_raw"), "ipv6"))
     if "domain" in types:
         parts.append(_hits(X.domain_matches("_raw"), "domain"))
+    if from_urls:
         parts.append(_hits("_urls", "domain", derived=True, value=X.url_host("v")))
     if "url" in types:
         parts.append(_hits("_urls", "url"))
@@ -86,7 +91,7 @@ def extract_indicators(
         parts.append(_hash_hits(X.hash_matches("_raw")))
 
     staged = _raw_text(docs, do_refang)
-    if types & {"url", "domain"}:
+    if from_urls or "url" in types:
         staged = staged.withColumn("_urls", F.expr(X.url_matches("_raw")))
     hits = f"explode(concat({', '.join(parts or [_NO_HITS])})) AS _hit"
     rows = staged.selectExpr(*keep, hits).selectExpr(*keep, "_hit.*").where(_IS_VALID)

@@ -47,8 +47,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.repartition(2 * spark.sparkContext.defaultParallelism, "source_ord", "doc_id")
 
 
-def indicators(spark: SparkSession, sf_dir: str, types: list[str] | None = None) -> DataFrame:
-    return extract_indicators(corpus(spark, sf_dir), types)
+def indicators(spark: SparkSession, sf_dir: str, types: list[str] | None = None, derived: bool | None = None) -> DataFrame:
+    return extract_indicators(corpus(spark, sf_dir), types, derived=derived)
 
 
 def listed(spark: SparkSession, sf_dir: str, types: list[str] | None = None) -> DataFrame:
@@ -315,9 +315,7 @@ def defang_output(spark, sf_dir):
 # --- extraction ---------------------------------------------------------------------------
 def _extract_query(name: str, types: list[str], derived: bool | None = None) -> None:
     def run(spark, sf_dir):
-        rows = indicators(spark, sf_dir, types)
-        if derived is not None:
-            rows = rows.where(F.col("derived") == derived)
+        rows = indicators(spark, sf_dir, types, derived)
         return rows.select("source", "doc_id", "type", "pos", "value")
 
     QUERIES[name] = run

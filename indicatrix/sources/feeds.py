@@ -1,7 +1,7 @@
 """Landed feed snapshots -> values.
 
-A snapshot is one file of a feed, at most 50 MiB, as a row
-``(feed string, snapshot bigint, body string)``.  It is parsed within its row,
+A snapshot is one file of a feed as a row ``(feed string, snapshot bigint,
+body string)``; :func:`read_snapshots` makes them from a folder.  It is parsed within its row,
 so the rule "no value found: take the raw text" needs neither a second scan nor
 a join, and a feed that holds most of the data is still as many rows as it has
 snapshots.
@@ -11,14 +11,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from indicatrix.functions import patterns as P
 from indicatrix.functions.normalize import in_list, literal, lookup, strip
+from indicatrix.sources.documents import decode_lenient
 
-_FIELD = literal(r',("(?:[^"]++|"")*+"[^,]*+|[^,]*+)')
-_QUOTED = literal(r'^"((?:[^"]++|"")*+)"')
+_FIELD = literal(r',("(?:[^"]++|"")*+(?:"[^,]*+)?|[^,]*+)')
+_QUOTED = literal(r'^"((?:[^"]++|"")*+)"?')
+# Fields up to a line break; a quoted one holds line breaks.
+_RECORD_FIELD = r'(?:"(?:[^"]++|"")*+"?[^,\n]*+|[^,\n]*+)'
+_RECORD = literal(rf"{_RECORD_FIELD}(?:,{_RECORD_FIELD})*+")
 
 
 # --- line level: SQL expressions over a body or a line --------------------------
@@ -51,8 +55,13 @@ def csv_fields(line: str) -> str:
     return f"transform({fields}, f -> CASE WHEN startswith(f, '\"') THEN {text} ELSE f END)"
 
 
+def _records(lines: str) -> str:
+    """The CSV records of some lines; a quoted field may span several."""
+    return f"array_remove(regexp_extract_all(array_join({lines}, '\\n'), {_RECORD}, 0), '')"
+
+
 def csv_rows(body: str) -> str:
-    return f"transform({data_lines(body)}, l -> {csv_fields('l')})"
+    return f"transform({_records(data_lines(body))}, l -> {csv_fields('l')})"
 
 
 def _column(body: str, index: int) -> str:
@@ -65,6 +74,18 @@ def _filled(values: str) -> str:
     return f"array_remove(transform({values}, x -> {strip('x')}), '')"
 
 
+def read_snapshots(spark: SparkSession, root: str, *feeds: str) -> DataFrame:
+    """Landed feed files ``root/feed=<key>/snapshot=<id>/<file>`` as payloads ``feed, snapshot, body``.
+
+    ``feed`` and ``snapshot`` come from the path, so naming ``feeds`` prunes the listing; a file is a
+    snapshot, decoded leniently. Only files the parsers ask for are read.
+    """
+    files = spark.read.format("binaryFile").option("basePath", root).load(root)
+    if feeds:
+        files = files.where(F.col("feed").isin(list(feeds)))
+    return files.select(F.col("feed").cast("string"), F.col("snapshot").cast("bigint"), decode_lenient(F.col("content")).alias("body"))
+
+
 # --- one parser per feed shape --------------------------------------------------
 def _urlhaus(body: str) -> str:
     return f"filter({_column(body, 2)}, u -> startswith(u, 'http'))"
@@ -99,7 +120,8 @@ def _url_index(body: str) -> str:
 
 def _phishtank(body: str) -> str:
     """Reads ``_url_index``, which :func:`_staged` finds once per payload."""
-    records = f"transform(filter({split_lines(body)}, (l, i) -> i > 0), l -> {csv_fields('l')})"
+    lines = f"filter({split_lines(body)}, (l, i) -> i > 0)"
+    records = f"transform({_records(lines)}, l -> {csv_fields('l')})"
     wide = f"filter({records}, row -> size(row) > _url_index)"
     return _filled(f"transform({wide}, row -> get(row, _url_index))")
 
