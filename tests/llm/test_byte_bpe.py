@@ -1,7 +1,9 @@
 """Byte-level BPE against the tiktoken library."""
 
+import functools
 import hashlib
 import random
+import sys
 
 import public_tokenizers
 import pytest
@@ -16,16 +18,20 @@ from tests.conftest import SMALL
 NAMES = ["byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"]
 
 
+@functools.cache
+def library(path):
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+
+
 @pytest.fixture(scope="module", params=NAMES)
 def both(request):
     path = public_tokenizers.path(request.param)
-    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
-    return byte_bpe.codec(path, public_tokenizers.PATTERN), theirs
+    return byte_bpe.codec(path, public_tokenizers.PATTERN), library(path)
 
 
 def ids(codec, text):
     raw = codec.encode(text)
-    return [int.from_bytes(raw[i : i + 4], "little") for i in range(0, len(raw), 4)]
+    return [int.from_bytes(raw[i : i + 4], sys.byteorder) for i in range(0, len(raw), 4)]
 
 
 def test_every_token_of_the_vocabulary(both):
@@ -39,9 +45,7 @@ def test_every_token_of_the_vocabulary(both):
 @given(text=st.text(max_size=80))
 def test_any_text(text):
     path = public_tokenizers.path(NAMES[0])
-    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={}) if not hasattr(test_any_text, "t") else test_any_text.t
-    test_any_text.t = theirs
-    ours = byte_bpe.codec(path, public_tokenizers.PATTERN)
+    ours, theirs = byte_bpe.codec(path, public_tokenizers.PATTERN), library(path)
     assert ids(ours, text) == theirs.encode_ordinary(text)
     assert ours.decode(ids(ours, text)) == text.encode()
 
@@ -68,7 +72,7 @@ def test_memory_starts_anew_when_full(monkeypatch):
 
 
 def test_query(spark):
-    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+    theirs = library(RANKS)
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     rows = QUERIES["op10_byte_bpe"](spark, SMALL).collect()
     assert len(rows) == len(texts)

@@ -51,7 +51,7 @@ def test_added_rules(spark):
     texts = ["eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.abcdefghijkl", "x ghp_" + "a1" * 18, "-----BEGIN RSA PRIVATE KEY-----"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.spans for r in secret_scan.secret_spans(docs).collect()}
-    assert got[0].startswith("jwt:0:") and got[1] == "prefixed:2:42" and got[2] == "key_block:0:31"
+    assert got[0].startswith("jwt:0:") and got[1] == "prefixed:2:42,hex:6:42" and got[2] == "key_block:0:31"
 
 
 def test_ledger_scans_only_what_is_new(spark):

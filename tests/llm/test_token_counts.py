@@ -1,5 +1,6 @@
 """Count-only Viterbi against the unigram model of a public library and against all paths."""
 
+import functools
 import itertools
 
 import public_tokenizers
@@ -16,20 +17,21 @@ from tests.conftest import SMALL
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
 
-@pytest.fixture(scope="module")
-def library():
+@functools.cache
+def unigram():
+    """The public library's model with the same pieces and scores."""
     model = sentencepiece.SentencePieceProcessor(model_file=PATH)
     vocabulary = [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
     return Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=True))
 
 
-def theirs(library, text):
-    return len(library.encode("▁" + text.replace(" ", "▁"), add_special_tokens=False).ids) if text else 0
+def theirs(text):
+    return len(unigram().encode("▁" + text.replace(" ", "▁"), add_special_tokens=False).ids) if text else 0
 
 
-def test_library_on_documents(spark, library):
+def test_library_on_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
-    want = {r.doc_id: theirs(library, r.text or "") for r in docs}
+    want = {r.doc_id: theirs(r.text or "") for r in docs}
     got = {r.doc_id: r.n_tokens for r in QUERIES["op8_token_counts"](spark, SMALL).collect()}
     assert got == want
 
@@ -37,11 +39,7 @@ def test_library_on_documents(spark, library):
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
 def test_library_on_any_text(text):
-    global LIBRARY
-    if "LIBRARY" not in globals():
-        model = sentencepiece.SentencePieceProcessor(model_file=PATH)
-        LIBRARY = Tokenizer(models.Unigram([(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())], unk_id=0, byte_fallback=True))
-    assert token_counts.counter(PATH).of(text) == theirs(LIBRARY, text)
+    assert token_counts.counter(PATH).of(text) == theirs(text)
 
 
 def paths(text, pieces, known):
