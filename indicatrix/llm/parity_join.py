@@ -12,8 +12,9 @@ common passage, a large group of copies), say little and are left out. A band ha
 than needed, so a set with at most that many such blocks still meets every partner elsewhere. The sets
 with more of them meet among themselves by their rarest shingles, without any limit on a group's size.
 
-Equal sets are one class from the start. Each group compares its members with one of them, chosen
-differently in each group, and what this leaves apart is compared pair by pair.
+Equal sets are one class from the start. Each group first compares its members with one of them, its
+leader. Only what this leaves in different components is compared further, and of large groups only
+pairs that may share enough by the places of the shared shingle in both sets.
 """
 
 from __future__ import annotations
@@ -318,10 +319,11 @@ def alike(pairs: DataFrame, about: DataFrame, members: Callable[[DataFrame], Dat
 
 
 def rare_groups(held: DataFrame) -> DataFrame:
-    """Groups of sets by their rarest shingles: ``key, class, leader`` for ``held(class, members)``.
+    """Groups of sets by their rarest shingles: ``key, class, leader, n, rank`` for ``held(class, members)``.
 
     Alike sets share at least 80 % of either, so they share one of the rarest n - ceil(0.8 n) + 1
-    shingles of either, in one order for all.
+    shingles of either, in one order for all. ``rank`` is the shingle's place in its set of ``n``. The
+    leader of a group is the set with the fewest shingles of its own: of edited copies, the original.
     """
 
     @F.arrow_udf("array<bigint>")
@@ -331,12 +333,14 @@ def rare_groups(held: DataFrame) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *flat])))
 
     rows = held.select("class", F.expr("length(members) DIV 8").alias("n"), F.explode(unpacked("members")).alias("key"))
-    common = rows.groupBy("key").agg(F.count(F.lit(1)).alias("owners"), F.min_by("class", F.xxhash64("key", "class")).alias("leader"))
-    rows = rows.join(common, "key")
-    rank = F.row_number().over(Window.partitionBy("class").orderBy("owners", "key"))
-    first = rows.withColumn("rank", rank).where("rank <= n - CAST(ceil(0.8 * n) AS BIGINT) + 1 AND owners > 1")
+    common = rows.groupBy("key").agg(F.count(F.lit(1)).alias("owners"))
+    own = Window.partitionBy("class")
+    rows = rows.join(common, "key").withColumn("rank", F.row_number().over(own.orderBy("owners", "key")))
+    rows = rows.withColumn("alone", F.sum((F.col("owners") == 1).cast("int")).over(own)).where("owners > 1")
+    leaders = rows.groupBy("key").agg(F.min_by("class", F.struct("alone", F.xxhash64("key", "class"))).alias("leader"))
+    first = rows.where("rank <= n - CAST(ceil(0.8 * n) AS BIGINT) + 1")
     # A leader need not have the shingle among its rarest: it is only whom the others are compared with first.
-    return first.select("key", "class", "leader")
+    return first.join(leaders, "key").select("key", "class", "leader", "n", F.col("rank").cast("bigint").alias("rank"))
 
 
 def saturated(rows: DataFrame) -> DataFrame:
@@ -353,7 +357,8 @@ def class_links(docs: DataFrame, about: DataFrame, scratch: Scratch) -> DataFram
     found = scratch.keep(grouped(keyed(docs)))
     many = saturated(found)
     rare = scratch.keep(rare_groups(sets_of(docs, many)))
-    groups = found.where("leader IS NOT NULL").unionAll(rare)
+    blocks = found.where("leader IS NOT NULL").selectExpr("key", "class", "leader", "CAST(NULL AS BIGINT) AS n", "CAST(NULL AS BIGINT) AS rank")
+    groups = blocks.unionAll(rare)
 
     def wanted(classes):
         return sets_of(docs, classes)
@@ -362,11 +367,13 @@ def class_links(docs: DataFrame, about: DataFrame, scratch: Scratch) -> DataFram
     first = groups.where("class <> leader").select(*ordered).distinct()
     links = scratch.keep(alike(first, about, wanted, scratch))
     label = connected(links).withColumnRenamed("node", "class")
-    placed = groups.select("key", "class").join(label, "class", "left").select("key", "class", F.coalesce("component", "class").alias("label"))
-    apart = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    placed = groups.drop("leader").join(label, "class", "left").select("key", "class", "n", "rank", F.coalesce("component", "class").alias("label"))
+    apart = scratch.keep(placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"))
     placed = scratch.keep(placed.join(apart, "key", "left_semi"))
-    other = placed.toDF("key", "other", "other_label")
-    rest = placed.join(other, "key").where("label < other_label")
+    other = placed.toDF("key", "other", "other_n", "other_rank", "other_label")
+    # If a shingle is the rarest that two sets share, all that they share comes after it in both.
+    enough = "rank IS NULL OR 9 * (1 + least(n - rank, other_n - other_rank)) >= 4 * (n + other_n)"
+    rest = placed.join(other, (placed["key"] == other["key"]) & F.expr(f"label < other_label AND ({enough})"))
     rest = rest.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
     return links.unionAll(scratch.keep(alike(rest, about, wanted, scratch)))
 
@@ -388,6 +395,6 @@ def parity_join(docs: DataFrame, text: str = "text") -> DataFrame:
         label = connected(class_links(docs, about, scratch)).withColumnRenamed("node", "class")
         placed = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "class")
         placed = placed.join(label, "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "class").alias("label"))
-        least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+        least = scratch.keep(placed.groupBy("label").agg(F.min("doc_id").alias("component_id")))
         alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
         return cut(placed.join(least, "label").select("doc_id", "n_shingles", "component_id").unionAll(alone))
