@@ -45,11 +45,13 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     size = corpus(spark, sf_dir).selectExpr("count(*) AS n", "sum(length(text)) AS chars").collect()[0]
 
-    seconds = {}
-    for name in HEADLINE:
+    def timed(rows) -> float:
         start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
+        rows(spark, sf_dir).write.format("noop").mode("overwrite").save()
+        return round(time.perf_counter() - start, 3)
+
+    derive = timed(corpus)  # what every corpus query pays before it begins
+    seconds = {name: timed(QUERIES[name]) for name in HEADLINE}
 
     match = re.search(r"sf([0-9.]+)", sf_dir)
     print(
@@ -61,7 +63,8 @@ def main() -> None:
             "sf": float(match.group(1)) if match else None,
             "documents": size.n,
             "million_chars": round(size.chars / 1e6, 1),
-            "extract_million_chars_per_sec": round(size.chars / 1e6 / seconds["extract_all"], 2),
+            "derive_inputs": derive,
+            "extract_million_chars_per_sec": round(size.chars / 1e6 / max(seconds["extract_all"] - derive, 0.001), 2),
         })
     )
     spark.stop()
