@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 import functools
-import itertools
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from indicatrix.llm.common import whole
 
-REMEMBERED = 200_000  # pieces, or pairs of tokens, held by a task; beyond it memory starts anew
+REMEMBERED = 400_000  # pieces, or pairs of tokens, held by a task; beyond it memory starts anew
 SHORT = 48  # bytes of the longest piece that is remembered
 
 
@@ -49,6 +49,8 @@ class Codec:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.halves: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
+        self.lengths: dict[int, int] = {}  # of the tokens that merges lead to
+        self.shorter: dict[int, int | None] = {}  # the longest of them that a token begins with
         self.compatible = Memo(lambda pair: self.seam_holds(*pair))
         self.words = ahocorasick.Automaton()
         for rank in sorted(self.bytes_of):
@@ -58,7 +60,11 @@ class Codec:
                 if pair is None:  # no merges lead to it: only a piece that equals it becomes it
                     continue
                 self.halves[rank], self.joined[pair] = pair, rank
-            self.words.add_word(token.decode("latin-1"), (rank, len(token)))
+            self.words.add_word(token.decode("latin-1"), rank)
+            self.lengths[rank] = len(token)
+        for rank, size in self.lengths.items():
+            prefixes = (self.ranks.get(self.bytes_of[rank][:end]) for end in range(size - 1, 0, -1))
+            self.shorter[rank] = next((prefix for prefix in prefixes if prefix in self.lengths), None)
         self.words.make_automaton()
         self.pieces = Memo(lambda piece: self.encode_piece(piece.encode()), lambda piece: len(piece) <= SHORT)
 
@@ -93,29 +99,38 @@ class Codec:
                 return True
 
     def encode_piece(self, piece: bytes) -> bytes:
-        """The ids of one piece as little-endian 32-bit integers."""
+        """The ids of one piece as 32-bit integers."""
         if piece in self.ranks:
-            return self.ranks[piece].to_bytes(4, "little")
-        starts: list[list[tuple[int, int]]] = [[] for _ in piece]
-        for end, found in self.words.iter(piece.decode("latin-1")):
-            starts[end - found[1] + 1].append(found)  # shorter ones first
-        tokens: list[tuple[int, int]] = []
-        tried = [len(found) for found in starts]  # how many of each position's matches are still open
-        at, size, compatible = 0, len(piece), self.compatible
+            return array("i", [self.ranks[piece]]).tobytes()
+        letters = piece.decode("latin-1")
+        greedy = [token for _, token in self.words.iter_long(letters)]
+        if all(map(self.compatible.__getitem__, zip(greedy, greedy[1:]))):
+            return array("i", greedy).tobytes()
+        return self.backtracked(letters)
+
+    def backtracked(self, letters: str) -> bytes:
+        """The ids of a piece whose longest matches do not all fit."""
+        tokens: list[int] = []
+        at, size, lengths, shorter, compatible = 0, len(letters), self.lengths, self.shorter, self.compatible
+        taken_back = bytearray(size + 1)  # ends from which no way on was found
+        token = self.longest(letters, 0)
         while at < size:
-            before = tokens[-1][0] if tokens else None
-            while tried[at]:
-                tried[at] -= 1
-                token = starts[at][tried[at]]
-                after = at + token[1]
-                # An end with nothing left to try was taken back before: it cannot work from here either.
-                if (after == size or tried[after]) and (before is None or compatible[before, token[0]]):
-                    tokens.append(token)
-                    at = after
-                    break
+            if token is None:
+                taken_back[at] = 1
+                token = tokens.pop()
+                at -= lengths[token]
+            after = at + lengths[token]
+            if not taken_back[after] and (not tokens or compatible[tokens[-1], token]):
+                tokens.append(token)
+                at = after
+                token = self.longest(letters, at) if at < size else None
             else:
-                at -= tokens.pop()[1]
-        return np.array([token[0] for token in tokens], "<i4").tobytes()
+                token = shorter[token]
+        return array("i", tokens).tobytes()
+
+    def longest(self, letters: str, at: int) -> int:
+        """The longest token that begins at a place."""
+        return next(self.words.iter_long(letters, at))[1]
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
@@ -148,7 +163,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
         known = codec(path, pattern)
         parts = [known.encode(text.as_py()) for text in texts]
         ends = np.cumsum([0, *map(len, parts)]) // 4
-        flat = np.frombuffer(b"".join(parts), "<i4")
+        flat = np.frombuffer(b"".join(parts), np.int32)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
     return docs.withColumn(ids, encoded(whole(text)))
