@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from indicatrix.llm import words
@@ -318,12 +318,14 @@ def alike(pairs: DataFrame, about: DataFrame, members: Callable[[DataFrame], Dat
     )
 
 
-def rare_groups(held: DataFrame) -> DataFrame:
+def rare_groups(held: DataFrame, scratch: Scratch) -> DataFrame:
     """Groups of sets by their rarest shingles: ``key, class, leader, n, rank`` for ``held(class, members)``.
 
-    Alike sets share at least 80 % of either, so they share one of the rarest n - ceil(0.8 n) + 1
-    shingles of either, in one order for all. ``rank`` is the shingle's place in its set of ``n``. The
-    leader of a group is the set with the fewest shingles of its own: of edited copies, the original.
+    Alike sets share at least 80 % of either, so they share one of the first n - ceil(0.8 n) + 1
+    shingles of either, in one order for all. The order puts shingles of one set first, then those of up
+    to ``CROWD`` sets, then the others; two filters of fixed size say so, and where they err they err
+    for all sets alike. ``rank`` is the shingle's place in its set of ``n``. The leader of a group is the
+    set with the fewest shingles of its own: of edited copies, the original.
     """
 
     @F.arrow_udf("array<bigint>")
@@ -332,15 +334,29 @@ def rare_groups(held: DataFrame) -> DataFrame:
         ends = np.cumsum([0, *map(len, flat)])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *flat])))
 
-    rows = held.select("class", F.expr("length(members) DIV 8").alias("n"), F.explode(unpacked("members")).alias("key"))
-    common = rows.groupBy("key").agg(F.count(F.lit(1)).alias("owners"))
-    own = Window.partitionBy("class")
-    rows = rows.join(common, "key").withColumn("rank", F.row_number().over(own.orderBy("owners", "key")))
-    rows = rows.withColumn("alone", F.sum((F.col("owners") == 1).cast("int")).over(own)).where("owners > 1")
-    leaders = rows.groupBy("key").agg(F.min_by("class", F.struct("alone", F.xxhash64("key", "class"))).alias("leader"))
-    first = rows.where("rank <= n - CAST(ceil(0.8 * n) AS BIGINT) + 1")
-    # A leader need not have the shingle among its rarest: it is only whom the others are compared with first.
-    return first.join(leaders, "key").select("key", "class", "leader", "n", F.col("rank").cast("bigint").alias("rank"))
+    held = scratch.keep(held)
+    place = F.col("key").bitwiseAND(FILTER_BITS - 1).alias("place")
+    counts = scratch.keep(held.select(F.explode(unpacked("members")).alias("key")).groupBy("key").count().where("count > 1").select(place, "count"))
+    shared, crowded = bit_filter(counts), bit_filter(counts.where(F.col("count") > CROWD))
+
+    def one(batch):
+        key, owner, size, rank, alone = [], [], [], [], []
+        for number, blob in zip(batch.column("class").to_pylist(), batch.column("members")):
+            own = np.frombuffer(blob.as_buffer(), np.int64)
+            places = own & (FILTER_BITS - 1)
+            often = bits_at(shared, places).astype(int) + bits_at(crowded, places)
+            order = np.lexsort((own, often))[: len(own) - -(-4 * len(own) // 5) + 1]
+            meets = np.flatnonzero(often[order])
+            key.append(own[order[meets]])
+            rank.append(meets + 1)
+            for column, value in ((owner, number), (size, len(own)), (alone, int((often == 0).sum()))):
+                column.append(np.full(len(meets), value, np.int64))
+        yield _batch(key=np.concatenate(key), **{"class": np.concatenate(owner)}, n=np.concatenate(size), rank=np.concatenate(rank), alone=np.concatenate(alone))
+
+    rows = scratch.keep(_mapped(held, one, "key long, class long, n long, rank long, alone long"))
+    leaders = rows.groupBy("key").agg(F.min_by("class", F.struct("alone", F.xxhash64("key", "class"))).alias("leader"), F.count(F.lit(1)).alias("owners"))
+    leaders = scratch.keep(leaders.where("owners > 1").select("key", "leader"))
+    return rows.join(leaders, "key").select("key", "class", "leader", "n", "rank")
 
 
 def saturated(rows: DataFrame) -> DataFrame:
@@ -356,7 +372,7 @@ def class_links(docs: DataFrame, about: DataFrame, scratch: Scratch) -> DataFram
     """``a, b``: enough alike pairs of classes to connect all that alike pairs connect."""
     found = scratch.keep(grouped(keyed(docs)))
     many = saturated(found)
-    rare = scratch.keep(rare_groups(sets_of(docs, many)))
+    rare = scratch.keep(rare_groups(sets_of(docs, many), scratch))
     blocks = found.where("leader IS NOT NULL").selectExpr("key", "class", "leader", "CAST(NULL AS BIGINT) AS n", "CAST(NULL AS BIGINT) AS rank")
     groups = blocks.unionAll(rare)
 
