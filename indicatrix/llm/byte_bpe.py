@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import functools
 from array import array
+from typing import Iterator
 
 import ahocorasick
 import numpy as np
@@ -104,16 +105,19 @@ class Codec:
             return array("i", [self.ranks[piece]]).tobytes()
         letters = piece.decode("latin-1")
         greedy = [token for _, token in self.words.iter_long(letters)]
-        if all(map(self.compatible.__getitem__, zip(greedy, greedy[1:]))):
-            return array("i", greedy).tobytes()
-        return self.backtracked(letters)
-
-    def backtracked(self, letters: str) -> bytes:
-        """The ids of a piece whose longest matches do not all fit."""
-        tokens: list[int] = []
-        at, size, lengths, shorter, compatible = 0, len(letters), self.lengths, self.shorter, self.compatible
+        compatible = self.compatible
+        for place, pair in enumerate(zip(greedy, greedy[1:])):
+            if not compatible[pair]:
+                return self.backtracked(letters, greedy, place + 1)
+        return array("i", greedy).tobytes()
+
+    def backtracked(self, letters: str, greedy: list[int], fits: int) -> bytes:
+        """The ids of a piece whose longest matches do not all fit; the first ``fits`` of them do."""
+        lengths, shorter, compatible = self.lengths, self.shorter, self.compatible
+        tokens, size = greedy[:fits], len(letters)
+        at = sum(map(lengths.__getitem__, tokens))
         taken_back = bytearray(size + 1)  # ends from which no way on was found
-        token = self.longest(letters, 0)
+        token = shorter[greedy[fits]]
         while at < size:
             if token is None:
                 taken_back[at] = 1
@@ -132,6 +136,11 @@ class Codec:
         """The longest token that begins at a place."""
         return next(self.words.iter_long(letters, at))[1]
 
+    def forget(self) -> None:
+        """Free what was remembered: a worker that idles, or goes on with another stage, holds the vocabulary alone."""
+        self.pieces.clear()
+        self.compatible.clear()
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
@@ -159,12 +168,16 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     """
 
     @F.arrow_udf("array<int>")
-    def encoded(texts: pa.Array) -> pa.Array:
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = codec(path, pattern)
-        parts = [known.encode(text.as_py()) for text in texts]
-        ends = np.cumsum([0, *map(len, parts)]) // 4
-        flat = np.frombuffer(b"".join(parts), np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+        try:
+            for texts in batches:
+                parts = [known.encode(text.as_py()) for text in texts]
+                ends = np.cumsum([0, *map(len, parts)]) // 4
+                flat = np.frombuffer(b"".join(parts), np.int32)
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+        finally:
+            known.forget()
 
     return docs.withColumn(ids, encoded(whole(text)))
 
