@@ -48,7 +48,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, n_tokens, ids, decoded_sha256``: the token ids, and the digest of what they decode to."""
     ship(spark)
     encoded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), RANKS, public_tokenizers.PATTERN)
-    decoded = byte_bpe.decode(encoded, RANKS, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode(encoded, RANKS)
     return decoded.selectExpr("doc_id", "lang", "source", "CAST(size(ids) AS BIGINT) AS n_tokens", "ids", "sha2(decoded, 256) AS decoded_sha256")
 
 

@@ -43,7 +43,7 @@ class Memo(dict):
 
 
 class Codec:
-    """Encoder and decoder for the ranks of one vocabulary file."""
+    """The encoder for the ranks of one vocabulary file."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
@@ -136,17 +136,9 @@ class Codec:
         """The longest token that begins at a place."""
         return next(self.words.iter_long(letters, at))[1]
 
-    def forget(self) -> None:
-        """Free what was remembered: a worker that idles, or goes on with another stage, holds the vocabulary alone."""
-        self.pieces.clear()
-        self.compatible.clear()
-
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """A rank file: one base64 token and its rank a line."""
@@ -154,9 +146,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+@functools.lru_cache(maxsize=2)
+def tokens_of(path: str) -> dict[int, bytes]:
+    """The bytes of each token: all that decoding needs."""
+    return {rank: token for token, rank in read_ranks(path).items()}
+
+
 @functools.lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """One codec for each Python worker and vocabulary."""
+    """The encoder of a vocabulary. A task makes its own and frees it, as workers outlive tasks and stages."""
     return Codec(read_ranks(path), pattern)
 
 
@@ -177,17 +175,17 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
                 flat = np.frombuffer(b"".join(parts), np.int32)
                 yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
         finally:
-            known.forget()
+            codec.cache_clear()
 
     return docs.withColumn(ids, encoded(whole(text)))
 
 
-def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``rows`` with a binary column ``decoded``: the bytes the ids stand for. Null ids give empty bytes."""
 
     @F.arrow_udf("binary")
     def joined(lists: pa.Array) -> pa.Array:
-        known = codec(path, pattern)
-        return pa.array([known.decode(one.as_py() or ()) for one in lists], pa.binary())
+        token = tokens_of(path).__getitem__
+        return pa.array([b"".join(map(token, one.as_py() or ())) for one in lists], pa.binary())
 
     return rows.withColumn(decoded, joined(F.col(ids)))

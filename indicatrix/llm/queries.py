@@ -111,7 +111,7 @@ def op10_byte_bpe(spark, sf_dir):
     """The ids of every text, and the bytes they decode to, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
-    return byte_bpe.decode(encoded, RANKS, public_tokenizers.PATTERN).selectExpr(
+    return byte_bpe.decode(encoded, RANKS).selectExpr(
         "doc_id",
         "CAST(size(ids) AS BIGINT) AS n_tokens",
         "sha2(array_join(ids, ','), 256) AS ids_sha256",
