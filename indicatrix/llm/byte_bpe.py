@@ -136,6 +136,11 @@ class Codec:
         """The longest token that begins at a place."""
         return next(self.words.iter_long(letters, at))[1]
 
+    def forget(self) -> None:
+        """Free what was remembered: a worker that idles, or goes on with another stage, holds the vocabulary alone."""
+        self.pieces.clear()
+        self.compatible.clear()
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
@@ -154,7 +159,7 @@ def tokens_of(path: str) -> dict[int, bytes]:
 
 @functools.lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """The encoder of a vocabulary. A task makes its own and frees it, as workers outlive tasks and stages."""
+    """One encoder for each Python worker and vocabulary."""
     return Codec(read_ranks(path), pattern)
 
 
@@ -175,7 +180,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
                 flat = np.frombuffer(b"".join(parts), np.int32)
                 yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
         finally:
-            codec.cache_clear()
+            known.forget()
 
     return docs.withColumn(ids, encoded(whole(text)))
 
