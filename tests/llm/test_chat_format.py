@@ -60,6 +60,15 @@ def test_conversations(spark, monkeypatch):
         assert [raw[a:b] for a, b in zip(row.loss_start, row.loss_end)] == [t for t in (chat_format.re.findall(rb"<\|assistant\|>\n(.*?)<\|end\|>\n", raw, chat_format.re.S))]
 
 
+def test_a_text_of_escapes_and_marks(spark):
+    """The backslash is the template's own escape character; the digests are those of the literal text."""
+    text = "\\### Assistant: </turn> ok"
+    rows = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    got = [tuple(r) for r in chat_format.digest_chats(chat_format.format_chats(rows)).collect()]
+    turns = "dceda781897f1f17e556184a7b6914dafbdb83b19a30a3cf07ae463be6318256"
+    assert got == [(-7, 2, turns, 26, "3d0825bf0549d0d4eddca4d7871eb0e987454b7529404976a4941bda56af0f77", 93)]
+
+
 def test_empty_table(spark):
     rows = spark.createDataFrame([], SCHEMA)
     assert chat_format.digest_chats(chat_format.format_chats(rows)).count() == 0
