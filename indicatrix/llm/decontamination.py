@@ -1,13 +1,13 @@
 """Benchmark decontamination: item-sized windows compared by SimHash, then by their weighted shingles.
 
-A window has as many words as the item it is compared with. Its 64-bit SimHash is the sign of the sum of
-its shingles' random bits, each shingle as often as it occurs. Fingerprints are cut into one block more
+A window has as many words as the item it is compared with; a shorter text is one window as a whole. Its
+64-bit SimHash is the sign of the sum of its shingles' random bits. Fingerprints are cut into one block more
 than ``RADIUS``, so any two within the radius agree on a block and meet in an equi-join on window size,
 block and its bits. Candidates within the radius are verified by the exact weighted similarity: shared
 over united occurrences of shingles.
 
-Windows that cannot be similar are never made: a similar window has at least 8/9 of its shingles in an
-item of its size, and a bit filter of fixed size tells which of a text's shingles may be. Windows of
+Windows that cannot be similar are never made: a similar window has at least 4/9 of the shingles of both in
+an item of its size, and a bit filter of fixed size tells which of a text's shingles may be. Windows of
 equal content are compared once, however many documents hold them.
 """
 
@@ -29,9 +29,18 @@ RADIUS = 20  # bits; at a similarity of exactly 0.8 the expected distance is 10,
 BITS = 64
 
 
-def needed(size: int) -> int:
-    """Shingles that a window must share with an item of its size for a similarity of 0.8."""
-    return -(-8 * (size - WIDTH + 1) // 9)
+def needed(size: int, held: int | None = None) -> int:
+    """Shingles that a window must share with an item of its size for a similarity of 0.8.
+
+    A whole text that is shorter than the item is a window of the ``held`` shingles it has.
+    """
+    span = size - WIDTH + 1
+    return -(-4 * (span + (span if held is None else held)) // 9)
+
+
+def fewest(size: int) -> int:
+    """Shingles that a text must have for a similarity of 0.8 with an item of a size."""
+    return -(-4 * (size - WIDTH + 1) // 5)
 
 
 def places(shingles: np.ndarray, size: int) -> np.ndarray:
@@ -78,9 +87,10 @@ def described_items(items: DataFrame) -> DataFrame:
 def windows(docs: DataFrame, sizes: list[int], kept: bytes) -> DataFrame:
     """``doc_id, row, start, size, content, print, shingles`` of every window that may be similar to an item.
 
-    ``start`` counts words; ``content`` stands for the window's shingles.
+    ``start`` counts words; ``content`` stands for the window's shingles. A text with fewer words than an
+    item is one window of the item's size.
     """
-    least = min(map(needed, sizes), default=0)
+    least = min(map(fewest, sizes), default=0)
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("content", pa.int64()), ("print", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
@@ -95,8 +105,11 @@ def windows(docs: DataFrame, sizes: list[int], kept: bytes) -> DataFrame:
                     own, mine = shingles[ends[i] - counts[i] : ends[i]], may[ends[i] - counts[i] : ends[i]]
                     at = np.flatnonzero(mine)
                     for size in sizes:
-                        span, need = size - WIDTH + 1, needed(size)
-                        if hits[i] < need or len(own) < span:
+                        if len(own) < fewest(size):
+                            continue
+                        span = min(size - WIDTH + 1, len(own))
+                        need = needed(size, span)
+                        if hits[i] < need:
                             continue
                         inside = np.zeros(len(own) + 1, np.int64)
                         inside[at + 1] = bits_at(kept, places(own[at], size))
@@ -137,7 +150,8 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", threshol
     """``doc_id, item_id, similarity, start, row``: the best window of a row for each item it holds.
 
     Words are runs of ASCII letters, digits and other characters outside ASCII, A-Z lowered; ``start``
-    counts them. An item with fewer than ``WIDTH`` words is too short to be found. Null texts are empty
+    counts them. A text with fewer words than an item is compared with it as a whole. An item with fewer
+    than ``WIDTH`` words is too short to be found. Null texts are empty
     and hold nothing; of equal similarities the first window counts; repeated rows each have their rows
     and ``row`` tells them apart; other columns are not looked at; an empty table gives an empty result.
     ``threshold`` may not be below 0.8. Only the distinct sizes of items and the filter reach the driver.

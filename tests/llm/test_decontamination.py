@@ -65,6 +65,32 @@ def test_edited_passages(spark):
     assert found(spark, docs, items) == want
 
 
+def brute_shorter(docs, items):
+    """(doc_id, item_id) -> (similarity, 0) of the texts with fewer words than an item, as a whole."""
+    out = {}
+    for item_id, text in items:
+        want = shingles(split(text))
+        for doc_id, body in docs:
+            have = shingles(split(body))
+            if have and len(split(body)) < len(split(text)) and (want & have).total() >= 0.8 * (want | have).total():
+                out[doc_id, item_id] = ((want & have).total() / (want | have).total(), 0)
+    return out
+
+
+def test_texts_shorter_than_an_item(spark):
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(size))) for i, size in enumerate((5, 6, 9, 10, 14, 30, 60))]
+    items.append((50, items[5][1] + " and more"))
+    docs = [(0, None), (1, "one"), (2, "one two three four five")]
+    for i, text in items:
+        parts = text.split()
+        for gone in range(1, len(parts) // 4 + 2):
+            docs += [(1000 * i + 10 * gone + 3, " ".join(parts[gone:])), (1000 * i + 10 * gone + 4, " ".join(parts[:-gone]))]
+            docs.append((1000 * i + 10 * gone + 5, " ".join(parts[gone:-1] + ["other"])))
+    shorter = brute_shorter(docs, items)
+    assert {score for score, _ in shorter.values()} >= {0.8} and len(shorter) > 20
+    assert found(spark, docs, items) == brute(docs, items) | shorter
+
+
 def test_query(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id", "text").collect()]
