@@ -1,7 +1,8 @@
 """Benchmark decontamination: item-sized windows compared by SimHash, then by their weighted shingles.
 
 A window has as many words as the item it is compared with; a shorter text is one window as a whole. Its
-64-bit SimHash is the sign of the sum of its shingles' random bits. Fingerprints are cut into one block more
+64-bit SimHash is the sign of the sum of its shingles' random bits, where each occurrence of a shingle has
+bits of its own: so weighted similarity is the similarity of sets of occurrences. Fingerprints are cut into one block more
 than ``RADIUS``, so any two within the radius agree on a block and meet in an equi-join on window size,
 block and its bits. Candidates within the radius are verified by the exact weighted similarity: shared
 over united occurrences of shingles.
@@ -50,8 +51,12 @@ def places(shingles: np.ndarray, size: int) -> np.ndarray:
 
 
 def fingerprint(shingles: np.ndarray) -> int:
-    """The SimHash of some shingles, with repeats, as a signed integer."""
-    bits = np.unpackbits(words.mix(shingles).view(np.uint8).reshape(-1, 8), axis=1)
+    """The SimHash of some sorted shingles and their occurrence numbers, as a signed integer."""
+    new = np.ones(len(shingles), bool)
+    new[1:] = shingles[1:] != shingles[:-1]
+    at = np.arange(len(shingles))
+    number = at - np.maximum.accumulate(np.where(new, at, 0))
+    bits = np.unpackbits(words.mix(shingles ^ words.mix(number)).view(np.uint8).reshape(-1, 8), axis=1)
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(shingles)).view(np.int64)[0])
 
 
@@ -75,8 +80,9 @@ def described_items(items: DataFrame) -> DataFrame:
                     own, size = shingles[ends[i] - sizes[i] : ends[i]], int(counts[i])
                     rows["item_id"].append(batch.column("item_id")[first + int(i)].as_py())
                     rows["size"].append(size)
-                    rows["print"].append(fingerprint(own))
-                    rows["shingles"].append(np.sort(own).tobytes())
+                    held = np.sort(own)
+                    rows["print"].append(fingerprint(held))
+                    rows["shingles"].append(held.tobytes())
                     rows["place"].append(np.concatenate([places(own, size), places(own, 0)]).tolist())
                 yield pa.RecordBatch.from_pydict(rows, schema)
 
@@ -115,8 +121,8 @@ def windows(docs: DataFrame, sizes: list[int], kept: bytes) -> DataFrame:
                         inside[at + 1] = bits_at(kept, places(own[at], size))
                         inside = np.cumsum(inside)
                         for start in np.flatnonzero(inside[span:] - inside[:-span] >= need):
-                            part = own[start : start + span]
-                            held = np.sort(part).tobytes()
+                            part = np.sort(own[start : start + span])
+                            held = part.tobytes()
                             content = int.from_bytes(hashlib.blake2b(held, digest_size=8).digest(), "little", signed=True)
                             place = first + int(i)
                             rows.append((batch.column("doc_id")[place].as_py(), batch.column("row")[place].as_py(), int(start), size, content, fingerprint(part), held))

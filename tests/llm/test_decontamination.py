@@ -91,6 +91,31 @@ def test_texts_shorter_than_an_item(spark):
     assert found(spark, docs, items) == brute(docs, items) | shorter
 
 
+def test_repeated_tails(spark):
+    """Where the differing part repeats one shingle, at a similarity of exactly 0.8."""
+    items, docs = [], []
+    for i in range(60):
+        span = (36, 54, 90)[i % 3]
+        parts = [f"w{i}x{k}" for k in range(span + 4)]
+        items.append((i, " ".join(parts)))
+        docs.append((i, " ".join(parts[: -(span // 9)] + ["la"] * (span // 9))))
+    want = brute(docs, items)
+    assert want == {(i, i): (0.8, 0) for i in range(60)}
+    assert found(spark, docs, items) == want
+
+
+def test_occurrences_have_bits_of_their_own():
+    """Weighted similarity 0.8 stays within the radius however often the differing shingles occur."""
+    draw = np.random.default_rng(8)
+    far = 0
+    for _ in range(2000):
+        same, own = draw.integers(0, 2**64, 80, np.uint64), draw.integers(0, 2**64, 10, np.uint64)
+        other = np.repeat(draw.integers(0, 2**64, 1, np.uint64), 10)
+        left, right = (decontamination.fingerprint(np.sort(np.concatenate([same, part]))) for part in (own, other))
+        far += ((left ^ right) % 2**64).bit_count() > decontamination.RADIUS
+    assert far <= 4
+
+
 def test_query(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id", "text").collect()]
