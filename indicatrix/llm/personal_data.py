@@ -38,10 +38,19 @@ BASE = [
     Rule("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "contains({t}, '+')", f"length({_DIGITS}) BETWEEN 9 AND 15"),
 ]
 KINDS = [r.kind for r in BASE]
-#: Look-alikes: what could be an identifier if the words before it say so.
+_BETWEEN = r"[().\x20/-]"  # the punctuation of a number
+_PIECE = r"[0-9]++(?:[()./-]++[0-9]++)*+"  # of a number, without a space
+#: Look-alikes: what could be an identifier if the words before it say so. A number is a whole run of pieces;
+#: of a run with more digits than an identifier has, each piece is one.
 LIKE = [
-    Rule("number", r"(?<![A-Za-z0-9.@+])\(?[0-9][0-9().\x20/-]{5,20}[0-9](?![A-Za-z0-9@])", r"{t} rlike r'[0-9][0-9().\x20/-]{{5}}'", f"length({_DIGITS}) BETWEEN 7 AND 19"),
-    Rule("address", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "{t} rlike r'[(\\[]at[)\\]]'"),
+    Rule(
+        "number",
+        rf"(?<![A-Za-z0-9.@+])\(?(?=[0-9](?:{_BETWEEN}*+[0-9]){{6}})"
+        rf"(?:(?!(?:{_BETWEEN}*+[0-9]){{20}}){_PIECE}(?![A-Za-z@])(?:{_BETWEEN}*+{_PIECE}(?![A-Za-z@]))*+|{_PIECE}[A-Za-z@]?+)",
+        r"{t} rlike r'[0-9][0-9().\x20/-]{{5}}'",
+        f"{{m}} rlike '[0-9]$' AND length({_DIGITS}) BETWEEN 7 AND 19",
+    ),
+    Rule("address", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "{t} rlike r'[(\\[]at[)\\]]'"),
 ]
 
 ROUNDS = 3

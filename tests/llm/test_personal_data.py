@@ -80,6 +80,38 @@ def test_patterns_find_unseen_identifiers(spark):
     assert got[11] == ("email:13:30", 1)
 
 
+def test_look_alikes_are_whole(spark):
+    texts = [f"please call me +1 555 010 {1000 + i} soon" for i in range(60)]
+    texts += [f"mail goes to user{i}@site.org now" for i in range(5)]
+    numbers = {
+        "4111 - 1111 - 1111 - 1111": "4111 - 1111 - 1111 - 1111",
+        "0049 (0) 30 / 1234 - 5678 - 90": "0049 (0) 30 / 1234 - 5678 - 90",
+        "(030)      123      45      67": "(030)      123      45      67",
+        "555-0109-77 4111111111111": "555-0109-77",
+        "4111 1111 1111 1112 2nd": "4111 1111 1111 1112",
+        "4111 - 1111 - 1111 - 1111 - 1111": "",
+        "12345678901234567890": "",
+        "1-" * 19 + "1": "",
+        "555-0109-77a": "",
+        "555-0109-77@x": "",
+    }
+    first = len(texts)
+    texts += [f"please call me {n} soon" for n in numbers]
+    local = "l" * 65
+    texts += [f"mail goes to {local} (at) site.org now"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in personal_data.personal_data(docs).collect()}
+    for i, found in enumerate(numbers.values()):
+        assert got[first + i] == (f"phone:15:{15 + len(found)}" if found else ""), texts[first + i]
+    assert got[len(texts) - 1] == f"email:13:{13 + len(local) + len(' (at) site.org')}"
+
+
+def test_look_alikes_in_long_runs_take_one_pass(spark):
+    texts = ["(" * 200_000, "1" + "-1" * 200_000 + "a", "1 " * 200_000 + "1a", "1" + " " * 200_000 + "a", "a" * 200_000 + " (at) "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_added for r in personal_data.personal_data(docs).collect()] == [0] * len(texts)
+
+
 def test_few_seeds_say_nothing(spark):
     texts = ["ring the number +1 555 010 1000", "ring the number 555-0109-77", "ring the number 555-0109-78"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
