@@ -7,8 +7,21 @@ from collections.abc import Callable
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from indicatrix.llm import byte_bpe, chat_format, decontamination, exact_dedup, language_id, parity_join, personal_data, secret_scan, token_counts, toxicity
+from pyspark.sql import functions as F
+
+from indicatrix.llm import (
+    byte_bpe,
+    chat_format,
+    decontamination,
+    exact_dedup,
+    language_id,
+    parity_join,
+    periodic_runs,
+    personal_data,
+    secret_scan,
+    token_counts,
+    toxicity,
+)
 from indicatrix.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +132,29 @@ def op10_byte_bpe(spark, sf_dir):
     )
 
 
+@query
+def op11_periodic_runs(spark, sf_dir):
+    """The runs of all documents, in a tenth of which the words from some place on are made periodic."""
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "text", "crc32(CAST(doc_id AS STRING)) AS h")
+    parts = r"IF(h % 10 = 0, regexp_extract_all(text, r'([^\x20\x09-\x0D]+)', 1), NULL)"
+    docs = docs.selectExpr("doc_id", "text", "h DIV 10 AS g", f"{parts} AS parts").selectExpr("*", "size(parts) AS n")
+    docs = docs.selectExpr("*", "IF(n > 0, g % n, NULL) AS a").selectExpr("*", "IF(n > 0, 1 + (n - a) DIV (3 + g % 8), NULL) AS p")
+    planted = "array_join(transform(parts, (w, i) -> IF(i < a, w, parts[CAST(a + (i - a) % p AS INT)])), ' ')"
+    docs = docs.selectExpr("doc_id", f"IF(n > 0, {planted}, text) AS text")
+    longest = "array_max(transform(runs, r -> named_struct('length', r.length, 'back', -r.start, 'short', -r.period)))"
+    rows = periodic_runs.periodic_runs(docs).withColumn("longest", F.expr(longest))
+    return rows.selectExpr(
+        "doc_id",
+        "CAST(size(runs) AS BIGINT) AS n_runs",
+        "-longest.back AS start",
+        "longest.length AS length",
+        "-longest.short AS period",
+        "1000 * longest.length DIV -longest.short AS exponent_milli",
+        "sha2(array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), ''), 256) AS runs_sha256",
+        "sha2(collapsed, 256) AS collapsed_sha256",
+    )
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)

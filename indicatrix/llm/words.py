@@ -60,7 +60,8 @@ def _lowered(table: np.ndarray) -> np.ndarray:
     return out
 
 
-_VALUE = _lowered(_BYTE)
+LOWERED = _lowered(_BYTE)
+EXACT = _BYTE
 
 
 def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -75,8 +76,8 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of some texts, A-Z lowered, and the number of words of each text."""
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES, values: np.ndarray = LOWERED) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some texts, and the number of words of each text; A-Z lowered unless ``values`` is ``EXACT``."""
     gap = separators[data]
     before, after = np.empty(len(gap), bool), np.empty(len(gap), bool)
     before[1:], after[:-1] = gap[:-1], gap[1:]
@@ -92,7 +93,7 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES
         low, high = starts[at], ends[upto - 1]
         up, down = powers(high - low + 1)
         sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(_VALUE[data[low:high]] * up[: high - low], out=sums[1:])
+        np.cumsum(values[data[low:high]] * up[: high - low], out=sums[1:])
         s, e = starts[at:upto] - low, ends[at:upto] - low
         hashes[at:upto] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _STEP)
         at = upto
