@@ -19,6 +19,7 @@ from indicatrix.llm import (
     periodic_runs,
     personal_data,
     secret_scan,
+    spelling,
     token_counts,
     toxicity,
 )
@@ -155,6 +156,16 @@ def op11_periodic_runs(spark, sf_dir):
     )
 
 
+@query
+def op12_spelling_variants(spark, sf_dir):
+    """The words of all documents, of which some lack a letter, with the forms they are variants of."""
+    runs = r"regexp_extract_all(text, r'([A-Za-z\x{C0}-\x{FF}]{6,}+)', 1)"  # shorter ones are never listed
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", f"explode({runs}) AS run")
+    docs = docs.selectExpr("doc_id", "translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run")
+    docs = docs.selectExpr("run", "crc32(concat(doc_id, ':', run)) AS h").selectExpr("run", "h", "CAST(h % length(run) AS INT) AS at")
+    return spelling.variants(docs.selectExpr("IF(h % 199 = 0, concat(left(run, at), substring(run, at + 2)), run) AS word"))
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
