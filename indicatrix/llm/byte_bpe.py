@@ -23,21 +23,25 @@ from pyspark.sql import functions as F
 
 from indicatrix.llm.common import whole
 
-REMEMBERED = 400_000  # pieces, or pairs of tokens, held by a task; beyond it memory starts anew
-SHORT = 48  # bytes of the longest piece that is remembered
+REMEMBERED = 32 << 20  # bytes of pieces, and of pairs of tokens, held by a task; beyond it memory starts anew
+ENTRY = 200  # bytes that the interpreter takes for an entry besides a piece and its ids
+SHORT = 48  # characters of the longest piece that is remembered
+AT_ONCE = 1 << 16  # ids that are decoded at once
 
 
 class Memo(dict):
-    """A dictionary that fills itself and starts anew when it is full."""
+    """A dictionary that fills itself and starts anew when its entries take ``REMEMBERED`` bytes."""
 
-    def __init__(self, make, worth=lambda key: True):
-        self.make, self.worth = make, worth
+    def __init__(self, make, cost=lambda key, value: ENTRY, worth=lambda key: True):
+        self.make, self.cost, self.worth, self.held = make, cost, worth, 0
 
     def __missing__(self, key):
         value = self.make(key)
         if self.worth(key):
-            if len(self) >= REMEMBERED:
+            self.held += self.cost(key, value)
+            if self.held > REMEMBERED:
                 self.clear()
+                self.held = self.cost(key, value)
             self[key] = value
         return value
 
@@ -67,7 +71,7 @@ class Codec:
             prefixes = (self.ranks.get(self.bytes_of[rank][:end]) for end in range(size - 1, 0, -1))
             self.shorter[rank] = next((prefix for prefix in prefixes if prefix in self.lengths), None)
         self.words.make_automaton()
-        self.pieces = Memo(lambda piece: self.encode_piece(piece.encode()), lambda piece: len(piece) <= SHORT)
+        self.pieces = Memo(lambda piece: self.encode_piece(piece.encode()), lambda piece, ids: ENTRY + 4 * len(piece) + len(ids), lambda piece: len(piece) <= SHORT)
 
     def last_merge(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """The two tokens whose merge gives ``token``: what lower ranks make of its bytes."""
@@ -138,8 +142,9 @@ class Codec:
 
     def forget(self) -> None:
         """Free what was remembered: a worker that idles, or goes on with another stage, holds the vocabulary alone."""
-        self.pieces.clear()
-        self.compatible.clear()
+        for memo in (self.pieces, self.compatible):
+            memo.clear()
+            memo.held = 0
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
@@ -166,8 +171,9 @@ def codec(path: str, pattern: str) -> Codec:
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with a column ``ids`` of type array<int>: the token ids of each whole text.
 
-    A null text counts as empty; an empty text has no ids. All other columns stay; a column of the
-    name ``ids`` is replaced. ``path`` must name the vocabulary file on every executor.
+    A null text counts as empty; an empty text has no ids; of repeated rows each has its ids; an empty
+    table stays empty. All other columns stay; a column of the name ``ids`` is replaced. ``path`` must
+    name the vocabulary file on every executor.
     """
 
     @F.arrow_udf("array<int>")
@@ -185,6 +191,36 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     return docs.withColumn(ids, encoded(whole(text)))
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` with what :func:`encode` and then :func:`decode` add, from one worker with one vocabulary.
+
+    Null, empty and repeated texts, other columns and empty tables as there.
+    """
+    both = f"{ids}_and_{decoded}"
+    while both in docs.columns:
+        both += "_"
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = codec(path, pattern)
+        token = known.bytes_of.__getitem__
+        try:
+            for texts in batches:
+                lists, back = [], []
+                for text in texts:
+                    lists.append(known.encode(text.as_py()))
+                    own = np.frombuffer(lists[-1], np.int32)
+                    back.append(b"".join([b"".join(map(token, own[i : i + AT_ONCE].tolist())) for i in range(0, len(own), AT_ONCE)]))
+                ends = np.cumsum([0, *map(len, lists)]) // 4
+                flat = pa.array(np.frombuffer(b"".join(lists), np.int32), pa.int32())
+                yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(back, pa.binary())], ["ids", "decoded"])
+        finally:
+            known.forget()
+
+    rows = docs.withColumn(both, coded(whole(text)))
+    return rows.withColumns({ids: F.col(both)["ids"], decoded: F.col(both)["decoded"]}).drop(both)
+
+
 def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``rows`` with a binary column ``decoded``: the bytes the ids stand for. Null ids give empty bytes."""
 

@@ -66,9 +66,9 @@ def test_a_very_long_piece_is_linear(both):
 
 
 def test_memory_starts_anew_when_full(monkeypatch):
-    monkeypatch.setattr(byte_bpe, "REMEMBERED", 2)
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 2 * byte_bpe.ENTRY)
     memo = byte_bpe.Memo(str.upper)
-    assert [memo[c] for c in "abcab"] == list("ABCAB") and len(memo) <= 2
+    assert [memo[c] for c in "abcab"] == list("ABCAB") and len(memo) <= 2 and memo.held <= byte_bpe.REMEMBERED
 
 
 def test_query(spark):
@@ -90,3 +90,13 @@ def test_odd_rows(spark):
     assert [len(r.ids) for r in got] == [0, 0, 2, 2]
     assert [bytes(r.decoded) for r in got] == [b"", b"", b"a b", b"a b"]
     assert byte_bpe.encode(rows.where("false"), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_round_trip_is_encode_and_decode(spark, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "AT_ONCE", 3)
+    texts = [None, "", "a b", "a b", "日本語 " * 200, "x" * 5000, "\u0000 \r\n"]
+    rows = spark.createDataFrame([(i, t, "x", 5, "c") for i, t in enumerate(texts)], "doc_id long, text string, ids string, decoded int, ids_and_decoded string")
+    want = byte_bpe.decode(byte_bpe.encode(rows, RANKS, public_tokenizers.PATTERN), RANKS).collect()
+    got = byte_bpe.round_trip(rows, RANKS, public_tokenizers.PATTERN).collect()
+    assert [(r.doc_id, r.ids, bytes(r.decoded), r.ids_and_decoded) for r in got] == [(r.doc_id, r.ids, bytes(r.decoded), "c") for r in want]
+    assert byte_bpe.round_trip(rows.where("false"), RANKS, public_tokenizers.PATTERN).count() == 0
