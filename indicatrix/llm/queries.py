@@ -20,6 +20,7 @@ from indicatrix.llm import (
     personal_data,
     secret_scan,
     spelling,
+    substring_dedup,
     token_counts,
     toxicity,
 )
@@ -78,7 +79,7 @@ def op5_secret_scan(spark, sf_dir):
     return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
 
 
-HARD_CHAT = r"\### Assistant: </turn> ok"[1:]
+HARD_CHAT = r"\### Assistant: </turn> ok"
 
 
 @query
@@ -94,7 +95,7 @@ WITH c AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{HARD_CHAT}'), (-7, 1, 'assistant', '{HARD_CHAT}'))),
 t AS (SELECT *, length(role) + length(text) + 13
-             + length(regexp_replace(role || text, '[^\\|]', '', 'g')) AS laid FROM c)
+             + length(regexp_replace(role || text, '[^\\\\|]', '', 'g')) AS laid FROM c)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
@@ -124,8 +125,7 @@ def op9_parity_join(spark, sf_dir):
 def op10_byte_bpe(spark, sf_dir):
     """The ids of every text, and the bytes they decode to, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
-    return byte_bpe.decode(encoded, RANKS).selectExpr(
+    return byte_bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN).selectExpr(
         "doc_id",
         "CAST(size(ids) AS BIGINT) AS n_tokens",
         "sha2(array_join(ids, ','), 256) AS ids_sha256",
@@ -166,6 +166,27 @@ def op12_spelling_variants(spark, sf_dir):
     return spelling.variants(docs.selectExpr("IF(h % 199 = 0, concat(left(run, at), substring(run, at + 2)), run) AS word"))
 
 
+@query
+def op13_substring_dedup(spark, sf_dir):
+    """Every document without the passages that one with a smaller id has too."""
+    rows = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE["op13_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS words FROM d, unnest(range(1, len(w) - 11)) AS u(i)),
+earliest AS (SELECT words, min(doc_id) AS least FROM win GROUP BY words HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, i + k AS place FROM win JOIN earliest USING (words), range(13) AS r(k) WHERE doc_id > least),
+removed AS (SELECT doc_id, list(place) AS places, count(*) AS n FROM gone GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(w[i], ' ' ORDER BY i) AS text
+         FROM d, unnest(range(1, len(w) + 1)) AS u(i) WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = d.doc_id AND g.place = i)
+         GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)

@@ -7,7 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 import pyarrow as pa
 
-from indicatrix.llm import chat_format
+from indicatrix.llm import chat_format, queries
+from tests.conftest import SMALL
 
 SCHEMA = "conv_id long, turn long, role string, text string, part string, n_turns int"
 
@@ -69,6 +70,15 @@ def test_a_text_of_escapes_and_marks(spark):
     assert got == [(-7, 2, turns, 26, "3d0825bf0549d0d4eddca4d7871eb0e987454b7529404976a4941bda56af0f77", 93)]
 
 
+def test_the_hard_conversation_of_the_query(spark):
+    """Conversation -7 of the registered query: both of its texts begin with the backslash."""
+    rows = queries.QUERIES["op6_chat_format"](spark, SMALL).where("conv_id = -7").collect()
+    turns = "dceda781897f1f17e556184a7b6914dafbdb83b19a30a3cf07ae463be6318256"
+    loss = "3d0825bf0549d0d4eddca4d7871eb0e987454b7529404976a4941bda56af0f77"
+    assert [(r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in rows] == [(2, turns, 26, loss, 93)]
+    assert hashlib.sha256(b"\\### Assistant: </turn> ok").hexdigest() == loss
+
+
 def test_empty_table(spark):
     rows = spark.createDataFrame([], SCHEMA)
     assert chat_format.digest_chats(chat_format.format_chats(rows)).count() == 0
