@@ -73,6 +73,19 @@ def whole(text: str = "text"):
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def identified(docs: DataFrame, digest, doc_id: str = "doc_id") -> tuple[DataFrame, list[str]]:
+    """``docs`` with three columns that tell rows apart, and their names, which are none of theirs.
+
+    They are the ``doc_id``, whether it is null, and a ``digest`` of the row. None is null, so they serve
+    a plain equi-join, and rows equal in all three meet in one place.
+    """
+    names = ["indicatrix_id", "indicatrix_none", "indicatrix_digest"]
+    while set(names) & set(docs.columns):
+        names = [name + "_" for name in names]
+    values = [F.coalesce(F.col(doc_id), F.lit(0)).cast("long"), F.col(doc_id).isNull(), digest]
+    return docs.withColumns(dict(zip(names, values))), names
+
+
 FILTER_BITS = 1 << 23  # of a filter that goes to every task: 1 MiB, whatever it stands for
 
 

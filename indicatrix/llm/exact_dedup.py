@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from indicatrix.llm.common import cut, whole
+from indicatrix.llm.common import cut, identified, whole
 
 COUNTERS = 4096  # of each sketch
 MAX_WINNERS = 1000  # rows of the broadcast
@@ -74,12 +74,13 @@ def exact_dedup(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) -
 
 
 def drop_copies(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns, whatever those are called.
 
-    Rows are told apart by ``doc_id`` and text, so of rows equal in both, one stays.
+    Rows are told apart by ``doc_id`` and text, so of rows equal in both, one stays. An empty table stays
+    empty. Texts move once, to meet the digests of the rows that stay.
     """
-    stays = exact_dedup(docs, text).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha256"))
-    key = "indicatrix_text_sha256"
-    rows = docs.withColumn(key, F.sha2(whole(text), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col(key) == F.col("kept_sha256"))
-    return rows.join(stays, same, "left_semi").dropDuplicates(["doc_id", key]).drop(key)
+    rows, keys = identified(docs, F.sha2(whole(text), 256))
+    stays = exact_dedup(docs, text).where("kept")
+    stays, _ = identified(stays.select("doc_id", "text_sha256"), F.col("text_sha256"))
+    stays = stays.drop("doc_id", "text_sha256").toDF(*keys)
+    return rows.join(stays, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

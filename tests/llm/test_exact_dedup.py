@@ -38,6 +38,14 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted((str(r.doc_id), r.text, r.kept, r.row) for r in stays) == [("5", "a", "x", 1), ("None", "b", "x", 1)]
 
 
+def test_clashing_columns(spark):
+    schema = "doc_id long, text string, kept_id long, kept_sha256 string, indicatrix_text_sha256 string, indicatrix_id string, text_sha256 string"
+    rows = [(i, f"t{i % 3}", 7, "s", "own", "r", "b") for i in range(30)]
+    docs = spark.createDataFrame(rows, schema).repartition(4)
+    stays = exact_dedup.drop_copies(docs)
+    assert stays.columns == docs.columns and sorted(map(tuple, stays.collect())) == rows[27:]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert exact_dedup.exact_dedup(docs).count() == 0 and exact_dedup.drop_copies(docs).count() == 0

@@ -47,3 +47,25 @@ def test_stages_take_odd_rows(spark):
             docs = spark.createDataFrame(stage(spark, docs, FOLDER).collect(), stage(spark, docs, FOLDER).schema)
             assert name == "tokens" or docs.columns == columns
         assert docs.count() == left
+
+
+CLASHES = ["row", "kept_id", "kept", "indicatrix_id", "indicatrix_digest", "indicatrix_language", "component_id", "class", "size", "ids", "lang_pred"]
+
+
+def test_stages_know_rows_by_number(spark):
+    """Rows without an id or of one id are judged one by one; other columns stay as they are, whatever their names."""
+    item = [r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").orderBy("item_id").collect()][0]
+    base = [f"word{i}" for i in range(60)]
+    near = [" ".join(base + tail) for tail in (["a"], ["b"], ["c"])]
+    texts = [(None, near[0]), (None, near[1]), (9, near[2]), (9, "quite another text about the sea and the sky"), (None, f"see {item} there"), (None, "a clean text of a few words more"), (None, "the same"), (None, "the same"), (7, "the same")]
+    columns = ", ".join(f"{c} string" for c in CLASHES)
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, *CLASHES) for d, t in texts], f"doc_id long, text string, lang string, source string, n_chars long, {columns}").repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, FOLDER)
+        assert after.columns == docs.columns, name
+        docs = spark.createDataFrame(after.collect(), docs.schema)
+    rows = docs.collect()
+    assert all([r[c] for c in CLASHES] == CLASHES for r in rows)
+    assert sorted((r.doc_id or 0, r.text) for r in rows) == [(0, "a clean text of a few words more"), (7, "the same"), (9, "quite another text about the sea and the sky"), (9, near[2])]
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
+    assert last.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"] and last.count() == 4
