@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from indicatrix.llm import byte_bpe, decontamination, exact_dedup, language_id, parity_join
-from indicatrix.llm.common import Scratch, ship, table
+from indicatrix.llm.common import Scratch, identified, ship, table, whole
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -16,40 +16,54 @@ ORACLE_SQL = None
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without text or letters go."""
+    """Documents whose language can be told; those without text or letters go. Without labelled rows, all go."""
     ship(spark)
-    named = language_id.predict(docs, language_id.learn(docs.where(~language_id.held_out())), into="indicatrix_language")
-    return named.where(F.col("indicatrix_language.lang_pred") != language_id.UNDETERMINED).drop("indicatrix_language")
+    into = "indicatrix_language"
+    while into in docs.columns:
+        into += "_"
+    named = language_id.predict(docs, language_id.learn(docs.where(~language_id.held_out())), into=into)
+    return named.where(F.col(into)["lang_pred"] != language_id.UNDETERMINED).drop(into)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the largest ``doc_id``."""
+    """Of equal texts, the row with the largest ``doc_id``; null is the smallest, and of equal ids one stays."""
     return exact_dedup.drop_copies(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest ``doc_id``.
+    """Of each group of linked texts, the row with the smallest ``doc_id``; null is the largest.
 
-    Documents are known by their ids here: rows of one id, and rows without any, stay or go together.
+    A row without words is linked with nothing and stays. Texts are known by a 64-bit hash here; of rows
+    equal in ``doc_id`` and text one stays.
     """
     ship(spark)
-    stays = parity_join.parity_join(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["kept_id"]), "left_semi")
+    rows, keys = identified(docs, F.xxhash64(whole()))
+    own = F.struct(F.col(keys[1]), F.col(keys[0]), F.col(keys[2]))  # by id, none last
+    linked = parity_join.parity_join(rows.select(F.col(keys[2]).alias("doc_id"), "text"))
+    linked = linked.where("n_shingles > 0").select(F.col("doc_id").alias(keys[2]), "component_id").distinct()
+    groups = rows.select(*keys).join(linked, keys[2], "left")
+    # Without words there is no group: such a row is one of its own.
+    stays = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), own).alias("alone")).agg(F.min(own).alias("first"))
+    stays = stays.select(*[F.col("first")[k].alias(k) for k in keys])
+    return rows.join(stays, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark. Rows of one id, and rows without any, stay or go together."""
+    """Rows that hold no item of the benchmark, whatever their ids. Texts are known by a 64-bit hash here."""
     ship(spark)
-    held = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("held_id")).distinct()
-    return docs.join(held, docs["doc_id"].eqNullSafe(held["held_id"]), "left_anti")
+    rows, keys = identified(docs, F.xxhash64(whole()))
+    held = decontamination.contaminated(rows.select(F.col(keys[2]).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(held.select(F.col("doc_id").alias(keys[2])).distinct(), keys[2], "left_anti").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, lang, source, n_tokens, ids, decoded_sha256``: the token ids, and the digest of what they decode to."""
+    """``doc_id, lang, source, n_tokens, ids, decoded_sha256``: the token ids, and the digest of what they decode to.
+
+    A row for each row; other columns go. A null text has no ids.
+    """
     ship(spark)
-    encoded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), RANKS, public_tokenizers.PATTERN)
-    decoded = byte_bpe.decode(encoded, RANKS)
-    return decoded.selectExpr("doc_id", "lang", "source", "CAST(size(ids) AS BIGINT) AS n_tokens", "ids", "sha2(decoded, 256) AS decoded_sha256")
+    coded = byte_bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), RANKS, public_tokenizers.PATTERN)
+    return coded.selectExpr("doc_id", "lang", "source", "CAST(size(ids) AS BIGINT) AS n_tokens", "ids", "sha2(decoded, 256) AS decoded_sha256")
 
 
 STAGES = [
