@@ -97,6 +97,8 @@ def feed_bodies(engine: str) -> dict[str, str]:
             "'\"x\",\"y\"'",
             "''",
             f"{K} || ',2025,ftp://no.com/' || {K} || ',z'",
+            f"'\"' || {K} || '\",\"two'",
+            f"'lines, \"\"quoted\"\"\",\"http://brk' || {C} || '.evil.com/x\",\"on\"'",
         )),
         "malbazaar": _unparsed(19, _lines(
             "'# sha256,md5,sha1'",
@@ -127,7 +129,7 @@ def feed_bodies(engine: str) -> dict[str, str]:
         "talos": f"{ip}",
         "openphish": urls,
         "phishtank": _unparsed(31, f"""CASE WHEN o_orderkey % 2 = 0
-            THEN {_lines("'phish_id, URL ,target'", f"{K} || ',https://bank' || {K} || '.com/login,\"A, B\"'", "''", f"{K} || ',,none'")}
+            THEN {_lines("'phish_id, URL ,target'", f"{K} || ',https://bank' || {K} || '.com/login,\"A, B\"'", "''", f"{K} || ',https://two' || {K} || '.com/x,\"A,'", "'B\"'", f"{K} || ',,none'")}
             ELSE {_lines("'target,id,url'", f"'\"A, B\",1,https://mail' || {K} || '.net/v'", "'short,row'", f"'b,2,\" https://x' || {C} || '.org \"'")}
             END"""),
         "bambenek_c2": _unparsed(37, _lines(
@@ -143,6 +145,13 @@ def feed_payloads(engine: str, names: tuple[str, ...] = ()) -> str:
     return " UNION ALL ".join(_feed(name, bodies[name]) for name in names or bodies)
 
 
+def feed_files(engine: str, names: tuple[str, ...] = ()) -> str:
+    """``feed, snapshot, key, body``: parts of few large snapshots, in the order of ``key``; some hold raw text alone."""
+    raw = "body LIKE '# outage notice%' OR feed = 'bambenek_c2' AND snapshot % 37 = 0"
+    number = f"CASE WHEN {raw} THEN 1000 + snapshot % 3 ELSE snapshot % 7 END"
+    return f"SELECT feed, {number} AS snapshot, snapshot AS key, body FROM ({feed_payloads(engine, names)}) parts"
+
+
 def cert_bodies() -> dict[str, str]:
     """Body expression of each CERT feed over an order."""
     items = [

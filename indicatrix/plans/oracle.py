@@ -12,6 +12,7 @@ from indicatrix.plans import derived as D
 from indicatrix.plans import queries as Q
 from indicatrix.sinks.stix import ID_NAMESPACE
 from indicatrix.sources import registry
+from indicatrix.sources.feedfiles import CSV_FEEDS
 
 ORACLE: dict[str, str] = {}
 
@@ -186,8 +187,10 @@ def on(steps: str, select: str) -> str:
 # --- files ------------------------------------------------------------------------
 ORACLE["scan_docs"] = "SELECT page_id, strlen(html) + 1 AS length, md5(html || chr(10)) AS text_md5 FROM pages"
 ORACLE["scan_many_docs"] = (
-    "SELECT 0 AS ord, strlen(text) + 1 AS length, md5(text || chr(10)) AS text_md5 FROM benchmark UNION ALL "
-    "SELECT 2, strlen(html) + 1, md5(html || chr(10)) FROM pages"
+    "SELECT row_number() OVER (ORDER BY input, folder) - 1 AS ord, input, strlen(body) + 1 AS length, "
+    "md5(body || chr(10)) AS text_md5 FROM ("
+    "SELECT 0 AS input, CAST(item_id AS VARCHAR) || '/' AS folder, text AS body FROM benchmark UNION ALL "
+    "SELECT 2, CAST(page_id AS VARCHAR) || '/', html FROM pages)"
 )
 ORACLE["scan_size_guard"] = (
     f"SELECT page_id, strlen(html) + 1 AS length, strlen(html) + 1 <= {Q.SIZE_LIMIT} AS accepted FROM pages"
@@ -196,14 +199,37 @@ ORACLE["decode_lenient"] = "SELECT doc_id, md5(replace(text, chr(65533), '') ||
 
 # --- list feeds ----------------------------------------------------------------------
 PAYLOADS = f"payloads AS ({D.for_duckdb(D.feed_payloads(D.DUCKDB))})"
-LINES = (
-    f"{PAYLOADS}, raw_lines AS (SELECT feed, snapshot, unnest(string_split(body, chr(10))) AS raw, "
+FILES = (
+    "payloads AS (SELECT feed, snapshot, string_agg(body, chr(10) ORDER BY key) AS body "
+    f"FROM ({D.for_duckdb(D.feed_files(D.DUCKDB))}) GROUP BY feed, snapshot)"
+)
+
+
+def _records(source: str, line: str) -> str:
+    """Lines joined to CSV records: one begins after an even number of quotes."""
+    quotes = (
+        f"coalesce(sum(len({line}) - len(replace({line}, '\"', ''))) "
+        "OVER (PARTITION BY feed, snapshot ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    )
+    numbered = (
+        "SELECT *, sum(CASE WHEN quotes % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY feed, snapshot ORDER BY i) AS rec "
+        f"FROM (SELECT *, {quotes} AS quotes FROM {source})"
+    )
+    return (
+        f"(SELECT feed, snapshot, min(i) AS i, string_agg({line}, chr(10) ORDER BY i) AS {line} "
+        f"FROM ({numbered}) GROUP BY feed, snapshot, rec)"
+    )
+
+
+_STEPS = (
+    "raw_lines AS (SELECT feed, snapshot, unnest(string_split(body, chr(10))) AS raw, "
     "unnest(range(len(string_split(body, chr(10))))) AS i FROM payloads), "
     "stripped AS (SELECT feed, snapshot, i, raw, trim(raw) AS line FROM raw_lines), "
     "clean AS (SELECT * FROM stripped WHERE line <> '' AND NOT starts_with(line, '#')), "
     "ips AS (SELECT feed, snapshot, i, trim(string_split(line, ';')[1]) AS value FROM clean "
     "WHERE NOT starts_with(line, ';'))"
 )
+LINES, FILE_LINES = f"{PAYLOADS}, {_STEPS}", f"{FILES}, {_STEPS}"
 
 
 def _numbered(source: str, order: str = "i") -> str:
@@ -228,16 +254,16 @@ def unquote(x: str) -> str:
     return f"trim({x}, '\"')"
 
 
-ORACLE["feed_text_lines"] = on(LINES, _numbered("(SELECT feed, snapshot, i, line AS value FROM clean)"))
+ORACLE["feed_text_lines"] = on(FILE_LINES, _numbered("(SELECT feed, snapshot, i, line AS value FROM clean)"))
 ORACLE["feed_ip_list"] = on(LINES, _numbered("(SELECT * FROM ips WHERE value <> '')"))
 ORACLE["feed_csv_rows"] = on(
-    LINES,
+    FILE_LINES,
     f"""SELECT feed, snapshot, row_number() OVER (PARTITION BY feed, snapshot ORDER BY i) - 1 AS ord, w AS width,
     CASE WHEN w > 0 THEN {csv_column('line', 0)} END AS c0, CASE WHEN w > 1 THEN {csv_column('line', 1)} END AS c1,
     CASE WHEN w > 2 THEN {csv_column('line', 2)} END AS c2
-    FROM (SELECT *, {csv_width('line')} AS w FROM clean WHERE feed IN {in_list(Q.CSV_FEEDS)})""",
+    FROM (SELECT *, {csv_width('line')} AS w FROM {_records(f"(SELECT * FROM clean WHERE feed IN {in_list(CSV_FEEDS)})", 'line')})""",
 )
-_W = f"(SELECT *, {csv_width('line')} AS w FROM clean)"
+_W = f"(SELECT *, {csv_width('line')} AS w FROM {_records('clean', 'line')})"
 
 
 def _cells(index: int, value: str) -> str:
@@ -254,7 +280,7 @@ _FEED_VALUES = {
     "feodo": "SELECT feed, snapshot, i, line AS value FROM clean",
     "sslbl": f"SELECT * FROM ({_cells(0, f'trim({unquote(csv_column("line", 1))})')} WHERE w > 1) WHERE value <> ''",
     "phishtank": f"""SELECT * FROM (SELECT feed, snapshot, r.i, trim(CASE WHEN u = 1 THEN {csv_column('raw', 1)} ELSE {csv_column('raw', 2)} END) AS value
-        FROM (SELECT *, {csv_width('raw')} AS w FROM raw_lines WHERE i > 0) r
+        FROM (SELECT *, {csv_width('raw')} AS w FROM {_records('(SELECT * FROM raw_lines WHERE i > 0)', 'raw')}) r
         JOIN (SELECT feed, snapshot, CASE WHEN lower(trim({csv_column('raw', 2)})) = 'url' THEN 2 ELSE 1 END AS u
               FROM raw_lines WHERE i = 0) h USING (feed, snapshot) WHERE w > u) WHERE value <> ''""",
     "bambenek_c2": "SELECT * FROM (SELECT feed, snapshot, i, trim(string_split(line, ',')[1]) AS value FROM clean) WHERE value <> ''",
@@ -279,7 +305,7 @@ def _parsed(names: list[str]) -> str:
 for _name, _feeds in Q.FEED_QUERIES.items():
     ORACLE[_name] = on(f"{LINES}, {_parsed(list(_feeds))}", "SELECT * FROM feed_values")
 ALL_FEEDS = f"{LINES}, {_parsed(list(_FEED_VALUES))}"
-ORACLE["feed_raw_fallback"] = on(ALL_FEEDS, "SELECT * FROM feed_values WHERE fallback")
+ORACLE["feed_raw_fallback"] = on(f"{FILE_LINES}, {_parsed(list(_FEED_VALUES))}", "SELECT * FROM feed_values WHERE fallback")
 
 # --- CERT feeds -------------------------------------------------------------------------
 CERT = f"certs AS ({D.for_duckdb(D.cert_payloads())})"

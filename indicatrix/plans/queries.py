@@ -17,7 +17,7 @@ from indicatrix.operators.extract import extract_custom, extract_indicators, ext
 from indicatrix.plans import derived as D
 from indicatrix.plans.tables import scratch, stored, table
 from indicatrix.sinks import csvfile, jsonfile, reports, stix
-from indicatrix.sources import cert, documents, feeds, registry
+from indicatrix.sources import cert, documents, feedfiles, feeds, registry
 from indicatrix.sources.corpus import combine
 from indicatrix.streaming import stream
 
@@ -101,7 +101,7 @@ def scan_many_docs(spark, sf_dir):
     items = scratch(spark, "items")
     table(spark, sf_dir, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(items)
     files = documents.scan_many(spark, [items, pages + "-missing", pages])
-    return files.select("ord", "length", F.md5("text").alias("text_md5"))
+    return files.select("ord", "input", "length", F.md5("text").alias("text_md5"))
 
 
 @query
@@ -118,9 +118,18 @@ def decode_lenient(spark, sf_dir):
 
 
 # --- sources: list feeds ----------------------------------------------------------
+def landed_feeds(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """The lines of feed files: few large snapshots, as a collector would leave them, stored as they are read."""
+    path = scratch(spark, "feeds")
+    parts = D.for_spark(spark, sf_dir, D.feed_files(D.SPARK, names))
+    parts = parts.repartition("feed", "snapshot").sortWithinPartitions("feed", "snapshot", "key")
+    parts.select("feed", "snapshot", "body").write.partitionBy("feed", "snapshot").text(path)
+    return stored(feedfiles.read_lines(spark, path), "feed-lines")
+
+
 @query
 def feed_text_lines(spark, sf_dir):
-    return feeds.explode_lines(feed_payloads(spark, sf_dir), feeds.data_lines("body"))
+    return feedfiles.text_lines(landed_feeds(spark, sf_dir))
 
 
 @query
@@ -128,12 +137,9 @@ def feed_ip_list(spark, sf_dir):
     return feeds.explode_lines(feed_payloads(spark, sf_dir), feeds.ip_lines("body"))
 
 
-CSV_FEEDS = ["urlhaus", "malbazaar", "threatfox", "sslbl"]
-
-
 @query
 def feed_csv_rows(spark, sf_dir):
-    return feeds.csv_table(feed_payloads(spark, sf_dir, *CSV_FEEDS))
+    return feedfiles.csv_table(landed_feeds(spark, sf_dir, *feedfiles.CSV_FEEDS))
 
 
 def _feed_query(name: str, *feed_names: str) -> None:
@@ -197,7 +203,7 @@ def feed_kev(spark, sf_dir):
 
 @query
 def feed_raw_fallback(spark, sf_dir):
-    return feeds.parse_all(feed_payloads(spark, sf_dir)).where("fallback")
+    return feedfiles.parse_files(landed_feeds(spark, sf_dir)).where("fallback")
 
 
 def feed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
