@@ -163,7 +163,8 @@ def repeated_windows(docs: DataFrame, width: int, most_cells: int, scratch: Scra
     placed = candidates(docs, kept, cells, width, True).join(anchors, "anchor").where("mixed OR doc > first")
     placed = scratch.keep(placed.selectExpr("doc", "key", "start", "size", "mixed", "anchor", "IF(mixed, hashes, NULL) AS hashes"))
     single = placed.where("mixed").selectExpr("doc", "key", "start", "anchor", "posexplode(hashes) AS (place, window)")
-    firsts = single.groupBy("anchor", "window").agg(*span).where("first < last").select("anchor", "window", "first")
+    # Kept, so the join deals it out anew and a window of very many documents can be split.
+    firsts = scratch.keep(single.groupBy("anchor", "window").agg(*span).where("first < last").select("anchor", "window", "first"))
     single = single.join(firsts, ["anchor", "window"]).where("doc > first").selectExpr("doc", "key", "start + place AS start", "1 AS size")
     return placed.where("NOT mixed").select("doc", "key", "start", "size").unionAll(single)
 
