@@ -152,46 +152,109 @@ def feed_files(engine: str, names: tuple[str, ...] = ()) -> str:
     return f"SELECT feed, {number} AS snapshot, snapshot AS key, body FROM ({feed_payloads(engine, names)}) parts"
 
 
-def cert_bodies() -> dict[str, str]:
-    """Body expression of each CERT feed over an order."""
-    items = [
-        (f"'CVE-2025-' || {_n('1000 + o_orderkey % 9000')} || ': critical'", f"'https://cert.evil.org/a/' || {K}", f"'Affects ' || {REPORT_IP}"),
-        (f"'Notice ' || {K}", None, f"'hash ' || md5({K})"),
-        (None, f"'https://cert.evil.org/b/' || {C}", None),
+def _item(title: str | None, link: str | None, description: str | None) -> tuple[str, tuple]:
+    """An item as XML, and what is read from it."""
+    out = "'<item>'"
+    for tag, value in zip(("title", "link", "description"), (title, link, description)):
+        if value is not None:
+            out += f" || '<{tag}>' || {value} || '</{tag}>'"
+    return out + " || '</item>'", (title, link, description)
+
+
+# XML of the items of a feed, and the entry each gives, if any.
+CERT_ITEMS = [
+    _item(f"'CVE-2025-' || {_n('1000 + o_orderkey % 9000')} || ': critical'", f"'https://cert.evil.org/a/' || {K}", f"'Affects ' || {REPORT_IP}"),
+    ("'<item/><item />'", None),
+    _item(f"'Notice ' || {K}", None, f"'hash ' || md5({K})"),
+    (f"'<!-- <item><title>withdrawn ' || {K} || '.com</title></item> -->'", None),
+    _item(None, f"'https://cert.evil.org/b/' || {C}", None),
+    (f"'<item id=\"7\"><title><![CDATA[cut </item> & ' || {K} || ' <b>]]></title><title>second</title></item>'", (f"'cut </item> & ' || {K} || ' <b>'", None, None)),
+    ("'<item><title></title><description></description></item>'", None),
+]
+CERT_MALFORMED = "o_orderkey % 13 = 0"
+
+
+def cert_entries() -> str:
+    """``o_orderkey, j, title, link, description``: what the items of an order's XML feeds say."""
+    rows = []
+    for j, (_, entry) in enumerate(CERT_ITEMS):
+        if entry is not None:
+            fields = ", ".join(f"{value or 'CAST(NULL AS STRING)'} AS {name}" for value, name in zip(entry, ("title", "link", "description")))
+            rows.append(f"SELECT o_orderkey, {j} AS j, {fields} FROM @orders@")
+    return " UNION ALL ".join(rows)
+
+
+def cert_files(feeds: tuple[str, ...]) -> str:
+    """``feed, snapshot, key, body``: parts of few large XML feed files, in the order of ``key``; some break within an item."""
+    items = " || ".join(xml for xml, _ in CERT_ITEMS)
+    number = f"CASE WHEN {CERT_MALFORMED} THEN 1000 + o_orderkey % 3 ELSE o_orderkey % 7 END"
+    parts = []
+    for feed in feeds:
+        mine = f"SELECT '{feed}' AS feed, {number} AS snapshot"
+        parts.append(f"{mine}, o_orderkey AS key, {items} || CASE WHEN {CERT_MALFORMED} THEN '<item><title>cut</item>' ELSE '' END AS body FROM @orders@")
+        parts.append(f"SELECT DISTINCT '{feed}', {number}, CAST(-1 AS BIGINT), '<?xml version=\"1.0\"?><rss version=\"2.0\"><channel><title>Feed</title>' FROM @orders@")
+        parts.append(f"SELECT DISTINCT '{feed}', {number}, CAST(9223372036854775807 AS BIGINT), '</channel></rss>' FROM @orders@")
+    return " UNION ALL ".join(parts)
+
+
+# Catalogues of different shapes, and their strings by places in lists and names in objects.
+_KEV = [f"'CVE-2021-' || {_n('1000 + o_orderkey % 9000')}", f"'https://kev.evil.com/' || {K}", f"'CVE-2022-' || {_n('1000 + o_custkey % 9000')}"]
+KEV_SHAPES = [
+    (
+        f"'{{\"title\": \"KEV\", \"count\": 2, \"vulnerabilities\": [{{\"cveID\": \"' || {_KEV[0]} || '\", \"notes\": \"' || {_KEV[1]} || '\"}}, {{\"cveID\": \"' || {_KEV[2]} || '\"}}]}}'",
+        ["'KEV'", *_KEV],
+    ),
+    (f"'[{{\"cveID\": \"' || {_KEV[0]} || '\"}}, \"' || {_KEV[1]} || '\", 7, null, [true, [\"' || {_KEV[2]} || '\"]]]'", _KEV),
+    (
+        f"'{{\"z\": \"last\", \"catalog\": {{\"more\": {{\"see\": \"line' || chr(92) || 'n' || {_KEV[1]} || '\"}}, \"entries\": [{{\"cveID\": \"' || {_KEV[0]} || '\"}}]}}, \"empty\": \"\"}}'",
+        [_KEV[0], f"'line' || {NL} || {_KEV[1]}", "'last'"],
+    ),
+    (f"'no catalogue ' || {K}", []),
+]
+
+
+def kev_strings() -> str:
+    """``o_orderkey, j, value``: the strings of an order's catalogue."""
+    rows = [
+        f"SELECT o_orderkey, {j} AS j, {value} AS value FROM @orders@ WHERE o_orderkey % {len(KEV_SHAPES)} = {i}"
+        for i, (_, values) in enumerate(KEV_SHAPES)
+        for j, value in enumerate(values)
     ]
+    return " UNION ALL ".join(rows)
 
-    def item(parts: tuple, attributes: str = "") -> str:
-        out = f"'<item{attributes}>'"
-        for tag, value in zip(("title", "link", "description"), parts):
-            if value is not None:
-                out += f" || '<{tag}>' || {value} || '</{tag}>'"
-        return out + " || '</item>'"
 
-    rss_items = " || ".join(item(p) for p in items)
-    rdf_items = " || ".join(item(p) for p in items)
+def cert_bodies() -> dict[str, str]:
+    """Body expression of each CERT feed over an order."""
+    items = " || ".join(xml for xml, _ in CERT_ITEMS)
     head = "'<?xml version=\"1.0\" encoding=\"UTF-8\"?>' || " + NL
-    rss = f"{head} || '<rss version=\"2.0\"><channel><title>Feed</title>' || {rss_items} || '</channel></rss>'"
+    rss = f"{head} || '<rss version=\"2.0\"><channel><title>Feed</title>' || {items} || '</channel></rss>'"
+    deep = f"'<rss version=\"2.0\"><channel><group><title>Group</title><list>' || {items} || '</list></group></channel></rss>'"
+    namespace = "xmlns:rdf=\"http://www.w3.org/1999/02/22-rdf-syntax-ns#\""
     rdf = (
-        f"{head} || '<rdf:RDF xmlns:rdf=\"http://www.w3.org/1999/02/22-rdf-syntax-ns#\" "
-        f"xmlns=\"http://purl.org/rss/1.0/\"><channel><title>Feed</title></channel>' || {rdf_items} || '</rdf:RDF>'"
+        f"{head} || '<rdf:RDF {namespace} xmlns=\"http://purl.org/rss/1.0/\">"
+        f"<channel><title>Feed</title></channel>' || {items} || '</rdf:RDF>'"
     )
+    named = items
+    for tag in ("item", "title", "link", "description"):
+        named = named.replace(f"<{tag}", f"<n:{tag}").replace(f"</{tag}>", f"</n:{tag}>")
+    named = named.replace("cut </n:item>", "cut </item>")  # text, not a tag
+    prefixed = f"'<rdf:RDF {namespace} xmlns:n=\"http://purl.org/rss/1.0/\">' || {named} || '</rdf:RDF>'"
     broken = f"'not xml <<< see CVE-2024-' || {_n('1000 + o_orderkey % 9000')}"
-    rss_or_raw = f"CASE WHEN o_orderkey % 13 = 0 THEN {broken} ELSE {rss} END"
+    rss_or_raw = f"CASE WHEN {CERT_MALFORMED} THEN {broken} WHEN o_orderkey % 5 = 0 THEN {deep} ELSE {rss} END"
     listed = (
         f"'[{{\"title\": \"RCE ' || {K} || '\", \"url\": \"https://cert.eu/' || {K} || '\", \"summary\": \"CVE-2025-0001 hits ' || {REPORT_IP} || '\"}},"
         f" {{\"title\": \"\", \"link\": \"https://cert.eu/l' || {C} || '\", \"url\": \"u\", \"description\": \"d\", \"summary\": \"s\"}}]'"
     )
+    # Members that come first but hold no list are passed over.
+    under = "CASE o_custkey % 4 WHEN 0 THEN 'items' WHEN 1 THEN 'publications' WHEN 2 THEN 'items\": \"none\", \"results' ELSE 'publications\": {\"title\": \"no list\"}, \"data' END"
     nested = (
-        f"'{{\"publications\": [{{\"title\": \"Ransom ' || {K} || '\", \"link\": \"https://cert.eu/p' || {K} || '\", \"summary\": \"unused\"}},"
+        f"'{{\"' || {under} || '\": [{{\"title\": \"Ransom ' || {K} || '\", \"link\": \"https://cert.eu/p' || {K} || '\", \"summary\": \"unused\"}},"
         f" {{\"title\": \"Chain\", \"url\": \"https://cert.eu/q' || {C} || '\"}}]}}'"
     )
     eu = f"CASE o_orderkey % 4 WHEN 0 THEN {listed} WHEN 1 THEN {nested} WHEN 2 THEN {rss} ELSE 'raw CTI CVE-2025-' || {_n('1000 + o_orderkey % 9000')} END"
-    kev = (
-        f"'{{\"title\": \"KEV\", \"count\": 2, \"vulnerabilities\": [{{\"cveID\": \"CVE-2021-' || {_n('1000 + o_orderkey % 9000')} || '\", \"notes\": \"https://kev.evil.com/' || {K} || '\"}},"
-        f" {{\"cveID\": \"CVE-2022-' || {_n('1000 + o_custkey % 9000')} || '\", \"notes\": \"none\"}}]}}'"
-    )
+    kev = f"CASE o_orderkey % {len(KEV_SHAPES)} " + " ".join(f"WHEN {i} THEN {body}" for i, (body, _) in enumerate(KEV_SHAPES)) + " END"
     usom = _lines("'zararli' || " + K + " || '.com'", f"'http://kotu' || {C} || '.net/x'")
-    return {"TR": usom, "US": kev, "EU": eu, "NL": rss_or_raw, "FR": rss_or_raw, "JP": rdf}
+    return {"TR": usom, "US": kev, "EU": eu, "NL": rss_or_raw, "FR": rss_or_raw, "JP": f"CASE WHEN o_orderkey % 3 = 0 THEN {prefixed} ELSE {rdf} END"}
 
 
 def cert_payloads(names: tuple[str, ...] = ()) -> str:

@@ -12,6 +12,7 @@ from indicatrix.plans import derived as D
 from indicatrix.plans import queries as Q
 from indicatrix.sinks.stix import ID_NAMESPACE
 from indicatrix.sources import registry
+from indicatrix.sources.cert import LIST_KEYS
 from indicatrix.sources.feedfiles import CSV_FEEDS
 
 ORACLE: dict[str, str] = {}
@@ -311,20 +312,18 @@ ORACLE["feed_raw_fallback"] = on(f"{FILE_LINES}, {_parsed(list(_FEED_VALUES))}",
 CERT = f"certs AS ({D.for_duckdb(D.cert_payloads())})"
 
 
-def _tag(name: str) -> str:
-    return (
-        f"CASE WHEN contains(item, '<{name}>') THEN regexp_extract(item, '<{name}>([^<]*)</{name}>', 1) END AS {name}"
-    )
-
-
 RSS = (
-    f"{CERT}, rss_raw AS (SELECT feed, snapshot, regexp_extract_all(body, '<item>.*?</item>') AS items FROM certs), "
-    "rss_items AS (SELECT feed, snapshot, ord, "
-    f"{_tag('title')}, {_tag('link')}, {_tag('description')} FROM "
-    "(SELECT feed, snapshot, unnest(items) AS item, unnest(range(len(items))) AS ord FROM rss_raw)), "
+    f"{CERT}, entries AS ({D.for_duckdb(D.cert_entries())}), "
+    "rss_items AS (SELECT c.feed, c.snapshot, row_number() OVER (PARTITION BY c.feed, c.snapshot ORDER BY j) - 1 AS ord, "
+    "title, link, description FROM certs c JOIN entries e ON e.o_orderkey = c.snapshot "
+    "WHERE feed IN ('NL', 'FR', 'JP', 'EU') AND body LIKE '<%'), "
     "rss_lines AS (SELECT feed, snapshot, ord, concat_ws(' | ', title, link, description) AS value FROM rss_items)"
 )
-ORACLE["feed_rss"] = on(RSS, "SELECT * FROM rss_items WHERE feed IN ('NL', 'FR')")
+ORACLE["feed_rss"] = (
+    "SELECT feed, o_orderkey % 7 AS snapshot, "
+    "row_number() OVER (PARTITION BY feed, o_orderkey % 7 ORDER BY o_orderkey, j) - 1 AS ord, title, link, description "
+    f"FROM ({D.for_duckdb(D.cert_entries())}), (VALUES ('NL'), ('FR')) AS f(feed) WHERE NOT ({D.CERT_MALFORMED})"
+)
 ORACLE["feed_rdf"] = on(RSS, "SELECT * FROM rss_items WHERE feed = 'JP'")
 ORACLE["feed_items_text"] = on(RSS, "SELECT * FROM rss_lines WHERE feed = 'JP'")
 _NO_ITEMS = "SELECT feed, snapshot, 0 AS ord, body AS value, true AS fallback FROM certs ANTI JOIN {lines} USING (feed, snapshot)"
@@ -340,10 +339,13 @@ def _json(path: str) -> str:
     return f"nullif(json_extract_string(p, '$.{path}'), '')"
 
 
+_FIRST_LIST = (
+    "CASE " + " ".join(f"WHEN json_type(js, '$.{k}') = 'ARRAY' THEN json_extract(js, '$.{k}')" for k in LIST_KEYS) + " END"
+)
 EU = (
     f"{RSS}, eu AS (SELECT feed, snapshot, CASE WHEN json_valid(body) THEN body END AS js, body FROM certs WHERE feed = 'EU'), "
     "eu_nested AS (SELECT *, json_type(js) = 'ARRAY' AS listed, CASE WHEN json_type(js) = 'ARRAY' "
-    "THEN CAST(js AS JSON[]) ELSE CAST(json_extract(js, '$.publications') AS JSON[]) END AS pubs FROM eu), "
+    f"THEN CAST(js AS JSON[]) ELSE CAST({_FIRST_LIST} AS JSON[]) END AS pubs FROM eu), "
     "eu_json AS (SELECT feed, snapshot, ord, CASE WHEN listed THEN "
     f"concat_ws(' | ', {_json('title')}, coalesce({_json('link')}, {_json('url')}), coalesce({_json('description')}, {_json('summary')})) "
     f"ELSE concat_ws(' | ', {_json('title')}, coalesce({_json('link')}, {_json('url')})) END AS value "
@@ -360,11 +362,8 @@ _USOM = (
 )
 ORACLE["feed_usom"] = on(CERT, _USOM)
 _KEV = (
-    "SELECT feed, snapshot, ord, json_extract_string(v, '$.cveID') || ' ' || json_extract_string(v, '$.notes') AS value, "
-    "false AS fallback FROM (SELECT feed, snapshot, unnest(vs) AS v, unnest(range(len(vs))) AS ord FROM "
-    "(SELECT feed, snapshot, CAST(json_extract(body, '$.vulnerabilities') AS JSON[]) AS vs FROM certs WHERE feed = 'US')) "
-    "UNION ALL SELECT feed, snapshot, json_array_length(body, '$.vulnerabilities') AS ord, "
-    "json_extract_string(body, '$.title') || ' ' || json_extract_string(body, '$.count'), false FROM certs WHERE feed = 'US'"
+    "SELECT 'US' AS feed, o_orderkey AS snapshot, row_number() OVER (PARTITION BY o_orderkey ORDER BY j) - 1 AS ord, value, "
+    f"false AS fallback FROM ({D.for_duckdb(D.kev_strings())})"
 )
 ORACLE["feed_kev"] = on(CERT, _KEV)
 _FIELDS = "feed, snapshot, ord, value, fallback"

@@ -118,12 +118,18 @@ def decode_lenient(spark, sf_dir):
 
 
 # --- sources: list feeds ----------------------------------------------------------
-def landed_feeds(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
-    """The lines of feed files: few large snapshots, as a collector would leave them, stored as they are read."""
+def land_feeds(spark: SparkSession, sf_dir: str, statement: str) -> str:
+    """Feed files from parts in order: few large snapshots, as a collector would leave them."""
     path = scratch(spark, "feeds")
-    parts = D.for_spark(spark, sf_dir, D.feed_files(D.SPARK, names))
+    parts = D.for_spark(spark, sf_dir, statement)
     parts = parts.repartition("feed", "snapshot").sortWithinPartitions("feed", "snapshot", "key")
     parts.select("feed", "snapshot", "body").write.partitionBy("feed", "snapshot").text(path)
+    return path
+
+
+def landed_feeds(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """The lines of list feed files, stored as they are read."""
+    path = land_feeds(spark, sf_dir, D.feed_files(D.SPARK, names))
     return stored(feedfiles.read_lines(spark, path), "feed-lines")
 
 
@@ -168,7 +174,7 @@ for _name, _feeds in FEED_QUERIES.items():
 # --- sources: CERT feeds -----------------------------------------------------------
 @query
 def feed_rss(spark, sf_dir):
-    return cert.rss_table(cert_payloads(spark, sf_dir, "NL", "FR"))
+    return cert.read_items(spark, land_feeds(spark, sf_dir, D.cert_files(("NL", "FR"))))
 
 
 @query
