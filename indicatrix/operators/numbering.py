@@ -29,7 +29,15 @@ def overall(rows: DataFrame, *order: str, into: str = "ord") -> DataFrame:
     offsets = [(block, place - (block << 33)) for (block, _), place in zip(counts, before)]
     offsets = rows.sparkSession.createDataFrame(offsets, f"{_BLOCK} long, {_BEFORE} long")
     # One row for each partition of the table.
-    return placed.join(F.broadcast(offsets), _BLOCK).withColumn(into, F.col(_ID) + F.col(_BEFORE)).drop(_ID, _BLOCK, _BEFORE)
+    kept = [c for c in rows.columns if c != into]
+    return placed.join(F.broadcast(offsets), _BLOCK).select(*kept, (F.col(_ID) + F.col(_BEFORE)).alias(into))
+
+
+def ranked(rows: DataFrame, group: str, *order: str, into: str = "rank") -> DataFrame:
+    """``rows`` with their places from 1 within each of a few groups, however large those are."""
+    placed = overall(rows, group, *order, into=_BLOCK)
+    firsts = placed.groupBy(group).agg(F.min(_BLOCK).alias(_BEFORE))
+    return placed.join(firsts, group).withColumn(into, F.col(_BLOCK) - F.col(_BEFORE) + 1).drop(_BLOCK, _BEFORE)
 
 
 def within(rows: DataFrame, group: list[str], block: list[str], order: list[str], into: str = "ord") -> DataFrame:

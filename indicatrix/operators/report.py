@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from indicatrix.functions.constants import (
@@ -13,9 +13,11 @@ from indicatrix.functions.constants import (
 )
 from indicatrix.functions.normalize import defang, in_list, literal, lookup
 from indicatrix.operators.extract import resolve_types
+from indicatrix.operators.numbering import ranked
 
 _CONFIDENCE = {t[1]: t[3] for t in TYPES}
 _NOTE = {t[1]: t[4] for t in TYPES}
+_SHARES = (0.0001, 0.001, 0.01, 0.05, 0.2, 0.5)  # of a type's rows, below which its top list may end
 IS_HASH = f"type IN {in_list(list(HASH_LENGTHS.values()))}"
 
 
@@ -56,13 +58,18 @@ def hash_family_counts(indicators: DataFrame) -> DataFrame:
 
 
 def top_per_type(listed: DataFrame, k: int = REPORT_ROWS_PER_TYPE) -> DataFrame:
-    """The first ``k`` rows of each type in list order, ranked.
+    """The first ``k`` rows of each type in list order, ranked; any ``k``.
 
-    The rank filter lets Spark cut every input partition to ``k`` rows per type
-    before the shuffle, so a type that holds most rows is no hot spot.
+    Approximate quantiles of a type's positions give thresholds, an exact count finds the lowest with
+    ``k`` rows below it, and what lies above is cut. The rest is sorted by ranges, so no task sees a type.
     """
-    window = Window.partitionBy("type").orderBy("ord")
-    return listed.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+    marks = listed.groupBy("type").agg(F.percentile_approx("ord", list(_SHARES), 10_000).alias("_marks"))
+    below = [F.count_if(F.col("ord") <= F.col("_marks")[i]).alias(f"_n{i}") for i in range(len(_SHARES))]
+    counts = listed.join(marks, "type").groupBy("type", "_marks").agg(*below)
+    enough = " ".join(f"WHEN _n{i} >= {int(k)} THEN _marks[{i}]" for i in range(len(_SHARES)))
+    limits = counts.selectExpr("type", f"CASE {enough} END AS _limit")
+    kept = listed.join(limits, "type").where("_limit IS NULL OR ord <= _limit").select(*listed.columns)
+    return ranked(kept, "type", "ord").where(F.col("rank") <= k)
 
 
 def overflow_per_type(listed: DataFrame, k: int = REPORT_ROWS_PER_TYPE) -> DataFrame:

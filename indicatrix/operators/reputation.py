@@ -8,7 +8,6 @@ answers land repeatedly, :func:`newest` leaves one per key.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +18,9 @@ from indicatrix.functions.constants import (
     PROVIDER_TYPES,
     PROVIDERS,
 )
-from indicatrix.functions.normalize import in_list, literal, lookup
+from indicatrix.functions.normalize import literal, lookup
+from indicatrix.operators.numbering import ranked
+from indicatrix.sources import landings
 
 _STATS = "$.data.attributes.last_analysis_stats"
 _ATTRS = "$.data.attributes"
@@ -118,10 +119,15 @@ def _is(path: str, kind: str) -> str:
     return f"({_node(path)} IS NULL OR startswith(schema_of_variant({_node(path)}), '{kind}'))"
 
 
-def newest(rep_raw: DataFrame, at: str = "landed") -> DataFrame:
-    """One answer per ``provider, kind, key``: that of the latest ``at``, whether it succeeded or not."""
-    latest = rep_raw.groupBy("provider", "kind", "key").agg(F.max_by(F.struct("body"), at).alias("_latest"))
-    return latest.select("provider", "kind", "key", "_latest.body")
+_ASKED = ["provider", "kind", "key"]
+
+
+def newest(rep_raw: DataFrame, at: str = "landed", wanted: DataFrame | None = None) -> DataFrame:
+    """One answer per ``provider, kind, key``: that of the latest ``at``, whether it succeeded or not.
+
+    Only of ``wanted`` keys, if given. Answers are read last, as in :func:`indicatrix.sources.landings.newest`.
+    """
+    return landings.newest(rep_raw.select(*_ASKED, at, "body"), _ASKED, at, wanted).drop(at)
 
 
 def _fields(provider: str, kind: str, max_names: int | None = None, max_whois: int | None = None) -> dict[str, str]:
@@ -190,32 +196,25 @@ def with_payload(answers: DataFrame, providers: Iterable[str] = PROVIDERS) -> Da
 def lookup_budget(listed: DataFrame, provider: str, max_lookups: int) -> DataFrame:
     """The indicators a provider is asked about: the first ``max_lookups`` by type, then list order.
 
-    ``listed`` is duplicate-free with ``type, value, ord``.  A sort with a limit
-    keeps ``max_lookups`` rows per input partition and merges those.
+    ``listed`` is duplicate-free with ``type, value, ord``.
     """
+    return lookup_budgets(listed, [provider], max_lookups)
+
+
+def lookup_budgets(listed: DataFrame, providers: Iterable[str], max_lookups: int) -> DataFrame:
+    """``provider, lookup_no, type, value, kind``: the budgets of several providers, numbered in one sort by ranges."""
     priority = lookup("type", {t: i for i, t in enumerate(LOOKUP_PRIORITY)})
-    picked = (
-        listed.where(f"type IN {in_list(PROVIDER_TYPES[provider])}")
-        .selectExpr("type", "value", "ord", f"{priority} AS priority")
-        .orderBy("priority", "ord")
-        .limit(max(max_lookups, 0))
-    )
-    # The window sees at most max_lookups rows.
-    return picked.selectExpr(
-        f"{literal(provider)} AS provider",
-        "row_number() OVER (ORDER BY priority, ord) AS lookup_no",
-        "type",
-        "value",
-        f"{lookup('type', LOOKUP_KIND)} AS kind",
-    )
-
-
-def eligible(listed: DataFrame, providers: Iterable[str]) -> DataFrame:
+    asked = eligible(listed, providers, "ord", f"{priority} AS priority")
+    numbered = ranked(asked, "provider", "priority", "ord", into="lookup_no").where(F.col("lookup_no") <= max_lookups)
+    return numbered.select("provider", "lookup_no", "type", "value", "kind")
+
+
+def eligible(listed: DataFrame, providers: Iterable[str], *more: str) -> DataFrame:
     """``provider, kind, type, value``: every indicator beside each provider that answers for its type, in one pass."""
     names = {t: [p for p in PROVIDERS if p in set(providers) and t in PROVIDER_TYPES[p]] for t in LOOKUP_KIND}
     lists = " ".join(f"WHEN '{t}' THEN array({', '.join(map(literal, ps))})" for t, ps in names.items() if ps)
     asked = f"explode(CASE type {lists or "WHEN '' THEN array('')"} END) AS provider"
-    return listed.selectExpr(asked, f"{lookup('type', LOOKUP_KIND)} AS kind", "type", "value")
+    return listed.selectExpr(asked, f"{lookup('type', LOOKUP_KIND)} AS kind", "type", "value", *more)
 
 
 def enrich(
@@ -223,29 +222,33 @@ def enrich(
     rep_raw: DataFrame,
     enabled: Iterable[str] = PROVIDERS,
     max_lookups: int | None = None,
+    at: str | None = None,
 ) -> DataFrame:
     """Answers of the enabled providers: ``provider, type, value, payload``.
 
     All eligible indicators are looked up, in one pass over the list, unless the
     caller gives each provider a budget; a failed lookup costs budget and gives
-    no row.  The snapshot is read once, cut to what is asked, and only what is
-    left is parsed.  ``rep_raw`` has one answer per ``provider, kind, key``.
+    no row.  The snapshot is cut to what is asked, and only what is left is
+    parsed.  ``rep_raw`` has one answer per ``provider, kind, key``, unless ``at``
+    names the column by which the newest counts.
     """
     enabled = set(enabled)
     if max_lookups is None:
         asked = eligible(listed, enabled)
     else:
-        budgets = [lookup_budget(listed, p, max_lookups) for p in PROVIDERS if p in enabled]
-        asked = reduce(DataFrame.unionByName, budgets or [lookup_budget(listed, PROVIDERS[0], 0)]).drop("lookup_no")
-    answers = rep_raw.join(asked.withColumnRenamed("value", "key"), ["provider", "kind", "key"])
+        asked = lookup_budgets(listed, enabled, max_lookups).drop("lookup_no")
+    asked = asked.withColumnRenamed("value", "key")
+    if at is not None:
+        rep_raw = newest(rep_raw, at, wanted=asked)
+    answers = rep_raw.join(asked, _ASKED)
     return with_payload(answers, enabled).selectExpr("provider", "type", "key AS value", "payload")
 
 
 def enrich_provider(
-    listed: DataFrame, rep_raw: DataFrame, provider: str, max_lookups: int | None = None
+    listed: DataFrame, rep_raw: DataFrame, provider: str, max_lookups: int | None = None, at: str | None = None
 ) -> DataFrame:
     """Answers of one provider."""
-    return enrich(listed, rep_raw, [provider], max_lookups)
+    return enrich(listed, rep_raw, [provider], max_lookups, at)
 
 
 def merge_last(enriched: DataFrame) -> DataFrame:

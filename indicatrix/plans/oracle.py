@@ -371,7 +371,8 @@ ALL_VALUES = (
     f"{ALL_FEEDS}, {EU}, cert_values AS (SELECT {_FIELDS} FROM ({_USOM}) UNION ALL SELECT {_FIELDS} FROM ({_KEV}) "
     f"UNION ALL SELECT {_FIELDS} FROM ({_CERT_EU}) UNION ALL SELECT {_FIELDS} FROM ({_CERT_RSS})), "
     "repository_values AS (SELECT 'repository' AS feed, CAST('0x' || substr(md5(url), 1, 15) AS BIGINT) AS snapshot, "
-    f"0 AS ord, body AS value, false AS fallback FROM ({D.for_duckdb(Q.LANDED_FILES)}))"
+    "0 AS ord, body AS value, false AS fallback FROM "
+    f"(SELECT url, arg_max(body, landed) AS body FROM ({D.for_duckdb(Q.LANDED_FILES)}) GROUP BY url))"
 )
 ORACLE["feed_union_all"] = on(
     ALL_VALUES,
@@ -388,7 +389,8 @@ def _values(rows: list[tuple], columns: str, name: str) -> str:
 
 REGISTRY = _values(registry.DEFAULT_FEEDS, "key, name, url, format, type", "feeds")
 PRESETS = _values(registry.PRESETS, "name, repo, branch, path, description", "presets")
-NEW_FEEDS = f"new_feeds AS ({D.for_duckdb(Q.NEW_FEEDS)})"
+NEW_FEEDS = f"new_feeds AS (SELECT name, arg_max(url, added) AS url FROM ({D.for_duckdb(Q.NEW_FEEDS)}) GROUP BY name)"
+LANDED = f"landed AS (SELECT url, arg_max(body, landed) AS body FROM ({D.for_duckdb(Q.LANDED_FILES)}) GROUP BY url)"
 _UPSERT = (
     f"{REGISTRY}, {NEW_FEEDS}, upserted AS (SELECT * FROM feeds WHERE key NOT IN (SELECT name FROM new_feeds) UNION ALL "
     "SELECT name, name, url, 'text', 'custom' FROM new_feeds)"
@@ -410,11 +412,19 @@ ORACLE["preset_list"] = on(
     "SELECT name, repo, description, (SELECT nullif(count(*), 0) FROM requested r WHERE r.name = p.name) AS requests FROM presets p",
 )
 ORACLE["feed_repo_url"] = on(
-    f"wanted AS ({D.for_duckdb(Q.REPO_PATHS)}), landed AS ({D.for_duckdb(Q.LANDED_FILES)})",
+    f"wanted AS ({D.for_duckdb(Q.REPO_PATHS)}), {LANDED}",
     "SELECT o_orderkey, url, body FROM (SELECT o_orderkey, 'https://raw.githubusercontent.com/' || repo || '/' || "
     "coalesce(branch, 'master') || '/' || coalesce(path, 'trails/static/malware/malware.txt') AS url FROM wanted) "
     "JOIN landed USING (url)",
 )
+ORACLE["feed_changes"] = on(
+    f"""all_landed AS ({D.for_duckdb(Q.LANDED_FILES)}),
+    kept AS (SELECT url, run, sha256(arg_max(body, landed)) AS digest, dense_rank() OVER (ORDER BY run) AS r FROM all_landed GROUP BY url, run),
+    pairs AS (SELECT k.*, p.digest AS before FROM kept k LEFT JOIN kept p ON p.url = k.url AND p.r = k.r - 1)""",
+    "SELECT run, url, CASE WHEN before IS NULL THEN 'new' WHEN before = digest THEN 'same' ELSE 'changed' END AS state, digest FROM pairs "
+    "UNION ALL SELECT s.run, k.url, 'gone', k.digest FROM kept k JOIN (SELECT DISTINCT run, r FROM kept) s ON s.r = k.r + 1 "
+    "WHERE NOT EXISTS (SELECT 1 FROM kept n WHERE n.url = k.url AND n.r = k.r + 1)",
+)
 ORACLE["corpus_union"] = on(
     ALL_VALUES,
     "SELECT 1 AS source_ord, 'documents' AS source, doc_id, md5(text) AS text_md5 FROM documents UNION ALL "

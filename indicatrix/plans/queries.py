@@ -17,7 +17,7 @@ from indicatrix.operators.extract import extract_custom, extract_indicators, ext
 from indicatrix.plans import derived as D
 from indicatrix.plans.tables import scratch, stored, table
 from indicatrix.sinks import csvfile, jsonfile, reports, stix
-from indicatrix.sources import cert, documents, feedfiles, feeds, registry
+from indicatrix.sources import cert, documents, feedfiles, feeds, landings, registry
 from indicatrix.sources.corpus import combine
 from indicatrix.streaming import stream
 
@@ -68,8 +68,15 @@ def cert_payloads(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     return D.for_spark(spark, sf_dir, D.cert_payloads(names))
 
 
+def landed_answers(spark: SparkSession, sf_dir: str, provider: str | None = None, kind: str | None = None) -> DataFrame:
+    """A reputation snapshot as it lands: columns in files, so keys and times are read without the answers."""
+    path = scratch(spark, "answers")
+    D.for_spark(spark, sf_dir, D.rep_raw(D.SPARK, provider, kind)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def rep_raw(spark: SparkSession, sf_dir: str, provider: str | None = None, kind: str | None = None) -> DataFrame:
-    return rep.newest(D.for_spark(spark, sf_dir, D.rep_raw(D.SPARK, provider, kind)))
+    return rep.newest(landed_answers(spark, sf_dir, provider, kind))
 
 
 def ordered(rows: DataFrame) -> DataFrame:
@@ -214,7 +221,7 @@ def feed_raw_fallback(spark, sf_dir):
 
 def feed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed_feeds = feeds.parse_all(feed_payloads(spark, sf_dir))
-    landed = registry.repository_values(D.for_spark(spark, sf_dir, LANDED_FILES))
+    landed = registry.repository_values(D.for_spark(spark, sf_dir, LANDED_FILES).drop("run"))
     return listed_feeds.unionByName(cert.cert_values(cert_payloads(spark, sf_dir))).unionByName(landed)
 
 
@@ -240,12 +247,13 @@ REPO_PATHS = (
 )
 LANDED_FILES = (
     "SELECT 'https://raw.githubusercontent.com/org' || CAST(o_custkey AS STRING) || '/iocs/main/lists/' "
-    "|| CAST(o_orderkey % 50 AS STRING) || '.txt' AS url, max('10.0.0.' || CAST(o_orderkey % 256 AS STRING)) AS body "
-    "FROM @orders@ GROUP BY 1"
+    "|| CAST(o_orderkey % 50 AS STRING) || '.txt' AS url, o_orderkey AS landed, o_orderkey % 5 AS run, "
+    "'10.0.0.' || CAST(o_orderkey % 4 AS STRING) AS body FROM @orders@"
 )
 NEW_FEEDS = (
-    "SELECT CASE c_custkey WHEN 0 THEN 'talos' WHEN 1 THEN 'openphish' ELSE 'custom' || CAST(c_custkey AS STRING) END "
-    "AS name, 'https://feeds.evil.org/' || c_name AS url FROM @customer@"
+    "SELECT CASE c_custkey % 40 WHEN 0 THEN 'talos' WHEN 1 THEN 'openphish' "
+    "ELSE 'custom' || CAST(c_custkey - c_custkey % 4 AS STRING) END AS name, 'https://feeds.evil.org/' || c_name AS url, "
+    "(c_custkey * 7) % 1000003 AS added FROM @customer@"
 )
 
 
@@ -258,8 +266,8 @@ def registry_list(spark, sf_dir):
 
 
 def _upserted(spark, sf_dir) -> DataFrame:
-    new = registry.custom_feeds(D.for_spark(spark, sf_dir, NEW_FEEDS))
-    return registry.upsert(registry.default_feeds(spark), new)
+    new = registry.custom_feeds(D.for_spark(spark, sf_dir, NEW_FEEDS), "added")
+    return registry.upsert(registry.default_feeds(spark), new, "added")
 
 
 @query
@@ -288,7 +296,12 @@ def preset_list(spark, sf_dir):
 def feed_repo_url(spark, sf_dir):
     url = registry.raw_url("repo", "branch", "path")
     requested = D.for_spark(spark, sf_dir, REPO_PATHS).selectExpr("o_orderkey", f"{url} AS url")
-    return registry.landed_contents(requested, D.for_spark(spark, sf_dir, LANDED_FILES))
+    return registry.landed_contents(requested, D.for_spark(spark, sf_dir, LANDED_FILES).drop("run"))
+
+
+@query
+def feed_changes(spark, sf_dir):
+    return landings.changes(D.for_spark(spark, sf_dir, LANDED_FILES))
 
 
 @query
@@ -557,7 +570,7 @@ def sink_json(spark, sf_dir):
 
 
 def _enriched(spark, sf_dir, rows: DataFrame) -> DataFrame:
-    return rep.enrich(rows, rep_raw(spark, sf_dir))
+    return rep.enrich(rows, landed_answers(spark, sf_dir), at="landed")
 
 
 @query
@@ -632,7 +645,7 @@ for _name, (_provider, _kind) in REP_QUERIES.items():
 @query
 def enrich_provider(spark, sf_dir):
     rows = listed(spark, sf_dir, resolve_types("domain,hash"))
-    return rep.enrich_provider(rows, rep_raw(spark, sf_dir, "virustotal"), "virustotal")
+    return rep.enrich_provider(rows, landed_answers(spark, sf_dir, "virustotal"), "virustotal", at="landed")
 
 
 @query

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from indicatrix.sources.landings import newest
+
 FEED_SCHEMA = "key string, name string, url string, format string, type string"
 PRESET_SCHEMA = "name string, repo string, branch string, path string, description string"
+
+# --- fixed values: the host of raw files, and branch and path unless a request says so ---
 RAW_HOST = "https://raw.githubusercontent.com"
 DEFAULT_BRANCH = "master"
 DEFAULT_PATH = "trails/static/malware/malware.txt"
@@ -115,21 +119,26 @@ def get_feed(feeds: DataFrame, key: str) -> DataFrame:
     return feeds.where(F.col("key") == key)
 
 
-def upsert(feeds: DataFrame, new: DataFrame) -> DataFrame:
-    """Add feeds, replacing those with the same key; of new rows with one key the last counts."""
-    columns = [F.col(c) for c in feeds.columns if c != "key"]
-    rows = new.select("key", F.struct(*columns).alias("_row"), F.monotonically_increasing_id().alias("_place"))
-    last = rows.groupBy("key").agg(F.max_by("_row", "_place").alias("_row")).select("key", "_row.*")
+def upsert(feeds: DataFrame, new: DataFrame, at: str | None = None) -> DataFrame:
+    """Add feeds, replacing those with the same key.
+
+    Of new rows with one key the one with the largest ``at`` counts, where the caller names such a column; of
+    equal ones, or without it, the largest by name, URL, format and type. No order of rows decides.
+    """
+    columns = [c for c in feeds.columns if c != "key"]
+    order = [] if at is None else [F.col(at).alias("_at")]
+    last = new.groupBy("key").agg(F.max(F.struct(*order, *columns)).alias("_row"))
+    last = last.select("key", *[F.col("_row")[c].alias(c) for c in columns])
     return feeds.join(last, "key", "left_anti").unionByName(last)
 
 
-def custom_feeds(rows: DataFrame) -> DataFrame:
+def custom_feeds(rows: DataFrame, *keep: str) -> DataFrame:
     """User feeds ``name, url`` in registry form: text format and custom family unless ``format`` or ``type`` say so."""
 
     def given(column: str, default: str) -> str:
         return f"coalesce({column}, '{default}') AS {column}" if column in rows.columns else f"'{default}' AS {column}"
 
-    return rows.selectExpr("name AS key", "name", "url", given("format", "text"), given("type", "custom"))
+    return rows.selectExpr("name AS key", "name", "url", given("format", "text"), given("type", "custom"), *keep)
 
 
 def summary(feeds: DataFrame) -> DataFrame:
@@ -156,13 +165,13 @@ def list_presets(presets_: DataFrame) -> DataFrame:
 
 
 def landed_contents(requested: DataFrame, landed: DataFrame) -> DataFrame:
-    """Landed files (``url, body``) for requested URLs; a file that did not land gives no row."""
-    return requested.join(landed, "url")
+    """The newest landed file (``url, landed, body``) for requested URLs; a file that did not land gives no row."""
+    return requested.join(newest(landed, ["url"], wanted=requested).drop("landed"), "url")
 
 
 def repository_values(landed: DataFrame) -> DataFrame:
-    """Landed repository files (``url, body``) as feed values: a file is a snapshot, known by its URL's digest."""
-    lines = landed.selectExpr(
+    """Landed repository files (``url, landed, body``) as feed values: the newest file of a URL is a snapshot, known by the URL's digest."""
+    lines = newest(landed, ["url"]).selectExpr(
         "'repository' AS feed", "CAST(conv(substr(md5(url), 1, 15), 16, 10) AS BIGINT) AS snapshot", "false AS fallback",
         "posexplode(split(body, '\\r\\n|\\n|\\r')) AS (ord, value)",
     )

@@ -12,6 +12,7 @@ from indicatrix.operators import reputation as R
 from indicatrix.operators.extract import extract_indicators
 from indicatrix.plans.tables import scratch
 from indicatrix.sinks import csvfile, jsonfile, lines, reports, stix
+from indicatrix.sources import landings
 
 TEXTS = [
     "b.com a.com http://c.com/x?\"q\" 9.9.9.9",
@@ -82,8 +83,19 @@ def test_top_per_type(listed):
     top = report.top_per_type(listed, 2).where("type = 'domain'").orderBy("rank").collect()
     assert [r.value for r in top] == ["b.com", "a.com"]
     assert {r.type: r.more for r in report.overflow_per_type(listed, 2).collect()}["domain"] == 4
-    plan = report.top_per_type(listed)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2  # before and after the shuffle
+
+
+def test_top_list_of_any_length(spark):
+    """No task sorts a type: rows are cut by a threshold, then dealt out by ranges."""
+    rows = spark.range(60_000).selectExpr("IF(id % 6 = 0, 'a', 'b') AS type", "CAST(id * 7919 % 60000 AS DECIMAL(38, 0)) AS ord", "id AS value").repartition(6)
+    order = {t: sorted(r.ord for r in rows.where(f"type = '{t}'").collect()) for t in "ab"}
+    for k in (1, 50, 45_000, 10**6):
+        top = report.top_per_type(rows, k)
+        got = sorted((r.type, r["rank"], r.ord) for r in top.select("type", "rank", "ord").collect())
+        assert got == [(t, i + 1, o) for t in "ab" for i, o in enumerate(order[t][:k])]
+        plan = top._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "SinglePartition" not in plan
+    assert report.top_per_type(rows.where("false"), 5).count() == 0
 
 
 def test_flatten(listed):
@@ -237,6 +249,13 @@ def test_budget(listed):
     assert R.lookup_budget(listed, "otx", 0).count() == 0
 
 
+def test_budget_has_no_single_task(listed):
+    plan = R.lookup_budget(listed, "virustotal", 4)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Window" not in plan
+    both = R.lookup_budgets(listed, ["otx", "virustotal"], 2).collect()
+    assert sorted((r.provider, r.lookup_no) for r in both) == [("otx", 1), ("otx", 2), ("virustotal", 1), ("virustotal", 2)]
+
+
 def test_failed_lookups_cost_budget(listed, rep_raw):
     rows = R.enrich_provider(listed, rep_raw, "virustotal", 3).collect()
     assert {r.value for r in rows} == {"9.9.9.9", "b.com"}
@@ -270,6 +289,38 @@ def test_newest_answer_counts(spark, listed):
     rep = spark.createDataFrame(answers, "provider string, kind string, key string, landed int, body string")
     found = R.merge_all(R.enrich(listed, R.newest(rep))).collect()
     assert len(found) == 1 and json.loads(found[0].answers["otx"])["pulse_count"] == 3
+    same = R.merge_all(R.enrich(listed, rep, at="landed")).collect()
+    assert [r.asDict() for r in same] == [r.asDict() for r in found]
+
+
+def test_answers_are_read_last(spark, listed, tmp_path):
+    """Keys and times are read alone, and no answer is sorted or grouped before it is chosen."""
+    rows = [("otx", "domain", f"{c}.com", t, '{"pulse_info": {"count": 1}}') for c in "abc" for t in (1, 2)]
+    spark.createDataFrame(rows, "provider string, kind string, key string, landed int, body string").write.parquet(str(tmp_path / "r"))
+    found = R.enrich(listed, spark.read.parquet(str(tmp_path / "r")), at="landed")
+    assert found.count() == 3
+    reads = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line]
+    assert any("ReadSchema" in line and "body" not in line.split("ReadSchema")[1] for line in reads)
+
+
+def test_newest_of_equal_times(spark):
+    rows = [("a", 2, "x"), ("a", 2, "y"), ("a", 1, "z"), ("b", None, "p"), ("b", None, "p"), ("c", None, "q"), ("c", 0, "r"), (None, 1, "n")]
+    landed = spark.createDataFrame(rows, "url string, landed int, body string").repartition(5)
+    got = {r.url: r.body for r in landings.newest(landed, ["url"]).collect()}
+    assert len(got) == 4 and got["a"] in ("x", "y") and (got["b"], got["c"], got[None]) == ("p", "r", "n")
+    again = {r.url: r.body for r in landings.newest(landed.repartition(2), ["url"]).collect()}
+    assert again == got
+    only = landings.newest(landed, ["url"], wanted=spark.createDataFrame([("c",), ("c",), ("d",)], "url string"))
+    assert [tuple(r) for r in only.collect()] == [("c", 0, "r")]
+    assert landings.newest(landed.where("false"), ["url"]).count() == 0
+
+
+def test_changes_between_runs(spark):
+    rows = [("u", 10, 1, "a"), ("u", 20, 2, "a"), ("u", 30, 3, "b"), ("u", 30, 9, "c"), ("v", 10, 1, "x"), ("v", 30, 3, "x"), ("w", 20, 1, None), (None, 10, 1, "n")]
+    landed = spark.createDataFrame(rows, "url string, run int, landed int, body string").repartition(3)
+    got = sorted((r.run, r.url, r.state) for r in landings.changes(landed).collect())
+    assert got == [(10, "u", "new"), (10, "v", "new"), (20, "u", "same"), (20, "v", "gone"), (20, "w", "new"), (30, "u", "changed"), (30, "v", "new"), (30, "w", "gone")]
+    assert landings.changes(landed.where("false")).count() == 0
 
 
 def test_long_values_stay_whole(spark):
