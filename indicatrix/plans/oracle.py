@@ -855,10 +855,13 @@ ORACLE["custom_types"] = on(
 ORACLE["stream_extract"] = on(
     INDICATORS, "SELECT doc_id, type, derived, pos, value FROM indicators WHERE source = 'documents'"
 )
-_EVENTS = f"events_text AS (SELECT {Q.EVENT_TEXT} AS text FROM events), live AS (SELECT {refang('text')} AS raw FROM events_text)"
+_EVENTS = (
+    f"events_text AS (SELECT {Q.EVENT_TEXT} AS text, CAST(epoch(CAST(ts AS TIMESTAMP)) AS BIGINT) AS sec FROM events), "
+    f"live AS (SELECT {refang('text')} AS raw, sec - sec % 604800 AS since FROM events_text)"
+)
 ORACLE["stream_dedup"] = on(
     _EVENTS,
-    f"SELECT DISTINCT 'ipv4' AS type, value FROM (SELECT unnest({_find('raw', IPV4)}) AS value FROM live) WHERE {valid_ipv4('value')} UNION ALL "
-    f"SELECT DISTINCT 'url', value FROM (SELECT unnest({_find('raw', URL, 'i')}) AS value FROM live) UNION ALL "
-    f"SELECT DISTINCT 'domain', value FROM (SELECT unnest({_find('raw', DOMAIN)}) AS value FROM live) WHERE {valid_domain('value')}",
+    f"SELECT DISTINCT since, 'ipv4' AS type, value FROM (SELECT since, unnest({_find('raw', IPV4)}) AS value FROM live) WHERE {valid_ipv4('value')} UNION ALL "
+    f"SELECT DISTINCT since, 'url', value FROM (SELECT since, unnest({_find('raw', URL, 'i')}) AS value FROM live) UNION ALL "
+    f"SELECT DISTINCT since, 'domain', value FROM (SELECT since, unnest({_find('raw', DOMAIN)}) AS value FROM live) WHERE {valid_domain('value')}",
 )

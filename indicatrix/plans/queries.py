@@ -725,5 +725,7 @@ def stream_dedup(spark, sf_dir):
         "ts",
         F.expr(EVENT_TEXT).alias("text"),
     )
-    rows = stream.stream_dedup(stream.stream_extract(docs), "ts", "60 days")
-    return _finished(spark, rows.select("type", "value"), "stream-dedup")
+    rows = stream.stream_dedup(stream.stream_extract(docs), "ts", "7 days").selectExpr("unix_seconds(since) AS since", "type", "value")
+    out = scratch(spark, "stream-dedup")
+    stream.write_updates(rows, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").drop("batch")
