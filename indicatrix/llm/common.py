@@ -106,11 +106,18 @@ def bits_at(kept: bytes, places: np.ndarray) -> np.ndarray:
 
 
 _SHIPPED: set[str] = set()
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20  # of the rows that go to a Python worker together; Spark's own limit is a number of rows
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Spark send this package to its executors, once for each application."""
+    """Let Spark send this package to its executors, once for each application, and texts to Python in small batches.
+
+    A session that names the bytes of a batch keeps them.
+    """
     context = spark.sparkContext
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     if context.applicationId not in _SHIPPED:
         package = pathlib.Path(__file__).parents[1]
         folder = tempfile.TemporaryDirectory(prefix="indicatrix-package-")

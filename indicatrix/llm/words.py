@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 4 << 20  # bytes of text hashed together; a longer text is a chunk of its own
+CHUNK = 1 << 20  # bytes of text hashed together; a longer text is a chunk of its own
 BLOCK = 1 << 18  # bytes whose prefix sums are held at once; a longer word is a block of its own
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
