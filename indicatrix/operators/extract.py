@@ -103,6 +103,29 @@ def extract_indicators(
     return rows
 
 
+# check -> where its candidates are found, and the check of one.
+_CHECKS = {
+    "is_ipv4": (X.ipv4_matches("_raw"), V.is_ipv4("v")),
+    "is_ipv6": (X.ipv6_matches("_raw"), V.is_ipv6("v")),
+    "hash_type": (X.hash_matches("_raw"), f"{V.hash_type('v')} IS NOT NULL"),
+    "is_cve": (X.cve_matches("_raw"), V.is_cve("v")),
+    "is_indicator_domain": (X.domain_matches("_raw"), V.is_indicator_domain("v")),
+    "is_domain_name": (X.domain_matches("_raw"), V.is_domain_name("v")),
+    "is_email": (X.email_matches("text"), V.is_email("v")),
+    "is_url": (X.url_matches("_raw"), V.is_url("v")),
+}
+
+
+def count_checks(docs: DataFrame, do_refang: bool = True) -> DataFrame:
+    """``check, valid, n``: how many of the candidates that a corpus holds pass each check, in one pass over the texts."""
+    parts = [
+        f"transform({found}, v -> named_struct('check', '{name}', 'valid', coalesce({valid}, false)))"
+        for name, (found, valid) in _CHECKS.items()
+    ]
+    rows = _raw_text(docs, do_refang).selectExpr(f"inline(concat({', '.join(parts)}))")
+    return rows.groupBy("check", "valid").agg(F.count(F.lit(1)).alias("n"))
+
+
 def extract_wide(
     docs: DataFrame,
     run_ts: str | None = None,

@@ -497,6 +497,43 @@ _CHECKS = {
     "validate_email": r"regexp_matches(value, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$')",
     "validate_url": r"regexp_matches(value, '^(https?|ftp)://', 'i')",
 }
+_COUNTED = {
+    "is_ipv4": ("h_ipv4", "validate_ipv4"), "is_ipv6": ("h_ipv6", "validate_ipv6"), "hash_type": ("h_hash", "classify_hash"),
+    "is_cve": ("h_cve", "validate_cve"), "is_indicator_domain": ("h_domain", "domain_filter"),
+    "is_domain_name": ("h_domain", "validate_domain_basic"), "is_email": ("h_email", "validate_email"), "is_url": ("h_url", "validate_url"),
+}
+ORACLE["validation_counts"] = on(
+    HITS,
+    "SELECT \"check\", valid, count(*) AS n FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS \"check\", coalesce(CAST({_CHECKS[check]}{' IS NOT NULL' if name == 'hash_type' else ''} AS BOOLEAN), false) AS valid FROM {source}"
+        for name, (source, check) in _COUNTED.items()
+    )
+    + ") GROUP BY ALL",
+)
+_SCALARS = {
+    "hash_type": "classify_hash", "is_ipv4": "validate_ipv4", "is_ipv6": "validate_ipv6", "is_indicator_domain": "domain_filter",
+    "is_domain_name": "validate_domain_basic", "is_cve": "validate_cve", "is_email": "validate_email", "is_url": "validate_url",
+}
+ORACLE["udf_scalars"] = on(
+    f"v AS ({D.for_duckdb(D.candidates([shape for shapes in Q.CANDIDATES.values() for shape in shapes]))})",
+    f"SELECT doc_id, value, {refang(chr(39) + 'at hxxp://' + chr(39) + ' || value || ' + chr(39) + '[.]com' + chr(39))} AS refang_out, "
+    f"{_HOST.replace('(value,', '(u,')} AS url_host_out, {defang('value')} AS defang_out, "
+    + ", ".join(f"{_CHECKS[check]} AS {name}_out" for name, check in _SCALARS.items())
+    + " FROM (SELECT *, 'hxxps://' || value || ':80/x?y=1' AS u FROM v)",
+)
+_TABLES = {
+    "ipv4_in": ("h_ipv4", "value", valid_ipv4("value")), "ipv6_in": ("h_ipv6", "value", "true"), "domain_in": ("h_domain", "value", valid_domain("value")),
+    "url_in": ("h_url", "value", "true"), "email_in": ("h_email", "value", "true"), "cve_in": ("h_cve", "value", "true"),
+    "mitre_in": ("h_mitre", "value", "true"), "hash_in": ("h_hash", "lower(value)", "true"),
+}
+ORACLE["udf_tables"] = on(
+    HITS,
+    " UNION ALL ".join(
+        f"SELECT source, doc_id, '{name}' AS \"function\", pos, {value} AS value FROM {source} WHERE {valid}"
+        for name, (source, value, valid) in _TABLES.items()
+    ),
+)
 for _name, _check in _CHECKS.items():
     ORACLE[_name] = (
         f"SELECT doc_id, value, {_check} AS result FROM ({D.for_duckdb(D.candidates(Q.CANDIDATES[_name]))})"

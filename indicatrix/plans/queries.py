@@ -13,7 +13,7 @@ from indicatrix.functions.constants import PROVIDERS
 from indicatrix.functions.normalize import defang, refang
 from indicatrix.operators import dedup, report
 from indicatrix.operators import reputation as rep
-from indicatrix.operators.extract import extract_custom, extract_indicators, extract_wide, indicator_set, resolve_types
+from indicatrix.operators.extract import count_checks, extract_custom, extract_indicators, extract_wide, indicator_set, resolve_types
 from indicatrix.plans import derived as D
 from indicatrix.plans.tables import scratch, stored, table
 from indicatrix.sinks import csvfile, jsonfile, reports, stix
@@ -478,6 +478,11 @@ def _check_query(name: str) -> None:
 for _name in CHECKS:
     _check_query(_name)
 
+@query
+def validation_counts(spark, sf_dir):
+    return count_checks(corpus(spark, sf_dir))
+
+
 SET_QUERIES = {f"xset_{kind}": kind for kind in ("ip", "domain", "url", "email", "hash", "cve")}
 
 
@@ -683,6 +688,29 @@ def udf_surface(spark, sf_dir):
     )
 
 
+@query
+def udf_scalars(spark, sf_dir):
+    """The scalar SQL functions on the candidates of all checks."""
+    sqlfuncs.register(spark)
+    shapes = [shape for shapes in CANDIDATES.values() for shape in shapes]
+    values = D.for_spark(spark, sf_dir, D.candidates(shapes))
+    columns = ", ".join(f"{name}(value) AS {name}_out" for name in sqlfuncs.SCALAR_FUNCTIONS if name not in ("refang", "url_host"))
+    url = "concat('hxxps://', value, ':80/x?y=1')"
+    return spark.sql(f"SELECT doc_id, value, refang(concat('at hxxp://', value, '[.]com')) AS refang_out, url_host({url}) AS url_host_out, {columns} FROM {{values}}", values=values)
+
+
+@query
+def udf_tables(spark, sf_dir):
+    """The SQL functions that give the matches in a text, on all texts."""
+    sqlfuncs.register(spark)
+    docs = corpus(spark, sf_dir)
+    parts = [
+        f"SELECT d.source, d.doc_id, '{name}' AS function, m.pos, m.value FROM (SELECT source, doc_id, {'text' if name == 'email_in' else 'refang(text)'} AS raw FROM {{docs}}) d, LATERAL {name}(d.raw) m"
+        for name in sqlfuncs.TABLE_FUNCTIONS
+    ]
+    return spark.sql(" UNION ALL ".join(parts), docs=docs)
+
+
 WALLET = {"type": "order_file", "pattern": r"\bp\d+\.exe\b", "validator": "length(value) > 6", "normaliser": "upper(value)"}
 VERSION = {"type": "version", "pattern": r"\bv\d+\.\d+\b"}
 
