@@ -2,13 +2,14 @@
 
 A frequent-items sketch (Misra-Gries with a bounded number of counters) names digests that may be
 frequent. An exact count verifies them, and the winners, at most ``MAX_WINNERS`` rows, are broadcast:
-their copies are settled where they are read and never shuffled. All other digests meet in a window,
-where no group is large. A frequent digest that the sketch misses is only slower, never wrong.
+their copies are settled where they are read and never shuffled. All other digests are aggregated, which
+combines copies before the shuffle, and joined back, which Spark splits where a digest has very many rows.
+So no group has to fit into a task, and a frequent digest that the sketch misses is only slower.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from indicatrix.llm.common import cut, identified, whole
@@ -58,10 +59,11 @@ def exact_dedup(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) -
     winners = cut(winners)
     marked = hashed.join(F.broadcast(winners), "text_sha256", "left")
     rest = marked.where(F.col("group_size").isNull()).select("text_sha256", "doc_id", "row")
-    same = Window.partitionBy("text_sha256")
-    rest = rest.select(
-        "text_sha256", "doc_id", "row", F.max(F.struct("doc_id", "row")).over(same).alias("best"), F.count(F.lit(1)).over(same).alias("group_size")
-    )
+    # Of most digests there is one row, which is settled by its own aggregate. The others are joined back.
+    groups = cut(rest.groupBy("text_sha256").agg(best, F.count(F.lit(1)).alias("group_size")))
+    alone = groups.where("group_size = 1").select("text_sha256", "best.doc_id", "best.row", "best", "group_size")
+    copied = rest.join(groups.where("group_size > 1"), "text_sha256").select("text_sha256", "doc_id", "row", "best", "group_size")
+    rest = alone.unionAll(copied)
     settled = marked.where(F.col("group_size").isNotNull()).select("text_sha256", "doc_id", "row", "best", "group_size")
     return settled.unionAll(rest).select(
         "doc_id",

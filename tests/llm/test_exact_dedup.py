@@ -38,6 +38,15 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted((str(r.doc_id), r.text, r.kept, r.row) for r in stays) == [("5", "a", "x", 1), ("None", "b", "x", 1)]
 
 
+def test_no_group_has_to_fit_a_task(spark, monkeypatch):
+    """Also where the sketch names nothing, no window gathers the rows of a digest."""
+    monkeypatch.setattr(exact_dedup, "MAX_WINNERS", 1)
+    rows = [(i, f"text {i % 3}", "x", 1) for i in range(600)] + [(1000 + i, f"own {i}", "x", 1) for i in range(50)]
+    found = exact_dedup.exact_dedup(spark.createDataFrame(rows, SCHEMA).repartition(5), frequent=2)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in found.collect()) == plain(rows)
+
+
 def test_clashing_columns(spark):
     schema = "doc_id long, text string, kept_id long, kept_sha256 string, indicatrix_text_sha256 string, indicatrix_id string, text_sha256 string"
     rows = [(i, f"t{i % 3}", 7, "s", "own", "r", "b") for i in range(30)]
