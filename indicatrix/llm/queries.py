@@ -76,7 +76,10 @@ def op4_language_id(spark, sf_dir):
 
 @query
 def op5_secret_scan(spark, sf_dir):
-    return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+    """A second run over all documents, since when one rule has a new version: the others are in the ledger."""
+    docs, rules = table(spark, sf_dir, "documents"), secret_scan.RULES
+    earlier = [*rules[:-1], rules[-1]._replace(version=rules[-1].version - 1)]
+    return secret_scan.secret_spans(docs, secret_scan.update(docs, rules=earlier))
 
 
 HARD_CHAT = r"\### Assistant: </turn> ok"

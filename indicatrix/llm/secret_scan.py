@@ -26,15 +26,20 @@ BASE = [
 ADDED = [
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+", "contains({t}, 'eyJ')"),
     Rule("prefixed", r"(?<![A-Za-z0-9_])(?:gh[opsu]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_live_[A-Za-z0-9]{16,}+)", "{t} rlike 'gh[opsu]_|xox[abprs]-|sk_live_'"),
-    Rule("key_block", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "contains({t}, 'PRIVATE KEY-----')"),
+    Rule("key_block", r"-----BEGIN [A-Z ]*?PRIVATE KEY-----", "contains({t}, 'PRIVATE KEY-----')"),
 ]
 RULES = BASE + ADDED
 LEDGER = f"blob string, rule string, version int, spans array<{SPAN}>"
 
 
-def blobs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``blob, text``, each text once; copies are combined before the shuffle. A null text is empty."""
-    return docs.select(F.sha2(whole(text), 256).alias("blob"), whole(text).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+def blobs(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """``blob, text``, each blob once; copies are combined before the shuffle. A null text is empty.
+
+    Texts that no rule's guard lets through hold nothing, so their blobs go without them.
+    """
+    rows = docs.select(F.sha2(whole(text), 256).alias("blob"), whole(text).alias("text"))
+    may = " OR ".join(f"({rule.guard.format(t='text')})" for rule in rules) or "false"
+    return rows.select("blob", F.expr(f"IF({may}, text, '') AS text")).groupBy("blob").agg(F.first("text").alias("text"))
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] = RULES, text: str = "text") -> DataFrame:
@@ -42,7 +47,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] = R
 
     To go on, append them to the ledger. A blob that has nothing has rows too, with no spans.
     """
-    held = blobs(docs, text)
+    held = blobs(docs, rules, text)
     if ledger is None:
         held = held.withColumn("seen", F.expr("CAST(array() AS array<string>)"))
     else:
@@ -59,10 +64,21 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] = R
     return held.select("blob", F.expr(f"filter(array({rows}), r -> r IS NOT NULL)").alias("rows")).selectExpr("blob", "inline(rows)")
 
 
+def update(docs: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] = RULES, text: str = "text") -> DataFrame:
+    """``ledger`` with the rows it lacks for the texts of ``docs``, which are scanned once and stored.
+
+    The next run takes the result as its ledger: it scans new blobs, and known ones for rules with a
+    version the ledger does not have. An empty table adds nothing.
+    """
+    new = cut(scan(docs, ledger, rules, text))
+    return new if ledger is None else ledger.unionByName(new)
+
+
 def findings(docs: DataFrame, ledger: DataFrame, rules: list[Rule] = RULES, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``findings``: a map from the kind of a rule to its spans in that row's text.
 
-    Only ledger rows of the rules' versions count; kinds without spans are left out.
+    Only ledger rows of the rules' versions count; kinds without spans are left out. A column of the name
+    ``findings`` is replaced.
     """
     current = ledger.join(F.broadcast(ledger.sparkSession.createDataFrame([(r.kind, r.version) for r in rules], "rule string, version int")), ["rule", "version"])
     by_blob = current.where("size(spans) > 0").dropDuplicates(["blob", "rule"]).groupBy("blob")
@@ -76,10 +92,10 @@ def secret_spans(docs: DataFrame, ledger: DataFrame | None = None, text: str = "
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of every row; places are code points, ends exclusive.
 
     Null texts are empty; repeated rows each have their row; other columns are not looked at; an empty
-    table gives an empty result. ``base_sha256`` and the counts are of the base rules alone.
+    table gives an empty result. ``base_sha256`` and the counts are of the base rules alone. What ``ledger``
+    knows is not scanned again; see :func:`update` to keep what this run adds.
     """
-    new = scan(docs.select(F.col(text).alias("text")), ledger)
-    known = new if ledger is None else new.unionByName(ledger)
+    known = update(docs.select(F.col(text).alias("text")), ledger)
     rows = findings(docs.select("doc_id", F.col(text).alias("text")), known)
     kinds = [r.kind for r in RULES]
 
