@@ -53,7 +53,7 @@ LIKE = [
     Rule("address", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "{t} rlike r'[(\\[]at[)\\]]'"),
 ]
 
-ROUNDS = 3
+STILL = 6  # decimal places of scores that no round changes any more
 MIN_SEEDS = 3.0  # the weight of different good instances that a pattern needs
 CONFIDENT = 0.6  # the least score of a pattern that is used, and of a look-alike that is added
 
@@ -64,7 +64,7 @@ _MENTION = "struct<kind: string, start: int, end: int, instance: string, pattern
 def _mentions(spans: str, kind: str) -> str:
     """Spans as mentions: an identifier without its punctuation, behind the last two words before it."""
     instance = "lower(regexp_replace(s.value, r'[^\\p{L}\\p{N}@]', ''))"
-    pattern = "lower(regexp_extract(s.before, r'(\\S+\\s+\\S+)\\s*$', 1))"
+    pattern = "lower(s.before)"
     return f"transform({spans}, s -> named_struct('kind', {kind}, 'start', s.start, 'end', s.end, 'instance', {instance}, 'pattern', {pattern}))"
 
 
@@ -82,28 +82,31 @@ def read(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def confident_patterns(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """``pattern, kind, score`` after ``ROUNDS`` rounds over ``edges(pattern, instance, kind)``.
+    """``pattern, kind, score`` of ``edges(pattern, instance, kind)``, in rounds until the scores stand still.
 
     ``kind`` of an edge is null for look-alikes. A pattern's score for a kind is the weight of its good
     instances over the number of all its instances plus one; it counts from ``MIN_SEEDS`` on. A
-    look-alike's score is the chance that one of its patterns is right; a seed's is one.
+    look-alike's score is the chance that one of its patterns is right; a seed's is one. Scores only grow,
+    and the driver sees two numbers a round.
     """
     sizes = edges.select("pattern", "instance").distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"))
     seeds = edges.where("kind IS NOT NULL").select("instance", "kind").distinct().withColumn("good", F.lit(1.0))
     links = edges.select("pattern", "instance").distinct()
     like = edges.where("kind IS NULL").select("pattern", "instance").distinct().join(seeds.select("instance").distinct(), "instance", "left_anti")
     sizes, seeds, links, like = (scratch.keep(t) for t in (sizes, seeds, links, like))
-    good = seeds
-    for turn in range(ROUNDS):
+    good, before = seeds, None
+    while True:
         weight = links.join(good, "instance").groupBy("pattern", "kind").agg(F.sum("good").alias("weight"))
         scored = weight.where(F.col("weight") >= MIN_SEEDS).join(sizes, "pattern")
         scored = scored.select("pattern", "kind", (F.col("weight") / (F.col("instances") + 1)).alias("score"))
         scored = scratch.keep(scored.where(F.col("score") >= CONFIDENT))
-        if turn < ROUNDS - 1:
-            reached = like.join(scored, "pattern").groupBy("instance", "kind")
-            reached = reached.agg((1 - F.exp(F.sum(F.log1p(-F.col("score"))))).alias("good"))
-            good = seeds.unionByName(scratch.keep(reached))
-    return scored
+        state = scored.agg(F.count(F.lit(1)), F.sum(F.round("score", STILL).cast("decimal(38,6)"))).first()
+        if state == before or not state[0]:
+            return scored
+        before = state
+        reached = like.join(scored, "pattern").groupBy("instance", "kind")
+        reached = reached.agg((1 - F.exp(F.sum(F.log1p(-F.col("score"))))).alias("good"))
+        good = seeds.unionByName(scratch.keep(reached))
 
 
 def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:

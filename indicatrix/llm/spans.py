@@ -7,7 +7,8 @@ from typing import NamedTuple
 MARK = "\u0001"  # stands around matches while a text is split
 SPAN = "struct<start: int, end: int, value: string, before: string>"
 BLOCK = 256  # gaps and matches walked together; even, so each block begins with a gap
-CONTEXT = 80  # characters before a match that are kept with it
+# The last two words of a text, read backwards: one step over what they take, however long the text is.
+LAST_WORDS = r"reverse(regexp_extract(reverse({p}), r'^\s*+(\S++\s++\S++)', 1))"
 
 
 class Rule(NamedTuple):
@@ -35,6 +36,8 @@ def raw(pattern: str) -> str:
 def found(rule: Rule, text: str) -> str:
     """All matches in a text, leftmost and non-overlapping, as ``array<SPAN>`` in code points, ends exclusive.
 
+    ``before`` has the two words before a match, whole, if there are two since the match before.
+
     The mark in a text counts as another control character, which no pattern names.
     """
     clean = f"translate({text}, '{MARK}', '\u0002')"
@@ -50,7 +53,7 @@ def found(rule: Rule, text: str) -> str:
         f"aggregate({block},"
         f" named_struct('at', b[c], 'inside', false, 'before', '', 'out', CAST(array() AS array<{SPAN}>)),"
         f" (s, p) -> named_struct('at', s.at + length(p), 'inside', NOT s.inside,"
-        f" 'before', IF(s.inside, s.before, right(p, {CONTEXT})),"
+        f" 'before', IF(s.inside, s.before, {LAST_WORDS.format(p='p')}),"
         f" 'out', IF(s.inside AND ({rule.keep.format(m='p')}), concat(s.out, array({span})), s.out)),"
         f" s -> s.out)"
     )

@@ -5,6 +5,7 @@ import random
 import re
 
 from indicatrix.llm import personal_data
+from indicatrix.llm.common import Scratch
 from indicatrix.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
@@ -112,6 +113,65 @@ def test_look_alikes_in_long_runs_take_one_pass(spark):
     assert [r.n_added for r in personal_data.personal_data(docs).collect()] == [0] * len(texts)
 
 
+def rounds(edges):
+    """(pattern, kind) -> score, by plain loops."""
+    instances, kinds, like = {}, {}, {}
+    for pattern, instance, kind in edges:
+        instances.setdefault(pattern, set()).add(instance)
+        if kind:
+            kinds.setdefault(instance, set()).add(kind)
+    for pattern, instance, kind in edges:
+        if not kind and instance not in kinds:
+            like.setdefault(instance, set()).add(pattern)
+    good = {(i, k): 1.0 for i, ks in kinds.items() for k in ks}
+    before = None
+    while True:
+        scores = {}
+        for pattern, held in instances.items():
+            for kind in personal_data.KINDS:
+                weight = sum(good.get((i, kind), 0.0) for i in held)
+                if weight >= personal_data.MIN_SEEDS and weight / (len(held) + 1) >= personal_data.CONFIDENT:
+                    scores[pattern, kind] = weight / (len(held) + 1)
+        if not scores or before and scores.keys() == before.keys() and all(abs(scores[k] - before[k]) < 1e-9 for k in scores):
+            return scores
+        before = scores
+        for instance, patterns in like.items():
+            for kind in personal_data.KINDS:
+                wrong = 1.0
+                for pattern in patterns:
+                    wrong *= 1 - scores.get((pattern, kind), 0.0)
+                if wrong < 1:
+                    good[instance, kind] = 1 - wrong
+
+
+def test_scores_against_plain_rounds(spark):
+    """Patterns that only become confident by what others reached, over random graphs."""
+    draw = random.Random(51)
+    edges = set()
+    for p in range(60):
+        kind = draw.choice(personal_data.KINDS)
+        for _ in range(draw.randint(1, 8)):
+            edges.add((f"p{p}", f"{kind}{draw.randrange(25)}", kind))
+        for _ in range(draw.randint(0, 3)):
+            edges.add((f"p{p}", f"like{draw.randrange(40)}", None))
+    chain = [("a", f"s{i}", "phone") for i in range(9)] + [("a", "x1", None)] + [("b", f"t{i}", "phone") for i in range(3)] + [("b", "x1", None), ("b", "x2", None)]
+    edges |= set(chain)
+    rows = spark.createDataFrame(sorted(edges, key=str), "pattern string, instance string, kind string").repartition(4)
+    with Scratch(spark) as scratch:
+        got = {(r.pattern, r.kind): r.score for r in personal_data.confident_patterns(rows, scratch).collect()}
+    want = rounds(sorted(edges, key=str))
+    assert got.keys() == want.keys() and len(want) > 10
+    assert all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_contexts_are_whole_words(spark):
+    """Long words with equal ends are different patterns."""
+    ends = "x" * 100
+    texts = [f"{c}{ends} me +1 555 010 {1000 + i}" for i, c in enumerate("abcdefgh")] + [f"z{ends} me 555-0109-77"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_added for r in personal_data.personal_data(docs).collect()}[8] == 0
+
+
 def test_few_seeds_say_nothing(spark):
     texts = ["ring the number +1 555 010 1000", "ring the number 555-0109-77", "ring the number 555-0109-78"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
