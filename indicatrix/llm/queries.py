@@ -159,6 +159,42 @@ def op11_periodic_runs(spark, sf_dir):
     )
 
 
+# CRC-32 of a text's UTF-8 bytes: a table of 256 remainders by rule, then a step for each byte.
+_CRC_TABLE = (
+    "SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: "
+    "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc"
+)
+
+
+def _crc32(text: str) -> str:
+    """The CRC-32 of a text beside a column ``crc`` with the table."""
+    octets = f"list_transform(range(strlen({text})), lambda k: CAST('0x' || substr(hex(encode({text})), 2 * k + 1, 2) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {octets}), lambda c, o: xor(c >> 8, crc[1 + (xor(c, o) & 255)])))"
+
+
+ORACLE["op11_periodic_runs"] = rf"""
+WITH t AS ({_CRC_TABLE}),
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_crc32('CAST(doc_id AS VARCHAR)')} AS h FROM documents, t),
+e AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
+f AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM e),
+v AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+             THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END)
+             ELSE w END AS w FROM f),
+words AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM v),
+pairs AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY doc_id, start, length),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM v LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query
 def op12_spelling_variants(spark, sf_dir):
     """The words of all documents, of which some lack a letter, with the forms they are variants of."""
@@ -169,6 +205,30 @@ def op12_spelling_variants(spark, sf_dir):
     return spelling.variants(docs.selectExpr("IF(h % 199 = 0, concat(left(run, at), substring(run, at + 2)), run) AS word"))
 
 
+ORACLE["op12_spelling_variants"] = rf"""
+WITH RECURSIVE t AS ({_CRC_TABLE}),
+found AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+lower_runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM found),
+counted AS (SELECT doc_id, run, count(*) AS n FROM lower_runs WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc32("(doc_id || ':' || run)")} AS h FROM counted, t),
+planted AS (SELECT n, CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM planted WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+places AS (SELECT word, n, unnest(range(length(word))) AS i FROM words),
+cuts AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM places),
+near AS (
+    SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN words b ON a.rest = b.word
+    UNION SELECT DISTINCT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word
+    UNION SELECT DISTINCT a.word, b.word, b.n FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word AND length(a.word) = length(b.word)),
+best AS (SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near FROM near
+         QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form,
+                 CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n FROM words w LEFT JOIN best b USING (word)),
+walk AS (SELECT word, word AS root FROM forms UNION ALL SELECT walk.word, f.form FROM walk JOIN forms f ON f.word = walk.root WHERE f.form IS NOT NULL),
+ends AS (SELECT walk.word, root FROM walk JOIN forms f ON f.word = walk.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+"""
+
+
 @query
 def op13_substring_dedup(spark, sf_dir):
     """Every document without the passages that one with a smaller id has too."""
