@@ -117,7 +117,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     """Language -> prototype of unit length, from all rows with a language.
 
     Each task bundles its own texts, so a task sends one vector for each of its languages; their sum
-    reaches the driver: ``DIMENSIONS`` numbers a language, whatever the number of texts.
+    reaches the driver: ``DIMENSIONS`` numbers a language, whatever the number of texts. Rows without a
+    language and null texts teach nothing, repeated rows count each time, and an empty table gives no prototypes.
     """
 
     def bundle(batches):
@@ -145,7 +146,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
 
     ``score`` is the cosine of the text and the prototype, 0 if it is negative; of equal cosines the
     first name stays. A null text or one without letters is ``und`` with score 0, and so is every text
-    if nothing was learnt. All other columns stay; a column of the name ``language`` is replaced.
+    if nothing was learnt. Repeated rows get the same, an empty table stays empty. All other columns stay; a
+    column of the name ``language`` is replaced.
     """
     names = [*prototypes]
     table = np.stack([prototypes[name] for name in names], axis=1).astype(np.float32) if names else np.zeros((DIMENSIONS, 0), np.float32)
@@ -172,5 +174,5 @@ def held_out() -> F.col:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``language``, learnt from its rows that are not held out."""
+    """``docs`` with ``language``, learnt from its rows that are not held out. An empty table stays empty; see :func:`predict`."""
     return predict(docs, learn(docs.where(~held_out())))

@@ -100,8 +100,8 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", count: str = "n
     """``docs`` with a bigint column ``n_tokens``: the tokens of each whole text.
 
     The vocabulary file gives pieces and scores; a character that no piece covers counts as its UTF-8
-    bytes where the vocabulary has byte pieces, else as one token. A null or empty text has no tokens.
-    All other columns stay; a column of the name ``n_tokens`` is replaced.
+    bytes where the vocabulary has byte pieces, else as one token. A null or empty text has no tokens;
+    repeated rows are counted each, and an empty table stays empty. All other columns stay; a column of the name ``n_tokens`` is replaced.
     """
 
     @F.arrow_udf("bigint")

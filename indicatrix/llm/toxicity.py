@@ -112,8 +112,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
 
     At most ``TRAIN_ROWS`` labelled documents are used; they are few enough to broadcast their labels,
     so ``docs`` are not shuffled. Rows without id or label are not used; of several labels of one id or
-    one text the larger counts. Words are counted in Spark; the driver gets the chosen words and, for
-    each training document, the places of its chosen words.
+    one text the larger counts, and equal texts count once. Words are counted in Spark; the driver gets the
+    chosen words and, for each training document, the places of its chosen words. From empty tables, or labels
+    that say the same of all, comes a model that says that of every text; of no label, that none is toxic.
     """
     sample = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = cut(sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS))
@@ -157,7 +158,8 @@ def grade(docs: DataFrame, model: Model, text: str = "text", into: str = "toxici
 
     ``severity`` is the expected grade, ``chances`` those of a grade above each threshold, ``toxic``
     whether grade 0 is the less likely side of the first one. Null texts are empty and have no words.
-    All other columns stay; a column of the name ``toxicity`` is replaced.
+    Rows are graded one by one, so repeated rows are graded alike and an empty table stays empty. All other
+    columns stay; a column of the name ``toxicity`` is replaced.
     """
 
     @F.arrow_udf("struct<severity: double, toxic: boolean, chances: array<double>>")
