@@ -27,6 +27,12 @@ REFANG_RULES = [
     (r"\([dD][oO][tT]\)", ".", True),
 ]
 
+# The same with fewer passes. The rules for a dot apply one after another, so a dot in square brackets
+# within round ones, and either within curly ones, is a dot; other nestings leave the outer pair.
+_DOT = r"\{(?:\.|\(\.\)|\[\.\]|\(\[\.\]\))\}|\((?:\.|\[\.\])\)|\[\.\]|\[[dD][oO][tT]\]|\([dD][oO][tT]\)"
+_AT = r"\[(?:@|[aA][tT])\]|\([aA][tT]\)"
+_PASSES = [*REFANG_RULES[:3], (_DOT, ".", True), (_AT, "@", True)]
+
 # The schemes that defanging disarms, in order, case-sensitive.
 DEFANG_SCHEMES = [("https://", "hxxps://"), ("http://", "hxxp://"), ("ftp://", "fxp://")]
 
@@ -62,11 +68,11 @@ def refang(x: str) -> str:
     """Turn defanged notation back into live indicators.
 
     One regular expression decides whether any rule can apply at all, so plain
-    text pays for a single pass and not for eleven; a text without any of the
+    text pays for a single pass and not for five; a text without any of the
     marks that open a rule does not even pay for that one.
     """
     out = x
-    for mark, live, is_regex in REFANG_RULES:
+    for mark, live, is_regex in _PASSES:
         if is_regex:
             out = f"regexp_replace({out}, {literal(mark)}, {literal(live)})"
         else:

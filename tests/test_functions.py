@@ -7,6 +7,7 @@ import pytest
 
 from indicatrix.functions import sqlfuncs
 from indicatrix.functions import validate as V
+from indicatrix.functions import normalize
 from indicatrix.functions.normalize import defang, lookup, refang, strip
 from tests import restated
 
@@ -131,3 +132,22 @@ def test_sql_functions(spark):
     assert (row.d, row.h, row.v6, row.dom) == ("evil[.]com", "md5", True, False)
     rows = spark.sql("SELECT m.* FROM (SELECT 'a 8.8.8.8 999.1.1.1 evil.com' AS t) d, LATERAL ipv4_in(d.t) m").collect()
     assert [(r.pos, r.value) for r in rows] == [(0, "8.8.8.8")]
+
+
+def test_refang_in_fewer_passes(spark):
+    """Nested and adjoining brackets give what the rules give one after another."""
+    import itertools
+    import random
+    import re
+
+    def one_after_another(text):
+        for mark, live, is_regex in normalize.REFANG_RULES:
+            text = re.sub(mark.replace(r"\x{17f}", "ſ"), live, text) if is_regex else text.replace(mark, live)
+        return text
+
+    draw = random.Random(61)
+    marks = ["[", "]", "(", ")", "{", "}", ".", "@", "at", "DOT", "dot", "://", "hxxp", "hXXps", "hxxpſ", "a"]
+    texts = ["".join(t) for t in itertools.product("[({", "[({.", "[(.", ".])", "])}", "])}")]
+    texts += ["".join(draw.choices(marks, k=draw.randint(1, 14))) for _ in range(4000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", f"{normalize.refang('t')} AS r").collect()
+    assert [r.r for r in rows] == [one_after_another(r.t) for r in rows]
