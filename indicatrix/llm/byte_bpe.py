@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from indicatrix.llm.common import whole
+from indicatrix.llm.common import release, whole
 
 REMEMBERED = 32 << 20  # bytes of pieces, and of pairs of tokens, held by a task; beyond it memory starts anew
 ENTRY = 200  # bytes that the interpreter takes for an entry besides a piece and its ids
@@ -145,6 +145,7 @@ class Codec:
         for memo in (self.pieces, self.compatible):
             memo.clear()
             memo.held = 0
+        release()
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))

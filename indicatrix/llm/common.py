@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import pathlib
 import tempfile
 import uuid
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,6 +107,14 @@ def bits_at(kept: bytes, places: np.ndarray) -> np.ndarray:
     return ((words[places >> 6] >> (places & 63)) & 1) == 1
 
 
+def release() -> None:
+    """Give freed memory back at the end of a task: an idle worker, or one that goes on with another stage, holds what it uses alone."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library; others need none
+    if trim is not None:
+        trim(0)
+
+
 _SHIPPED: set[str] = set()
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20  # of the rows that go to a Python worker together; Spark's own limit is a number of rows

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from indicatrix.llm.common import release
 from indicatrix.llm.words import mix
 
 DIMENSIONS = 1024
@@ -132,6 +133,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
                     sums[name] = sums.get(name, 0.0) + vectors[mine].sum(axis=0)
         for name, vector in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": [name] * DIMENSIONS, "place": np.arange(DIMENSIONS), "value": vector})
+        release()
 
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang IS NOT NULL")
     sums = rows.mapInArrow(bundle, "lang string, place long, value double").groupBy("lang", "place").agg(F.sum("value").alias("value"))
@@ -152,7 +154,6 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     names = [*prototypes]
     table = np.stack([prototypes[name] for name in names], axis=1).astype(np.float32) if names else np.zeros((DIMENSIONS, 0), np.float32)
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
     def nearest(texts: pa.Array) -> pa.Array:
         found, scores = [], []
         for _, chunk in chunked(texts):
@@ -165,7 +166,14 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
                 scores.append(0.0 if best is None else float(min(max(row[best], 0.0), 1.0)))
         return pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    return docs.withColumn(into, nearest(F.col(text)))
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def named(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            yield from map(nearest, batches)
+        finally:
+            release()
+
+    return docs.withColumn(into, named(F.col(text)))
 
 
 def held_out() -> F.col:

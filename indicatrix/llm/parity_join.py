@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from indicatrix.llm import words
-from indicatrix.llm.common import FILTER_BITS, Scratch, bit_filter, bits_at, cut
+from indicatrix.llm.common import FILTER_BITS, Scratch, bit_filter, bits_at, cut, release
 from indicatrix.llm.components import connected
 
 WIDTH = 5  # words of a shingle
@@ -143,8 +143,11 @@ def says_little(owners: np.ndarray, what: np.ndarray, band: np.ndarray) -> np.nd
 
 def _mapped(rows: DataFrame, one_batch: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            yield from one_batch(batch)
+        try:
+            for batch in batches:
+                yield from one_batch(batch)
+        finally:
+            release()
 
     return rows.mapInArrow(run, schema)
 
