@@ -27,7 +27,9 @@ WIDTH = 13  # words of a window
 INNER = 5  # words of an anchor
 ROWS = 2  # of the sketch
 MOST_CELLS = 1 << 28  # of the sketch: 32 MiB are broadcast at most
-SHARD = 1 << 16  # cells that are merged together
+LEAST_CELLS = 1 << 16
+SHARDS = 1 << 12  # of any sketch; the cells of one are merged together
+HELD = 1 << 21  # cells that a task notes before it sorts them and hands them on
 CHARS = 4  # of the texts for each cell
 LAST = (1 << 63) - 1  # stands for a null doc_id
 
@@ -62,32 +64,53 @@ def cells_of(anchors: np.ndarray, cells: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, cells: int, width: int) -> DataFrame:
-    """``shard, places``: the cells that each batch of texts counts in, a document once for each anchor."""
+    """``shard, places``: the cells that each task's texts count in, a document once for each anchor.
+
+    A task notes cells and hands them on with one row for each shard, so rows grow with the tasks alone.
+    """
+    size = shard_size(cells)
+
+    def noted(text, anchor):
+        order = np.lexsort((anchor, text))
+        text, anchor = text[order], anchor[order]
+        once = np.ones(len(text), bool)
+        once[1:] = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])
+        return cells_of(anchor[once], cells).ravel()
+
+    def handed_on(notes):
+        at = np.sort(np.concatenate(notes))
+        twice = np.zeros(len(at), bool)
+        twice[2:] = at[2:] == at[:-2]
+        at = at[~twice]  # two say as much as more
+        shard = at // size
+        begins = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(at) else np.zeros(0, int)
+        ends = np.append(begins[1:], len(at)).astype(np.int64)
+        raw = (at % size).astype(np.uint16).tobytes()
+        blobs = [raw[2 * low : 2 * high] for low, high in zip(begins.tolist(), ends.tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(shard[begins].astype(np.int32)), pa.array(blobs, pa.binary())], ["shard", "places"])
 
     def run(batches):
+        notes, held = [np.zeros(0, np.int64)], 0
         for batch in batches:
             for _, _, data, offsets in words.chunks(batch.column("text")):
                 text, _, _, anchor, _ = stretches(data, offsets, width)
-                order = np.lexsort((anchor, text))
-                text, anchor = text[order], anchor[order]
-                once = np.ones(len(text), bool)
-                once[1:] = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])
-                at = np.sort(cells_of(anchor[once], cells).ravel())
-                twice = np.zeros(len(at), bool)
-                twice[2:] = at[2:] == at[:-2]
-                at = at[~twice]  # two say as much as more
-                shard = at // SHARD
-                begins = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(at) else np.zeros(0, int)
-                ends = np.append(begins[1:], len(at)).astype(np.int64)
-                raw = (at % SHARD).astype(np.uint16).tobytes()
-                blobs = [raw[2 * low : 2 * high] for low, high in zip(begins.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(shard[begins].astype(np.int32)), pa.array(blobs, pa.binary())], ["shard", "places"])
+                notes.append(noted(text, anchor))
+                held += len(notes[-1])
+                if held > HELD:
+                    yield handed_on(notes)
+                    notes, held = [np.zeros(0, np.int64)], 0
+        yield handed_on(notes)
 
     return docs.select("text").mapInArrow(run, "shard int, places binary")
 
 
-def merged(parts: DataFrame) -> DataFrame:
-    """``shard, bits``: which cells of a shard count two or more. Rows come sorted, so a task holds one shard."""
+def shard_size(cells: int) -> int:
+    """Cells of a shard: at least a byte of bits, at most what 16 bits can number."""
+    return max(8, cells // SHARDS)
+
+
+def merged(parts: DataFrame, size: int) -> DataFrame:
+    """``shard, bits``: which cells of a shard of a ``size`` count two or more. Rows come sorted, so a task holds one shard."""
 
     def packed(shard, counts):
         bits = np.packbits(counts > 1, bitorder="little").tobytes()
@@ -102,9 +125,9 @@ def merged(parts: DataFrame) -> DataFrame:
                 if shards[low] != current:
                     if current is not None:
                         yield packed(current, counts)
-                    current, counts = int(shards[low]), np.zeros(SHARD, np.uint8)
+                    current, counts = int(shards[low]), np.zeros(size, np.uint8)
                 places = np.frombuffer(b"".join(batch.column("places")[low:high].to_pylist()), np.uint16)
-                counts = np.minimum(counts + np.bincount(places, minlength=SHARD), 2).astype(np.uint8)
+                counts = np.minimum(counts + np.bincount(places, minlength=size), 2).astype(np.uint8)
         if current is not None:
             yield packed(current, counts)
 
@@ -113,8 +136,9 @@ def merged(parts: DataFrame) -> DataFrame:
 
 def repeated_cells(docs: DataFrame, cells: int, width: int) -> np.ndarray:
     """One bit for each cell of the merged sketch; ``cells / 8`` bytes reach the driver."""
-    out = np.zeros((-(-cells // SHARD), SHARD // 8), np.uint8)
-    for batch in merged(sketched(docs, cells, width)).toArrow().to_batches():
+    size = shard_size(cells)
+    out = np.zeros((-(-cells // size), size // 8), np.uint8)
+    for batch in merged(sketched(docs, cells, width), size).toArrow().to_batches():
         for shard, bits in zip(batch.column("shard").to_pylist(), batch.column("bits")):
             out[shard] = np.frombuffer(bits.as_buffer(), np.uint8)
     return out.ravel()
@@ -153,7 +177,7 @@ def candidates(docs: DataFrame, kept, cells: int, width: int, windows: bool) ->
 def repeated_windows(docs: DataFrame, width: int, most_cells: int, scratch: Scratch) -> DataFrame:
     """``doc, key, start, size``: stretches of windows of ``docs(doc, key, text)`` that a smaller ``doc`` has too."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    cells = SHARD
+    cells = LEAST_CELLS
     while cells < min(chars // CHARS, most_cells):
         cells *= 2
     kept = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, cells, width))

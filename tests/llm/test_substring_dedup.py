@@ -59,7 +59,8 @@ def corpus(draw, n, letters=3000):
 @pytest.mark.parametrize("cells", [1 << 28, 1])
 def test_shared_passages(spark, monkeypatch, cells):
     """Also with a sketch that is full and rules nothing out."""
-    monkeypatch.setattr(substring_dedup, "SHARD", 1 << 16 if cells > 1 else 8)
+    monkeypatch.setattr(substring_dedup, "LEAST_CELLS", 1 << 16 if cells > 1 else 8)
+    monkeypatch.setattr(substring_dedup, "HELD", 1 << 21 if cells > 1 else 100)
     draw = random.Random(31)
     rows = corpus(draw, 150)
     rows += [(2_000_000 + i, text + " tail") for i, (_, text) in enumerate(rows[:40])]
@@ -103,6 +104,17 @@ def test_sketch_never_counts_too_little(spark):
     assert may[twice].all() and twice.any() and may[~twice].mean() < 0.05
 
 
+def test_sketch_rows_grow_with_tasks(spark):
+    """A task hands on one row for each shard, however many texts it has."""
+    draw = random.Random(34)
+    rows = corpus(draw, 120)
+    for copies in (1, 4):
+        docs = spark.createDataFrame([r for r in rows for _ in range(copies)], "doc_id long, text string").coalesce(2)
+        parts = substring_dedup.sketched(docs, 1 << 16, WIDTH)
+        assert 0 < parts.count() <= 2 * substring_dedup.SHARDS
+        assert parts.select("shard").distinct().count() <= parts.count()
+
+
 def test_query(spark):
     """The registered query against plain Python over the whole table."""
     import hashlib
