@@ -6,26 +6,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from indicatrix.operators.numbering import overall
+from indicatrix.plans.tables import stored
 
 
 def newest(landed: DataFrame, keys: list[str], at: str = "landed", wanted: DataFrame | None = None) -> DataFrame:
     """The rows of ``landed`` with the latest ``at`` of their ``keys``, one for each; a null ``at`` is the earliest.
 
     Of rows landed at the same time, the one with the largest hash of its other columns counts. Keys and
-    times come first and alone; ``wanted`` keys cut them. Only then are the other columns read, for the
-    rows that stay, and nothing wide is sorted or grouped but ties.
+    times come first and alone, and are stored; ``wanted`` keys cut them. Only then are the other columns
+    read, for the rows that stay, and nothing wide is grouped but ties.
     """
     per_time = landed.groupBy(*keys, at).agg(F.count(F.lit(1)).alias("_n"))
     latest = per_time.groupBy(*keys).agg(F.max(at).alias("_at"), F.coalesce(F.max_by("_n", at), F.max("_n")).alias("_n"))
     if wanted is not None:
         latest = latest.join(wanted.select(*keys).distinct(), keys, "left_semi")
     names = [f"_{key}" for key in keys]
-    latest = latest.toDF(*names, "_at", "_n")
+    latest = stored(latest.toDF(*names, "_at", "_n"), "latest")
     same = F.col(at).eqNullSafe(F.col("_at"))
     for key, name in zip(keys, names):
         same &= F.col(key).eqNullSafe(F.col(name))
     # One row for each key, unless some landed at the same time: those are few.
     alone = landed.join(latest.where("_n = 1"), same).select(*landed.columns)
+    if latest.where("_n > 1").isEmpty():
+        return alone
     ties = landed.join(latest.where("_n > 1"), same).select(*landed.columns)
     rest = [c for c in landed.columns if c not in keys]
     ties = ties.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.xxhash64(*rest)).alias("_row")).select(*keys, "_row.*")
