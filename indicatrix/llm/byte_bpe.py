@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from indicatrix.llm.common import release, whole
 
-REMEMBERED = 32 << 20  # bytes of pieces, and of pairs of tokens, held by a task; beyond it memory starts anew
+REMEMBERED = 64 << 20  # bytes of pieces, and of pairs of tokens, held by a task; beyond it memory starts anew
 ENTRY = 200  # bytes that the interpreter takes for an entry besides a piece and its ids
 SHORT = 48  # characters of the longest piece that is remembered
 AT_ONCE = 1 << 16  # ids that are decoded at once
