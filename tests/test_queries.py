@@ -42,3 +42,18 @@ def test_query(spark, con, name):
 def test_entry(spark):
     rows = entry.entry(spark)
     assert rows.columns == ["type", "value", "confidence", "source", "note"] and rows.take(1)
+
+
+def test_streams_read_tables_in_folders(spark, tmp_path):
+    """Larger tables are folders of files; a stream over one finds what the file gives."""
+    def texts(name):
+        return spark.range(40).selectExpr("id AS doc_id", "'see evil' || CAST(id AS STRING) || '.com at 10.0.0.' || CAST(id AS STRING) AS text")
+
+    rows = texts("documents")
+    one, many = tmp_path / "one", tmp_path / "many"
+    rows.coalesce(1).write.parquet(str(one / "parts"))
+    (part,) = (one / "parts").glob("part-*.parquet")
+    part.rename(one / "documents.parquet")
+    rows.repartition(3).write.parquet(str(many / "documents.parquet"))
+    found = [sorted(map(tuple, QUERIES["stream_extract"](spark, str(d)).collect())) for d in (one, many)]
+    assert found[0] == found[1] and len(found[0]) == 80
