@@ -151,3 +151,30 @@ def test_refang_in_fewer_passes(spark):
     texts += ["".join(draw.choices(marks, k=draw.randint(1, 14))) for _ in range(4000)]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", f"{normalize.refang('t')} AS r").collect()
     assert [r.r for r in rows] == [one_after_another(r.t) for r in rows]
+
+
+def test_classes_tried_at_each_character_hold_no_ascii_ranges():
+    """Ranges are asked one after another; a class of single characters is one table."""
+    import re
+
+    from indicatrix.functions import patterns as P
+
+    for pattern in (P.IPV6, P.HASH, P.URL, P.DOMAIN_CHAIN):
+        assert not re.search(r"\[[^\]]*(?:0-9|a-f|a-z|\\x\{[0-7]?[0-9a-f]\}-)", pattern), pattern
+
+
+def test_refang_schemes_with_any_s_are_those_of_the_rules(spark):
+    from indicatrix.functions.normalize import REFANG_RULES, literal, refang
+
+    texts = [
+        "hxxps://a hXXpS://b HXXP://c hxxp[://]d httpS://e hxxp\u017f://f",
+        "hxxps://a[.]b hxxp://c(.)d{.}e {[.]}f ([.])g [(.)]h",
+        "httpS://live hxxp://x[at]y(AT)z[@]w [Dot] (dOt) {dot} [.)",
+        "S://only", "hxxhxxps://x", "[hxxp://]", "",
+    ]
+    one_by_one = "text"
+    for mark, live, is_regex in REFANG_RULES:
+        call = "regexp_replace" if is_regex else "replace"
+        one_by_one = f"{call}({one_by_one}, {literal(mark)}, {literal(live)})"
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr(f"{refang('text')} AS got", f"{one_by_one} AS want").collect()
+    assert [r.got for r in rows] == [r.want for r in rows]
