@@ -57,3 +57,15 @@ def test_streams_read_tables_in_folders(spark, tmp_path):
     rows.repartition(3).write.parquet(str(many / "documents.parquet"))
     found = [sorted(map(tuple, QUERIES["stream_extract"](spark, str(d)).collect())) for d in (one, many)]
     assert found[0] == found[1] and len(found[0]) == 80
+
+
+def test_pages_are_landed_by_several_tasks(spark):
+    """The table is one row group; one task alone would write a file for each page."""
+    import re
+
+    from indicatrix.plans.queries import land_pages
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(land_pages(spark, "/root/testdata/sf0.001"))
+    names = [re.search(r"page_id=(\d+)/part-(\d+)", r.path).groups() for r in files.select("path").collect()]
+    assert len({page for page, _ in names}) == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count() == len(names)
+    assert len({task for _, task in names}) > 8
